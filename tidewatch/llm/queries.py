@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm.media import media_columns
 from tidewatch.llm.mixing import mix_sources
 from tidewatch.llm.shards import shuffle_into_shards
+from tidewatch.llm.substring_dedup import remove_repeated_windows
 from tidewatch.llm.urls import Rule, url_filter
 
 #: Fixed values of the url contract.
@@ -31,6 +32,31 @@ def quality_weights(labels: DataFrame) -> DataFrame:
     return labels.groupBy("doc_id").agg((F.avg("quality") * 1.5 + 0.5).alias("weight"))
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeated_windows(table(spark, sf_dir, "documents"), window=20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP1_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, unnest(range(1, len(ws) - 18)) AS i, ws FROM w WHERE len(ws) >= 20
+), g AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(ws[i:i + 19], ' ') ORDER BY doc_id, i) AS k FROM s
+), r AS (
+  SELECT doc_id, list_distinct(flatten(list(range(i, i + 20)))) AS gone FROM g WHERE k > 1 GROUP BY doc_id
+), o AS (
+  SELECT w.doc_id, len(ws) AS n_words, coalesce(len(gone), 0) AS n_removed,
+    list_filter(ws, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)) AS kept
+  FROM w LEFT JOIN r USING (doc_id)
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed,
+  sha256(array_to_string(kept, ' ')) AS kept_sha256
+FROM o
+"""
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"), with_media=False)
 
@@ -50,6 +76,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op2_media_columns": op2_media_columns,
         "op4_mixing": op4_mixing,
         "op9_sharding": op9_sharding,
@@ -58,4 +85,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_substring_dedup": OP1_SQL}
