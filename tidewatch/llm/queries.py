@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm.media import media_columns
 from tidewatch.llm.mixing import mix_sources
 from tidewatch.llm.shards import shuffle_into_shards
+from tidewatch.llm.simhash import near_duplicate_groups
 from tidewatch.llm.substring_dedup import remove_repeated_windows
 from tidewatch.llm.urls import Rule, url_filter
 
@@ -61,6 +62,10 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"), with_media=False)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_groups(table(spark, sf_dir, "documents"), ngram=3, radius=3)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return mix_sources(docs, weights=quality_weights(labels))
@@ -78,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
         "op2_media_columns": op2_media_columns,
+        "op3_simhash": op3_simhash,
         "op4_mixing": op4_mixing,
         "op9_sharding": op9_sharding,
         "op10_url_filter": op10_url_filter,
