@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.llm.byte_dedup import remove_repeated_bytes
 from tidewatch.llm.media import media_columns
 from tidewatch.llm.mixing import mix_sources
 from tidewatch.llm.shards import shuffle_into_shards
@@ -71,6 +72,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs, weights=quality_weights(labels))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeated_bytes(table(spark, sf_dir, "documents"), length=400)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shuffle_into_shards(table(spark, sf_dir, "documents"), 24)
 
@@ -85,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_media_columns": op2_media_columns,
         "op3_simhash": op3_simhash,
         "op4_mixing": op4_mixing,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_sharding": op9_sharding,
         "op10_url_filter": op10_url_filter,
     }
