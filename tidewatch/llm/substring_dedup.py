@@ -165,12 +165,13 @@ def remove_repeated_windows(
     rows = scratch.write(rows.mapInArrow(_window_rows(window, gram), "h1 long, h2 int, did long, start int, again boolean"))
     scratch.drop(wanted)
     once = rows.where(~F.col("again")).drop("again")
-    owner = once.groupBy("h1", "h2").agg(F.min("did").alias("owner"), F.max("did").alias("last")).where("owner < last").drop("last")
+    # a table of its own, so that the shuffle that counts is gone before the one that joins
+    owner = scratch.write(once.groupBy("h1", "h2").agg(F.min("did").alias("owner"), F.max("did").alias("last")).where("owner < last").drop("last"))
     gone = once.join(owner, ["h1", "h2"]).where("did > owner").select("did", "start", "h2")
     gone = gone.unionByName(rows.where("again").select("did", "start", "h2"))
     note = F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("h2").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
     spans = scratch.write(gone.groupBy("did").agg(F.collect_list(note).alias("notes")))
-    scratch.drop(rows)
+    scratch.drop(rows, owner)
 
     joined = base.join(spans, "did", "left").select("own_id", "body", F.coalesce("notes", F.array().cast("array<bigint>")).alias("notes"))
     kind = docs.schema[doc_id].dataType.simpleString()
