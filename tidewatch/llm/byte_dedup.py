@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.scratch import Scratch
-from tidewatch.llm.substring_dedup import LAST_ID
 from tidewatch.llm.suffix import common_prefixes, suffix_array
+from tidewatch.llm.tables import LAST_ID
 from tidewatch.llm.text import BASE_A, BASE_B, anchors, chunks, mix, prefix, rolling_hash, span_hash
 
 CHUNK = 1 << 20

@@ -56,14 +56,14 @@ def mix_sources(
     text: str = "text",
     source: str = "source",
     weights: DataFrame | None = None,
-    keep: tuple[str, ...] = (),
+    with_row: bool = False,
     seed: int = 42,
     cap: float = 3.0,
     buckets: int = 1024,
     whole: bool = False,
     scratch: Scratch | None = None,
 ) -> DataFrame:
-    """One row a document: doc_id, the ``keep`` columns, size, source_size, target, taken.
+    """One row a document: doc_id, size, source_size, target, taken, epochs, and with ``with_row`` the input row as the struct ``row``.
 
     ``taken`` counts words with repeats: size times the whole epochs, plus the document's part of
     the last, fractional epoch. At a budget's edge one document is taken in part, or, with
@@ -75,12 +75,12 @@ def mix_sources(
     hash of the text, so reruns agree; rows equal in all of these take their parts in any order.
     An empty table gives no rows. Other columns of ``docs`` are ignored.
     """
-    named = [F.col(c).alias(f"mix_keep_{i}") for i, c in enumerate(keep)]
+    whole_row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if with_row else []
     rows = docs.select(
         F.col(doc_id).alias("mix_id"), F.col(source).alias("mix_source"), word_count(F.col(text)).alias("size"),
-        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mix_tie"), *named,
+        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mix_tie"), *whole_row,
     )
-    if not keep:
+    if not with_row:
         rows = (scratch or Scratch(docs.sparkSession)).write(rows)
     if weights is None:
         rows = rows.withColumn("mix_quality", F.lit(1.0))
@@ -114,5 +114,5 @@ def mix_sources(
         part = F.when(part * 2 > F.col("size"), F.col("size")).otherwise(F.lit(0))
     taken = (epochs * F.col("size") + part).cast("long")
     return out.select(
-        F.col("mix_id").alias(doc_id), *(F.col(f"mix_keep_{i}").alias(c) for i, c in enumerate(keep)), "size", "source_size", "target", taken.alias("taken"), epochs.alias("epochs")
+        F.col("mix_id").alias(doc_id), "size", "source_size", "target", taken.alias("taken"), epochs.alias("epochs"), *(["row"] if with_row else [])
     )

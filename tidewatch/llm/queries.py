@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidewatch.llm.byte_dedup import remove_repeated_bytes
+from tidewatch.llm.decontaminate import contaminated
+from tidewatch.llm.materialise import training_order
 from tidewatch.llm.media import media_columns
 from tidewatch.llm.mixing import mix_sources
+from tidewatch.llm.quality import importance_resample
 from tidewatch.llm.shards import shuffle_into_shards
 from tidewatch.llm.simhash import near_duplicate_groups
 from tidewatch.llm.substring_dedup import remove_repeated_windows
+from tidewatch.llm.tables import quality_weights, table
 from tidewatch.llm.urls import Rule, url_filter
 
 #: Fixed values of the url contract.
@@ -25,15 +30,6 @@ URL_RULES = [
 ]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def quality_weights(labels: DataFrame) -> DataFrame:
-    """(doc_id, weight) of labelled documents: 0.5 for labels of quality 0, 2 for 1, the mean where an id has several."""
-    return labels.groupBy("doc_id").agg((F.avg("quality") * 1.5 + 0.5).alias("weight"))
-
-
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated_windows(table(spark, sf_dir, "documents"), window=20)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -72,6 +68,22 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs, weights=quality_weights(labels))
 
 
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order(table(spark, sf_dir, "documents"), length=1024)
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), shingle=5, similarity=0.8)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated_bytes(table(spark, sf_dir, "documents"), length=400)
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -91,9 +103,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_media_columns": op2_media_columns,
         "op3_simhash": op3_simhash,
         "op4_mixing": op4_mixing,
+        "op5_token_output": op5_token_output,
+        "op6_decontaminate": op6_decontaminate,
+        "op7_quality": op7_quality,
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_sharding": op9_sharding,
         "op10_url_filter": op10_url_filter,
+        "pipeline": pipeline,
     }
 
 

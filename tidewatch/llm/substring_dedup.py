@@ -23,10 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.scratch import Scratch
+from tidewatch.llm.tables import LAST_ID
 from tidewatch.llm.text import BASE_A, BASE_B, anchors, chunks, prefix, rolling_hash, span_hash, words
 
-LAST_ID = (1 << 63) - 1
-
 
 class _Windows:
     """Words, windows and anchors of one chunk of whole texts."""
