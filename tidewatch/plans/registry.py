@@ -1,17 +1,517 @@
-"""The registered queries and their SQL twins."""
+"""The registered queries and their SQL twins, over the driver's tables as series."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewatch.functions import errors
+from tidewatch.functions.arrays import total
+from tidewatch.operators import metrics, prep, profile, scoring, windows
+from tidewatch.operators.forecast import apply_model, covariate_forecast, covariates_forecast, forecast
+from tidewatch.plans import pipelines as pl
+from tidewatch.plans.oracles import ALPHA, C, H, PREAMBLE, SEASON, sweep_part
+from tidewatch.sources import series
 
 FLAGSHIP = "pipeline_calibrated"
+SWEEP = [(24, 1), (24, 4), (48, 4)]
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with the final SELECT of its twin."""
+
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql is not None:
+            _sql[f.__name__] = f"{PREAMBLE} {sql}"
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    """Rounded, with negative zero as zero."""
+    return df.withColumns({c: F.round(F.col(c), digits) + F.lit(0.0) for c in columns})
+
+
+def r(expr: str, digits: int = 6) -> str:
+    """The SQL twin of ``rounded``."""
+    return f"round({expr}, {digits}) + 0.0"
+
+
+def raw_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.event_points(table(spark, sf_dir, "events"))
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned event series, split at 20 %, with the place in the whole series as ``at``."""
+    return prep.split_by_position(prep.clean_missing(raw_points(spark, sf_dir)).withColumn("at", F.col("t")))
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prep.split_by_position(series.event_labels(table(spark, sf_dir, "events")))
+
+
+def imputed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pl.prepared(points(spark, sf_dir), scale=False)
+
+
+def scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pl.prepared(points(spark, sf_dir))
+
+
+def line_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prep.split_by_position(series.line_points(table(spark, sf_dir, "lineitem")))
+
+
+def scaled_windows(spark: SparkSession, sf_dir: str, horizon: int = H) -> DataFrame:
+    return windows.sliding_windows(scaled(spark, sf_dir).drop("at"), C, horizon).drop("value")
+
+
+def gaps(spark: SparkSession, sf_dir: str, inner: bool = True) -> DataFrame:
+    return pl.window_forecasts(scaled(spark, sf_dir).drop("at"), C, H, inner=inner)
+
+
+def feature_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.calibrate(scoring.window_errors(gaps(spark, sf_dir))).withColumnRenamed("origin", "t")
+
+
+# --- sources, cleaning, splitting, scaling
+
+
+@query("SELECT series_id, feature, count(*) AS n, count(CASE WHEN value IS NULL OR value = -1 THEN 1 END) AS n_missing FROM raw_ GROUP BY ALL")
+def prep_sentinel_null(spark, sf_dir):
+    return prep.clean_missing(raw_points(spark, sf_dir)).groupBy("series_id", "feature").agg(F.count("*").alias("n"), F.count_if(F.col("value").isNull()).alias("n_missing"))
+
+
+@query(f"SELECT series_id, split, t, feature, {r('value')} AS value FROM z")
+def prep_impute_zscore(spark, sf_dir):
+    return rounded(scaled(spark, sf_dir).select("series_id", "split", "t", "feature", "value"), "value")
+
+
+@query("""SELECT series_id, feature FROM pts WHERE NOT (series_id = 's1' AND feature = 'click' AND split = 'train') GROUP BY ALL
+HAVING count(CASE WHEN split = 'train' THEN value END) > 0""")
+def prep_drop_empty_features(spark, sf_dir):
+    lost = (F.col("series_id") == "s1") & (F.col("feature") == "click") & (F.col("split") == "train")
+    p = points(spark, sf_dir).withColumn("value", F.when(~lost, F.col("value")))
+    return prep.drop_empty_features(p).select("series_id", "feature").distinct()
+
+
+@query("SELECT series_id, feature FROM pts GROUP BY ALL HAVING count(DISTINCT CASE WHEN split = 'train' THEN CASE WHEN feature = 'view' THEN 5.0 + 0 * value ELSE value END END) > 1")
+def prep_drop_flat_features(spark, sf_dir):
+    p = points(spark, sf_dir).withColumn("value", F.when((F.col("feature") == "view") & F.col("value").isNotNull(), F.lit(5.0)).otherwise(F.col("value")))
+    return prep.drop_flat_features(p).select("series_id", "feature").distinct()
+
+
+@query("SELECT series_id, split, min(t) AS first_t, max(t) AS last_t, count(*) AS n FROM pts GROUP BY ALL")
+def split_by_position(spark, sf_dir):
+    return points(spark, sf_dir).groupBy("series_id", "split").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.count("*").alias("n"))
+
+
+@query(f"""SELECT series_id, split, t, feature, {r('(value - lo) / coalesce(nullif(hi - lo, 0), 1)', 4)} AS value
+FROM lp JOIN (SELECT series_id, feature, min(value) AS lo, max(value) AS hi FROM lp WHERE split = 'train' GROUP BY ALL) USING (series_id, feature)""")
+def minmax_train_only(spark, sf_dir):
+    return rounded(prep.minmax(line_points(spark, sf_dir)), "value", digits=4).select("series_id", "split", "t", "feature", "value")
+
+
+@query(f"SELECT series_id, feature, {r('med')} AS med FROM med")
+def train_medians(spark, sf_dir):
+    return rounded(prep.medians(points(spark, sf_dir)).where("med is not null"), "med")
+
+
+LINE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query(f"""SELECT feature, count(*) AS n, {r('sum(value)', 2)} AS total FROM (
+SELECT unnest({LINE_FEATURES}) AS feature, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS value FROM lineitem) GROUP BY 1""")
+def unpivot_features(spark, sf_dir):
+    long = prep.to_long(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], LINE_FEATURES)
+    return rounded(long.groupBy("feature").agg(F.count("*").alias("n"), F.sum("value").alias("total")), "total", digits=2)
+
+
+@query(f"""SELECT series_id, split, t, {r("max(value) FILTER (feature = 'click')")} AS click, {r("max(value) FILTER (feature = 'view')")} AS view FROM imp GROUP BY ALL""")
+def pivot_features(spark, sf_dir):
+    wide = prep.to_wide(imputed(spark, sf_dir), ["series_id", "split", "t"], ["click", "view"])
+    return rounded(wide, "click", "view")
+
+
+@query("""SELECT feature, n_series, n_series = 5 AS common FROM (SELECT feature, count(*) AS n_series FROM (SELECT DISTINCT series_id, feature FROM (
+SELECT series_id, feature FROM pts UNION ALL SELECT 'orders', o_orderpriority FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01')) GROUP BY 1)""")
+def feature_sets(spark, sf_dir):
+    both = prep.clean_missing(raw_points(spark, sf_dir)).unionByName(series.order_points(table(spark, sf_dir, "orders")))
+    return profile.feature_sets(both)
+
+
+@query("SELECT count(*) AS n, count(click) AS n_click, count(ship) AS n_ship FROM (SELECT max(value) FILTER (feature = 'click') AS click, NULL AS ship FROM imp GROUP BY series_id, split, t UNION ALL SELECT NULL, v FROM lc)")
+def combine_ragged_series(spark, sf_dir):
+    a = prep.to_wide(imputed(spark, sf_dir), ["series_id", "split", "t"], ["click"])
+    b = series.line_points(table(spark, sf_dir, "lineitem")).where("value is not null").select("series_id", "t", F.col("value").alias("ship"))
+    return profile.combine_series([a, b]).agg(F.count("*").alias("n"), F.count("click").alias("n_click"), F.count("ship").alias("n_ship"))
+
+
+# --- windows
+
+
+@query(f"SELECT series_id, split, feature, t, len(ctx) AS n_ctx, len(fut) AS n_fut, {r('list_sum(ctx)', 4)} AS ctx_sum, {r('list_sum(fut)', 4)} AS fut_sum FROM win")
+def sliding_windows(spark, sf_dir):
+    w = scaled_windows(spark, sf_dir)
+    out = w.select("series_id", "split", "feature", "t", F.size("ctx").alias("n_ctx"), F.size("fut").alias("n_fut"), total(F.col("ctx")).alias("ctx_sum"), total(F.col("fut")).alias("fut_sum"))
+    return rounded(out, "ctx_sum", "fut_sum", digits=4)
+
+
+@query("SELECT series_id, split, feature, count(*) AS n FROM win WHERE inner_ AND (t - 24) % 5 = 0 GROUP BY ALL")
+def sampled_origins(spark, sf_dir):
+    w = windows.sliding_windows(scaled(spark, sf_dir).drop("at"), C, H, inner=True)
+    return windows.sample_origins(w, C, 5).groupBy("series_id", "split", "feature").agg(F.count("*").alias("n"))
+
+
+@query("SELECT series_id, feature, t // 7 AS window_id, min(t) AS origin, count(*) AS steps, max(t % 7 + 1)::INTEGER AS last_step FROM pts WHERE split = 'test' GROUP BY ALL")
+def block_windows(spark, sf_dir):
+    b = windows.block_origins(points(spark, sf_dir).where("split = 'test'"), 7)
+    return b.groupBy("series_id", "feature", "window_id").agg(F.min("origin").alias("origin"), F.count("*").alias("steps"), F.max("step").alias("last_step"))
+
+
+@query("""SELECT user_id, count(*) AS n, count(DISTINCT g) AS n_steps, coalesce(min(g) >= 0, true) AS rising, count(DISTINCT g) <= 1 AS regular FROM (
+SELECT user_id, epoch(date_trunc('second', ts))::BIGINT - epoch(date_trunc('second', lag(ts) OVER (PARTITION BY user_id ORDER BY ts)))::BIGINT AS g FROM events) GROUP BY 1""")
+def regular_grid_check(spark, sf_dir):
+    return windows.grid_check(table(spark, sf_dir, "events"), ["user_id"], "ts")
+
+
+# --- forecasts
+
+
+def _forecast_query(name: str, point: str, method: str, **options) -> None:
+    def run(spark, sf_dir):
+        f = forecast(scaled_windows(spark, sf_dir), method, C, H, quantiles=False, **options)
+        return rounded(f.select("series_id", "split", "feature", "origin", "step", "t", "point"), "point", digits=5)
+
+    run.__name__ = name
+    query(f"SELECT series_id, split, feature, t AS origin, j::INTEGER AS step, t + j - 1 AS t, {r(point, 5)} AS point FROM (SELECT *, unnest([1, 2, 3, 4]) AS j FROM q)")(run)
+
+
+_forecast_query("forecast_naive", "ctx[24]", "naive_last")
+_forecast_query("forecast_rolling_mean", "m", "rolling_mean")
+_forecast_query("forecast_rolling_median", "q50", "rolling_median")
+_forecast_query("forecast_drift", "ctx[24] + (ctx[24] - ctx[1]) / 23 * j", "drift")
+_forecast_query("forecast_seasonal_naive", f"ctx[25 - {SEASON} + (j - 1) % {SEASON}]", "seasonal_naive", season=SEASON)
+_forecast_query(
+    "forecast_ses",
+    "list_sum(list_transform(range(1, 25), lambda i: ctx[i] * CASE WHEN i = 1 THEN pow(0.7, 23) ELSE 0.3 * pow(0.7, 24 - i) END))",
+    "ses",
+    alpha=ALPHA,
+)
+_forecast_query("forecast_flip", "m", "rolling_mean", flip=True, normalize=True)
+
+
+@query(f"SELECT series_id, split, feature, t AS origin, j::INTEGER AS step, {r('q10', 5)} AS q10, {r('q50', 5)} AS q50, {r('q90', 5)} AS q90 FROM (SELECT *, unnest([1, 2, 3, 4]) AS j FROM q)")
+def forecast_quantiles(spark, sf_dir):
+    f = forecast(scaled_windows(spark, sf_dir), "rolling_mean", C, H)
+    return rounded(f.select("series_id", "split", "feature", "origin", "step", "q10", "q50", "q90"), "q10", "q50", "q90", digits=5)
+
+
+@query(f"SELECT series_id, split, feature, t AS origin, j::INTEGER AS step, {r('m', 5)} AS point FROM (SELECT *, unnest([1, 2, 3, 4]) AS j FROM q)")
+def forecast_udf(spark, sf_dir):
+    def load():
+        def model(ctx):
+            return ctx.mean(axis=1, keepdims=True).repeat(H, axis=1)
+
+        return model
+
+    f = apply_model(scaled_windows(spark, sf_dir), load, H)
+    return rounded(f.select("series_id", "split", "feature", "origin", "step", "point"), "point", digits=5)
+
+
+@query(f"SELECT series_id, t, {r('y', 4)} AS y, {r('point', 4)} AS point FROM cfp")
+def forecast_covariate(spark, sf_dir):
+    f = covariate_forecast(imputed(spark, sf_dir), "click", "view", 24)
+    return rounded(f.select("series_id", "t", "y", "point"), "y", "point", digits=4)
+
+
+@query()
+def forecast_covariates(spark, sf_dir):
+    f = covariates_forecast(imputed(spark, sf_dir), "click", 24)
+    return rounded(f.select("series_id", "feature", "window_id", "t", "y", "point"), "y", "point", digits=4)
+
+
+# --- scores
+
+
+def _score_query(name: str, method: str, sql: str) -> None:
+    def run(spark, sf_dir):
+        g = gaps(spark, sf_dir, inner=False).where("step = 1")
+        s = errors.score(method, F.col("y"), F.col("q50"), F.col("q10"), F.col("q90"))
+        return rounded(g.select("series_id", "split", "feature", "t", s.alias("score")), "score", digits=4)
+
+    run.__name__ = name
+    query(f"SELECT series_id, split, feature, t, {r(sql, 4)} AS score FROM (SELECT *, fut[1] AS y FROM q)")(run)
+
+
+_score_query("score_mse", "mse", "(y - q50) * (y - q50)")
+_score_query("score_interval", "interval", "greatest(y - q90, 0.0) + greatest(q10 - y, 0.0)")
+_score_query("score_normdev", "normalized_deviation", "abs(y - q50) / (q90 - q10 + 1e-8)")
+_score_query("score_smape", "smape", "2 * abs(y - q50) / (abs(y) + abs(q50) + 1e-8)")
+
+
+@query(f"SELECT series_id, split, feature, t AS origin, {r('err', 4)} AS err FROM err")
+def window_errors(spark, sf_dir):
+    return rounded(scoring.window_errors(gaps(spark, sf_dir)), "err", digits=4)
+
+
+@query(f"SELECT series_id, feature, t, {r('score', 4)} AS score FROM sc")
+def calibrate(spark, sf_dir):
+    return rounded(feature_scores(spark, sf_dir).select("series_id", "feature", "t", "score"), "score", digits=4)
+
+
+@query(f"SELECT series_id, t, {r('score', 5)} AS score FROM mse_")
+def window_mse(spark, sf_dir):
+    g = gaps(spark, sf_dir, inner=False).where("split = 'test'")
+    return rounded(scoring.window_mse(g).select("series_id", F.col("origin").alias("t"), "score"), "score", digits=5)
+
+
+@query(f"SELECT series_id, t, {r('score', 5)} AS score FROM msed")
+def dense_scores(spark, sf_dir):
+    return rounded(pl.window_mse_scores(points(spark, sf_dir).drop("at"), C, H), "score", digits=5)
+
+
+@query(f"""SELECT series_id, feature, t, {r('CASE WHEN hi - lo < 1e-8 THEN 0 ELSE (least(greatest(score, lo), hi) - lo) / (hi - lo) END', 4)} AS score
+FROM sc JOIN (SELECT series_id, feature, quantile_cont(score, 0.01) AS lo, quantile_cont(score, 0.99) AS hi FROM sc GROUP BY ALL) USING (series_id, feature)""")
+def robust_normalize(spark, sf_dir):
+    return rounded(scoring.robust_normalize(feature_scores(spark, sf_dir)).select("series_id", "feature", "t", "score"), "score", digits=4)
+
+
+@query(f"""SELECT series_id, feature, t, {r('CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 0 END', 4)} AS score
+FROM sc JOIN (SELECT series_id, feature, min(score) AS lo, max(score) AS hi FROM sc GROUP BY ALL) USING (series_id, feature)""")
+def minmax_scores(spark, sf_dir):
+    return rounded(scoring.minmax_scores(feature_scores(spark, sf_dir)).select("series_id", "feature", "t", "score"), "score", digits=4)
+
+
+def _combine_query(method: str) -> None:
+    def run(spark, sf_dir):
+        c = scoring.combine(feature_scores(spark, sf_dir), [method]).withColumnRenamed(method, "score")
+        return rounded(c, "score", digits=4)
+
+    run.__name__ = f"agg_{method}"
+    quoted = f'"{method}"'
+    query(f"SELECT series_id, t, {r(quoted, 4)} AS score FROM comb")(run)
+
+
+for _method in scoring.AGGREGATIONS:
+    _combine_query(_method)
+
+
+def _smooth_sql(size: int) -> str:
+    back, ahead = size // 2, size - size // 2 - 1
+    return f"""SELECT series_id, t2 AS t, {r('s', 4)} AS score FROM (SELECT *, avg(score) OVER (PARTITION BY series_id ORDER BY t2 ROWS BETWEEN {back} PRECEDING AND {ahead} FOLLOWING) AS s FROM (
+SELECT series_id, score, n, unnest([t, -1 - t, 2 * n - 1 - t]) AS t2 FROM msed JOIN (SELECT series_id, max(t) + 1 AS n FROM msed GROUP BY 1) USING (series_id)) WHERE t2 >= -{back} AND t2 < n + {ahead}) WHERE t2 >= 0 AND t2 < n"""
+
+
+@query(_smooth_sql(5))
+def smooth_reflect(spark, sf_dir):
+    return rounded(scoring.smooth(pl.window_mse_scores(points(spark, sf_dir).drop("at"), C, H), "score", 5), "score", digits=4).select("series_id", "t", "score")
+
+
+@query(_smooth_sql(4))
+def smooth_reflect_even(spark, sf_dir):
+    return rounded(scoring.smooth(pl.window_mse_scores(points(spark, sf_dir).drop("at"), C, H), "score", 4), "score", digits=4).select("series_id", "t", "score")
+
+
+# --- evaluation
+
+
+def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Window errors from step C on, with labels; rounded, so that both engines see the same ties."""
+    s = metrics.trim_after_context(pl.window_mse_scores(points(spark, sf_dir).drop("at"), C, H), C)
+    return s.join(pl.test_labels(labels(spark, sf_dir)), ["series_id", "t"])
+
+
+@query(f"SELECT series_id, {r('auroc')} AS auroc FROM m_a")
+def auroc(spark, sf_dir):
+    return rounded(metrics.areas(evaluated(spark, sf_dir), ["series_id"]).select("series_id", "auroc"), "auroc")
+
+
+@query(f"SELECT series_id, {r('auprc')} AS auprc FROM m_a")
+def average_precision(spark, sf_dir):
+    return rounded(metrics.areas(evaluated(spark, sf_dir), ["series_id"]).select("series_id", "auprc"), "auprc")
+
+
+@query(f"SELECT series_id, {r('fpr')} AS fpr, {r('tpr')} AS tpr, {r('threshold', 5)} AS threshold FROM m_r")
+def roc_curve(spark, sf_dir):
+    return _round_curve(metrics.roc_curve(evaluated(spark, sf_dir), ["series_id"]), "fpr", "tpr")
+
+
+def _round_curve(curve: DataFrame, *columns: str) -> DataFrame:
+    """Infinity cannot be rounded."""
+    t = F.col("threshold")
+    return rounded(curve, *columns).withColumn("threshold", F.when(t == float("inf"), t).otherwise(F.round(F.nullif(t, F.lit(float("inf"))), 5) + F.lit(0.0)))
+
+
+@query(f"""SELECT series_id, {r('CASE WHEN np > 0 THEN tp::DOUBLE / np END')} AS recall, {r('tp::DOUBLE / (tp + fp)')} AS "precision", {r('score', 5)} AS threshold FROM m_c
+UNION ALL SELECT DISTINCT series_id, 0.0, 1.0, NULL FROM m_c""")
+def pr_curve(spark, sf_dir):
+    return _round_curve(metrics.pr_curve(evaluated(spark, sf_dir), ["series_id"]), "recall", "precision")
+
+
+@query(f"SELECT series_id, {r('threshold', 5)} AS best_threshold, {r('tpr')} AS best_tpr, {r('fpr')} AS best_fpr FROM m_j")
+def youden(spark, sf_dir):
+    best = metrics.youden(metrics.roc_curve(evaluated(spark, sf_dir), ["series_id"]), ["series_id"]).withColumnRenamed("best_threshold", "threshold")
+    return _round_curve(best, "best_tpr", "best_fpr").withColumnRenamed("threshold", "best_threshold")
+
+
+def _confusion(spark: SparkSession, sf_dir: str, strict: bool) -> DataFrame:
+    """Alarms at the fixed threshold 1.5."""
+    flagged = evaluated(spark, sf_dir)
+    fixed = flagged.select("series_id").distinct().withColumn("best_threshold", F.lit(1.5))
+    return rounded(metrics.confusion(metrics.alarms(flagged, fixed, ["series_id"], strict), ["series_id"]), "precision", "recall", "f1")
+
+
+def _confusion_sql(op: str) -> str:
+    return f"""SELECT *, {r('coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0)')} AS "precision", {r('coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0)')} AS recall,
+{r('coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0)')} AS f1 FROM (
+SELECT series_id, count(*) FILTER (y = 0 AND NOT a) AS tn, count(*) FILTER (y = 0 AND a) AS fp, count(*) FILTER (y = 1 AND NOT a) AS fn, count(*) FILTER (y = 1 AND a) AS tp
+FROM (SELECT *, score {op} 1.5 AS a FROM mev) GROUP BY 1)"""
+
+
+@query(_confusion_sql(">="))
+def confusion(spark, sf_dir):
+    return _confusion(spark, sf_dir, strict=False)
+
+
+@query(_confusion_sql(">"))
+def confusion_strict(spark, sf_dir):
+    return _confusion(spark, sf_dir, strict=True)
+
+
+@query(f"SELECT series_id, split, {r('avg(y)')} AS anomaly_ratio FROM lab GROUP BY ALL")
+def anomaly_ratio(spark, sf_dir):
+    return rounded(metrics.anomaly_ratio(labels(spark, sf_dir), ["series_id", "split"]), "anomaly_ratio")
+
+
+@query("SELECT series_id, count(*) AS n FROM msed JOIN (SELECT series_id, max(t) + 1 AS n_ FROM msed GROUP BY 1) USING (series_id) WHERE t >= 24 AND t < n_ - 4 GROUP BY 1")
+def trim_full_windows(spark, sf_dir):
+    s = pl.window_mse_scores(points(spark, sf_dir).drop("at"), C, H)
+    return metrics.trim_full_windows(s, C, H).groupBy("series_id").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT series_id, y, count(*) AS n, {r('avg(score)', 5)} AS mean_score FROM mev GROUP BY ALL")
+def label_subsets(spark, sf_dir):
+    return rounded(evaluated(spark, sf_dir).groupBy("series_id", "y").agg(F.count("*").alias("n"), F.avg("score").alias("mean_score")), "mean_score", digits=5)
+
+
+def calibrated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pl.calibrated(points(spark, sf_dir).drop("at"), labels(spark, sf_dir), C, H)
+
+
+@query(f"""SELECT series_id, method AS best_method, {r('auroc')} AS best_auroc FROM (
+SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY auroc DESC, list_position(['max', 'topk', 'l2', 'mae'], method)) AS k FROM k_a WHERE auroc > 0) WHERE k = 1""")
+def best_method(spark, sf_dir):
+    long = calibrated_scores(spark, sf_dir).unpivot(["series_id", "t", "y"], pl.CALIBRATED, "method", "score")
+    return rounded(metrics.best_method(metrics.areas(long, ["series_id", "method"]), pl.CALIBRATED, ["series_id"]), "best_auroc")
+
+
+@query(f"SELECT {r('avg(auroc)')} AS mean_auroc, {r('avg(auprc)')} AS mean_auprc FROM m_a")
+def mean_metrics(spark, sf_dir):
+    return rounded(metrics.mean_metrics(metrics.areas(evaluated(spark, sf_dir), ["series_id"])), "mean_auroc", "mean_auprc")
+
+
+# --- pipelines
+
+
+@query(f"""SELECT series_id, t, {r('"max"', 4)} AS score_max, {r('topk', 4)} AS score_topk, {r('l2', 4)} AS score_l2, {r('mae', 4)} AS score_mae, y FROM cev""")
+def pipeline_calibrated(spark, sf_dir):
+    s = calibrated_scores(spark, sf_dir).select("series_id", "t", *(F.col(m).alias(f"score_{m}") for m in pl.CALIBRATED), "y")
+    return rounded(s, *(f"score_{m}" for m in pl.CALIBRATED), digits=4)
+
+
+@query(f"""SELECT a.series_id, a.method, {r('auroc', 5)} AS auroc, {r('auprc', 5)} AS auprc FROM k_a a""")
+def pipeline_calibrated_metrics(spark, sf_dir):
+    m = pl.method_metrics(calibrated_scores(spark, sf_dir), pl.CALIBRATED)
+    return rounded(m.select("series_id", "method", "auroc", "auprc"), "auroc", "auprc", digits=5)
+
+
+@query(f"""SELECT a.series_id, {r('auroc', 5)} AS auroc, {r('auprc', 5)} AS auprc, {r('tpr', 5)} AS best_tpr, {r('m_j.fpr', 5)} AS best_fpr, tn, m_f.fp, fn, tp
+FROM m_a a JOIN m_j USING (series_id) JOIN m_f USING (series_id)""")
+def pipeline_window_mse(spark, sf_dir):
+    out = pl.window_mse(points(spark, sf_dir).drop("at"), labels(spark, sf_dir), C, H)
+    return rounded(out.select("series_id", "auroc", "auprc", "best_tpr", "best_fpr", "tn", "fp", "fn", "tp"), "auroc", "auprc", "best_tpr", "best_fpr", digits=5)
+
+
+@query(f"SELECT series_id, {r('auroc', 4)} AS auroc, {r('auprc', 4)} AS auprc FROM b_a")
+def pipeline_band(spark, sf_dir):
+    out = pl.band(imputed(spark, sf_dir), labels(spark, sf_dir), C, H)
+    return rounded(out, "auroc", "auprc", digits=4)
+
+
+@query(f"SELECT series_id, t, {r('score', 4)} AS score FROM bsm")
+def band_scores(spark, sf_dir):
+    return rounded(pl.band_scores(imputed(spark, sf_dir), C, H), "score", digits=4).select("series_id", "t", "score")
+
+
+@query(f"SELECT series_id, {r('auroc', 4)} AS auroc, {r('auprc', 4)} AS auprc FROM v_a")
+def pipeline_covariate(spark, sf_dir):
+    out = pl.covariate(imputed(spark, sf_dir), labels(spark, sf_dir), 24, {"click": "view"})
+    return rounded(out, "auroc", "auprc", digits=4)
+
+
+@query(f"SELECT series_id, context, horizon, {r('auroc', 5)} AS auroc, {r('auprc', 5)} AS auprc FROM ({' UNION ALL '.join(f'({sweep_part(c, h)})' for c, h in SWEEP)})")
+def sweep(spark, sf_dir):
+    out = pl.sweep(points(spark, sf_dir).drop("at"), labels(spark, sf_dir), SWEEP)
+    return rounded(out.select("series_id", "context", "horizon", "auroc", "auprc"), "auroc", "auprc", digits=5)
+
+
+@query(f"""SELECT series_id, t, {r('"max"', 4)} AS score_max, {r('topk', 4)} AS score_topk, {r('l2', 4)} AS score_l2, y AS is_anomaly, 5 AS n_features, {r('s', 4)} AS ctx_sum
+FROM cev JOIN (SELECT series_id, t, sum(list_sum(ctx)) AS s FROM win WHERE split = 'test' GROUP BY ALL) USING (series_id, t) WHERE (t - 24) % 5 = 0""")
+def window_records(spark, sf_dir):
+    w = pl.window_records(points(spark, sf_dir).drop("at"), labels(spark, sf_dir), C, H)
+    sums = F.aggregate("context_values", F.lit(0.0), lambda a, c: a + total(c))
+    out = w.select("series_id", "t", "score_max", "score_topk", "score_l2", "is_anomaly", F.size("feature_scores").alias("n_features"), sums.alias("ctx_sum"))
+    return rounded(out, "score_max", "score_topk", "score_l2", "ctx_sum", digits=4)
+
+
+# --- profiles
+
+
+@query(f"""SELECT series_id, feature, {r("stddev_pop(CASE WHEN split = 'train' THEN value END)", 4)} AS train_std, {r("stddev_pop(CASE WHEN split = 'test' THEN value END)", 4)} AS test_std,
+{r("abs(avg(CASE WHEN split = 'train' THEN value END) - avg(CASE WHEN split = 'test' THEN value END))", 4)} AS drift FROM pts GROUP BY ALL""")
+def drift(spark, sf_dir):
+    return rounded(profile.drift(points(spark, sf_dir)), "train_std", "test_std", "drift", digits=4)
+
+
+@query("""SELECT series_id, feature, split, least(floor(CASE WHEN hi > lo THEN (value - lo) / (hi - lo) ELSE 0 END * 30) + 1, 30)::INTEGER AS bin, count(*) AS n
+FROM lp JOIN (SELECT series_id, feature, split, min(value) AS lo, max(value) AS hi FROM lp GROUP BY ALL) USING (series_id, feature, split) WHERE value IS NOT NULL GROUP BY ALL""")
+def feature_histogram(spark, sf_dir):
+    return profile.histogram(line_points(spark, sf_dir))
+
+
+@query(f"SELECT series_id, feature, {r('min(value)')} AS lo, {r('max(value)')} AS hi FROM pts GROUP BY ALL")
+def shared_range(spark, sf_dir):
+    return rounded(profile.shared_range(points(spark, sf_dir)), "lo", "hi")
+
+
+@query(f"""SELECT count(*) AS n_series, min(l) AS shortest, max(l) AS longest, {r('avg(l)')} AS mean_length, min(f) AS fewest_features, max(f) AS most_features
+FROM (SELECT series_id, count(DISTINCT t) AS l, count(DISTINCT feature) AS f FROM raw_ GROUP BY 1)""")
+def series_profile(spark, sf_dir):
+    return rounded(profile.collection(raw_points(spark, sf_dir)), "mean_length")
+
+
+@query("SELECT series_id, feature FROM pts WHERE feature = 'view' GROUP BY ALL")
+def removed_features(spark, sf_dir):
+    p = points(spark, sf_dir)
+    flat = p.withColumn("value", F.when((F.col("feature") == "view") & F.col("value").isNotNull(), F.lit(5.0)).otherwise(F.col("value")))
+    return profile.removed_features(flat, prep.drop_flat_features(flat))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
