@@ -101,7 +101,7 @@ def _score(ratio: np.ndarray):
             for lo, hi, data, offs in chunks(batch.column(2)):
                 bucket, owner = _features(data, offs, len(ratio))
                 weight = np.bincount(owner, ratio[bucket], minlength=hi - lo)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(np.round(weight, 6))], ["own_id", "tag", "log_weight"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(np.round(weight, 6), pa.float64())], ["own_id", "tag", "log_weight"])
 
     return run
 

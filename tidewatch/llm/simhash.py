@@ -199,6 +199,8 @@ def _bucket_links(radius: int):
 
 def links(nodes: DataFrame, radius: int, scratch: Scratch, bucket_limit: int = 20_000) -> DataFrame:
     """Distinct fingerprints (print) to links (a, b) that connect all pairs within ``radius`` bits."""
+    # with ``radius`` free bits left a bucket has at most 2**radius nodes, so splitting always ends
+    bucket_limit = max(bucket_limit, 2 << radius)
     groups = bit_groups(list(range(64)), radius + 1)
     levels = [(set(g), _mask(g)) for g in groups]
     masks = F.array(*(F.lit(m) for _, m in levels))
