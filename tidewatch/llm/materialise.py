@@ -10,7 +10,6 @@ partitions by slot hold fixed-stride records, to be read in sequence.
 from __future__ import annotations
 
 import base64
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,44 +27,27 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Fixed value: the vocabulary's free id, set after each text.
 END_OF_TEXT = 50256
-_MEMO = 200_000
-#: The cut never joins bytes across the place where white space begins, so these pieces are independent.
-_PIECES = re.compile(r"\s*\S+|\s+")
-_loaded: dict[str, tuple[tiktoken.Encoding, dict[str, list[int]]]] = {}
+_loaded: dict[str, tiktoken.Encoding] = {}
 
 
-def tokenizer(path: str) -> tuple[tiktoken.Encoding, dict[str, list[int]]]:
-    """The encoding at ``path`` and this process's memo of pieces, loaded once a worker."""
+def tokenizer(path: str) -> tiktoken.Encoding:
+    """The encoding at ``path``, loaded once a worker."""
     if path not in _loaded:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
-        _loaded[path] = (tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), {})
+        _loaded[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _loaded[path]
 
 
-def token_ids(text: str, path: str = TOKENIZER) -> list[int]:
-    """Ids of the whole text; pieces seen before come from a bounded memo."""
-    encoding, memo = tokenizer(path)
-    out: list[int] = []
-    for piece in _PIECES.findall(text):
-        ids = memo.get(piece)
-        if ids is None:
-            if len(memo) >= _MEMO:
-                memo.clear()
-            ids = memo[piece] = encoding.encode_ordinary(piece)
-        out += ids
-    return out
-
-
 def _sequences(path: str, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["own_id", "seq_no", "n_tokens", "tokens"]
+        names, encoding = ["own_id", "seq_no", "n_tokens", "tokens"], tokenizer(path)
         for whole in batches:
             for lo in range(0, whole.num_rows, 500):
                 batch = whole.slice(lo, 500)
                 row, seq_no, sizes, body = [], [], [], []
                 for i, value in enumerate(batch.column(1)):
-                    ids = np.array([*token_ids(value.as_py() or "", path), END_OF_TEXT], np.uint16)
+                    ids = np.array([*encoding.encode_ordinary(value.as_py() or ""), END_OF_TEXT], np.uint16)
                     for k, at in enumerate(range(0, len(ids), length)):
                         part = ids[at : at + length]
                         row.append(i)
