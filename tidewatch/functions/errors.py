@@ -42,7 +42,8 @@ def score(name: str, y: Column, point: Column, low: Column, high: Column) -> Col
 
 def uncertainty(low: Column, high: Column) -> Column:
     """Standard deviation that the band suggests, at least 0.001; 1 without a band."""
-    return F.coalesce(F.greatest((high - low) / (2 * BAND_HALF_WIDTH), F.lit(1e-3)), F.lit(1.0))
+    width = high - low
+    return F.when(width.isNull(), F.lit(1.0)).otherwise(F.greatest(width / (2 * BAND_HALF_WIDTH), F.lit(1e-3)))
 
 
 def ratio(top: Column, bottom: Column) -> Column:

@@ -56,7 +56,7 @@ mse_ AS (SELECT series_id, t, avg(e) AS score FROM (SELECT series_id, t, unnest(
 msed AS (SELECT s.series_id, s.t, coalesce(score, 0) AS score FROM (SELECT DISTINCT series_id, t FROM z WHERE split = 'test') s LEFT JOIN mse_ USING (series_id, t)),
 mev AS (SELECT series_id, t, score, y FROM msed JOIN (SELECT * FROM lab WHERE split = 'test') USING (series_id, t) WHERE t >= 24),
 cev AS (SELECT c.*, y FROM comb c JOIN (SELECT * FROM lab WHERE split = 'test') USING (series_id, t)),
-cl AS (SELECT series_id, t, y, unnest(['max', 'topk', 'l2', 'mae']) AS method, unnest(["max", topk, l2, mae]) AS score FROM cev),
+cl AS (SELECT series_id, t, y, unnest(['max', 'topk', 'l2', 'mae']) AS method, unnest([round("max", 4), round(topk, 4), round(l2, 4), round(mae, 4)]) AS score FROM cev),
 {_metrics("m", "mev", "series_id")},
 {_metrics("k", "cl", "series_id, method")},
 bw AS (SELECT series_id, feature, split, place0, t, list(value) OVER (PARTITION BY series_id, feature ORDER BY place0 {LAGS}) AS ctx FROM pts_ready),

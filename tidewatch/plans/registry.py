@@ -12,8 +12,10 @@ from tidewatch.functions.arrays import total
 from tidewatch.operators import metrics, prep, profile, scoring, windows
 from tidewatch.operators.forecast import apply_model, covariate_forecast, covariates_forecast, forecast
 from tidewatch.plans import pipelines as pl
-from tidewatch.plans.oracles import ALPHA, C, H, PREAMBLE, SEASON, sweep_part
+from tidewatch.plans.oracles import ALPHA, C, H, LAGS, PREAMBLE, SEASON, sweep_part
 from tidewatch.sources import series
+from tidewatch.sources.shared import shared_path
+from tidewatch.streaming.online import online_scores
 
 FLAGSHIP = "pipeline_calibrated"
 SWEEP = [(24, 1), (24, 4), (48, 4)]
@@ -328,7 +330,7 @@ def smooth_reflect_even(spark, sf_dir):
 
 
 def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Window errors from step C on, with labels; rounded, so that both engines see the same ties."""
+    """Window errors from step C on, with labels."""
     s = metrics.trim_after_context(pl.window_mse_scores(points(spark, sf_dir).drop("at"), C, H), C)
     return s.join(pl.test_labels(labels(spark, sf_dir)), ["series_id", "t"])
 
@@ -407,7 +409,8 @@ def label_subsets(spark, sf_dir):
 
 
 def calibrated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pl.calibrated(points(spark, sf_dir).drop("at"), labels(spark, sf_dir), C, H)
+    """Rounded, so that scores that are equal but for the order of a sum tie."""
+    return rounded(pl.calibrated(points(spark, sf_dir).drop("at"), labels(spark, sf_dir), C, H), *pl.CALIBRATED, digits=4)
 
 
 @query(f"""SELECT series_id, method AS best_method, {r('auroc')} AS best_auroc FROM (
@@ -428,7 +431,7 @@ def mean_metrics(spark, sf_dir):
 @query(f"""SELECT series_id, t, {r('"max"', 4)} AS score_max, {r('topk', 4)} AS score_topk, {r('l2', 4)} AS score_l2, {r('mae', 4)} AS score_mae, y FROM cev""")
 def pipeline_calibrated(spark, sf_dir):
     s = calibrated_scores(spark, sf_dir).select("series_id", "t", *(F.col(m).alias(f"score_{m}") for m in pl.CALIBRATED), "y")
-    return rounded(s, *(f"score_{m}" for m in pl.CALIBRATED), digits=4)
+    return s
 
 
 @query(f"""SELECT a.series_id, a.method, {r('auroc', 5)} AS auroc, {r('auprc', 5)} AS auprc FROM k_a a""")
@@ -476,6 +479,24 @@ def window_records(spark, sf_dir):
     return rounded(out, "score_max", "score_topk", "score_l2", "ctx_sum", digits=4)
 
 
+@query(f"""SELECT series_id, feature, t, {r('abs(value - list_avg(ctx)) / greatest((list_aggregate(ctx, $$quantile_cont$$, 0.9) - list_aggregate(ctx, $$quantile_cont$$, 0.1)) / 2.56, 0.001)', 4)} AS score FROM (
+SELECT 's' || (user_id % 4) AS series_id, event_type AS feature, date_diff('microsecond', TIMESTAMP '2024-01-01 00:00:00', ts) AS t, value,
+list(value) OVER (PARTITION BY user_id % 4, event_type ORDER BY ts {LAGS}) AS ctx FROM events) WHERE len(ctx) = 24""")
+def stream_scores(spark, sf_dir):
+    """All events as a stream, each scored against the 24 before it in its series and type."""
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    arrivals = events.select(
+        F.concat(F.lit("s"), (F.col("user_id") % 4).cast("string")).alias("series_id"), F.col("event_type").alias("feature"),
+        F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts)").alias("t"), F.col("value").alias("y"),
+    )
+    uncalibrated = spark.range(0).selectExpr("'' AS series_id", "'' AS feature", "0D AS mu", "1D AS sd")
+    out = shared_path(spark)
+    run = online_scores(arrivals, uncalibrated, C).writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out)
+    run.awaitTermination()
+    return rounded(spark.read.parquet(out).select("series_id", "feature", "t", "score"), "score", digits=4)
+
+
 # --- profiles
 
 
