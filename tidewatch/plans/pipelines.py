@@ -1,4 +1,6 @@
-"""The scoring pipelines: each is one lazy plan over all series; there is no loop over series.
+"""The scoring pipelines, over all series at once; there is no loop over series.
+
+Prepared points and evaluated scores are read several times by what follows, so they are written tables.
 
 ``points`` are long (series_id, split, t, feature, value), cleaned; ``labels`` are (series_id, split, t, y).
 """
@@ -15,6 +17,7 @@ from tidewatch.operators import metrics, scoring
 from tidewatch.operators.forecast import covariate_forecast, covariates_forecast, forecast
 from tidewatch.operators.prep import drop_empty_features, impute, zscore
 from tidewatch.operators.windows import BLOCK, sample_origins, sliding_windows
+from tidewatch.sources.shared import cut
 
 CALIBRATED = ["max", "topk", "l2", "mae"]
 BAND = ["l2", "max", "mean", "topquarter"]
@@ -37,22 +40,22 @@ def window_forecasts(points: DataFrame, context: int, horizon: int, method: str
 
 def calibrated(points: DataFrame, labels: DataFrame, context: int, horizon: int, *, method: str = "rolling_mean", scale: bool = True, top_k: int = 3, **options) -> DataFrame:
     """Calibrated scoring: series_id, t, one score a combination, y. Origins are context <= t < n - horizon of the test split."""
-    gaps = window_forecasts(prepared(points, scale), context, horizon, method, **options)
-    scores = scoring.calibrate(scoring.window_errors(gaps)).withColumnRenamed("origin", "t")
+    gaps = window_forecasts(cut(prepared(points, scale)), context, horizon, method, **options)
+    scores = scoring.calibrate(cut(scoring.window_errors(gaps))).withColumnRenamed("origin", "t")
     return scoring.combine(scores, CALIBRATED, top_k).join(test_labels(labels), ["series_id", "t"])
 
 
 def method_metrics(scored: DataFrame, methods: list[str], strict: bool = True) -> DataFrame:
     """One row a series and method: auroc, auprc, best point, confusion counts, precision, recall, f1."""
     keys = ["series_id", "method"]
-    long = scored.unpivot(["series_id", "t", "y"], methods, "method", "score")
+    long = cut(scored.unpivot(["series_id", "t", "y"], methods, "method", "score"))
     best = metrics.summary(long, keys)
     return best.join(metrics.confusion(metrics.alarms(long, best, keys, strict), keys), keys)
 
 
-def window_mse_scores(points: DataFrame, context: int, horizon: int, *, method: str = "rolling_mean", **options) -> DataFrame:
-    """Multivariate window error of every test step; steps without a window have 0."""
-    ready = prepared(points)
+def window_mse_scores(points: DataFrame, context: int, horizon: int, *, method: str = "rolling_mean", ready: DataFrame | None = None, **options) -> DataFrame:
+    """Multivariate window error of every test step; steps without a window have 0. ``ready``: the points as ``prepared``, if at hand."""
+    ready = cut(prepared(points)) if ready is None else ready
     gaps = window_forecasts(ready.where("split = 'test'"), context, horizon, method, inner=False, quantiles=False, **options)
     found = scoring.window_mse(gaps).select("series_id", F.col("origin").alias("t"), "score")
     steps = ready.where("split = 'test'").select("series_id", "t").distinct()
@@ -61,7 +64,7 @@ def window_mse_scores(points: DataFrame, context: int, horizon: int, *, method:
 
 def evaluate(scores: DataFrame, labels: DataFrame, context: int) -> DataFrame:
     """Saved or fresh scores against labels, from step ``context`` on: the per-series summary with confusion counts at the best threshold."""
-    joined = metrics.trim_after_context(scores, context).join(test_labels(labels), ["series_id", "t"])
+    joined = cut(metrics.trim_after_context(scores, context).join(test_labels(labels), ["series_id", "t"]))
     best = metrics.summary(joined, ["series_id"])
     return best.join(metrics.confusion(metrics.alarms(joined, best, ["series_id"]), ["series_id"]), "series_id")
 
@@ -72,7 +75,8 @@ def window_mse(points: DataFrame, labels: DataFrame, context: int, horizon: int,
 
 def sweep(points: DataFrame, labels: DataFrame, configs: list[tuple[int, int]], **options) -> DataFrame:
     """``window_mse`` for each (context, horizon), one summary row a series and configuration."""
-    rows = [window_mse(points, labels, c, h, **options).withColumns({"context": F.lit(c), "horizon": F.lit(h)}) for c, h in configs]
+    ready = cut(prepared(points))
+    rows = [window_mse(points, labels, c, h, ready=ready, **options).withColumns({"context": F.lit(c), "horizon": F.lit(h)}) for c, h in configs]
     return reduce(DataFrame.unionByName, rows)
 
 
@@ -94,7 +98,7 @@ def band_scores(points: DataFrame, context: int, horizon: int, *, score: str = e
 
 def band(points: DataFrame, labels: DataFrame, context: int, horizon: int, **options) -> DataFrame:
     """auroc and auprc by series."""
-    return metrics.areas(band_scores(points, context, horizon, **options).join(test_labels(labels), ["series_id", "t"]), ["series_id"])
+    return metrics.areas(cut(band_scores(points, context, horizon, **options).join(test_labels(labels), ["series_id", "t"])), ["series_id"])
 
 
 def covariate_scores(points: DataFrame, horizon: int, pairs: dict[str, str] | list[str]) -> DataFrame:
@@ -106,12 +110,12 @@ def covariate_scores(points: DataFrame, horizon: int, pairs: dict[str, str] | li
 
 
 def covariate(points: DataFrame, labels: DataFrame, horizon: int, pairs: dict[str, str] | list[str]) -> DataFrame:
-    return metrics.areas(covariate_scores(points, horizon, pairs).join(test_labels(labels), ["series_id", "t"]), ["series_id"])
+    return metrics.areas(cut(covariate_scores(points, horizon, pairs).join(test_labels(labels), ["series_id", "t"])), ["series_id"])
 
 
 def window_records(points: DataFrame, labels: DataFrame, context: int, horizon: int, every: int = 5, top_k: int = 3) -> DataFrame:
     """Every n-th test origin for inspection: values, forecasts, actuals and calibrated scores of all features in name order, combined scores, label."""
-    ready = prepared(points)
+    ready = cut(prepared(points))
     w = sliding_windows(ready, context, horizon, inner=True).drop("value")
     gaps = forecast(w, "rolling_mean", context, horizon)
     scores = scoring.calibrate(scoring.window_errors(gaps))

@@ -14,7 +14,7 @@ from tidewatch.operators.forecast import apply_model, covariate_forecast, covari
 from tidewatch.plans import pipelines as pl
 from tidewatch.plans.oracles import ALPHA, C, H, LAGS, PREAMBLE, SEASON, sweep_part
 from tidewatch.sources import series
-from tidewatch.sources.shared import shared_path
+from tidewatch.sources.shared import cut, shared_path
 from tidewatch.streaming.online import online_scores
 
 FLAGSHIP = "pipeline_calibrated"
@@ -332,7 +332,7 @@ def smooth_reflect_even(spark, sf_dir):
 def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Window errors from step C on, with labels."""
     s = metrics.trim_after_context(pl.window_mse_scores(points(spark, sf_dir).drop("at"), C, H), C)
-    return s.join(pl.test_labels(labels(spark, sf_dir)), ["series_id", "t"])
+    return cut(s.join(pl.test_labels(labels(spark, sf_dir)), ["series_id", "t"]))
 
 
 @query(f"SELECT series_id, {r('auroc')} AS auroc FROM m_a")
@@ -416,7 +416,7 @@ def calibrated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT series_id, method AS best_method, {r('auroc')} AS best_auroc FROM (
 SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY auroc DESC, list_position(['max', 'topk', 'l2', 'mae'], method)) AS k FROM k_a WHERE auroc > 0) WHERE k = 1""")
 def best_method(spark, sf_dir):
-    long = calibrated_scores(spark, sf_dir).unpivot(["series_id", "t", "y"], pl.CALIBRATED, "method", "score")
+    long = cut(calibrated_scores(spark, sf_dir).unpivot(["series_id", "t", "y"], pl.CALIBRATED, "method", "score"))
     return rounded(metrics.best_method(metrics.areas(long, ["series_id", "method"]), pl.CALIBRATED, ["series_id"]), "best_auroc")
 
 

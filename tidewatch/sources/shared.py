@@ -1,12 +1,38 @@
-"""The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset, as in tests."""
+"""Tables in the folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset, as in tests."""
 
+from __future__ import annotations
+
+import atexit
+import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_path(spark: SparkSession) -> str:
-    """A new path in it."""
+    """A new path in it; what is written there goes when the Python process ends."""
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-tidewatch-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone by then
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a written table: computed once however often it is read, and safe from lost executors."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
