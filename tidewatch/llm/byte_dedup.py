@@ -254,11 +254,12 @@ def remove_repeated_bytes(
     slim = base.select("did", "tag", "body").where(F.octet_length("body") >= length)
 
     places = slim.mapInArrow(_anchor_rows(length, gram), "m long, did long, tag long, place int")
-    often = places.groupBy("m").count().where("count > 1").select("m")
+    # read back, both sides of the join are plain shuffles, and Spark can split a hot anchor's rows
+    often = scratch.write(places.groupBy("m").count().where("count > 1").select("m"))
     wanted = scratch.write(places.join(often, "m", "left_semi").groupBy("did", "tag").agg(F.collect_list("place").alias("places")))
     rows = slim.join(wanted, ["did", "tag"]).select("did", "tag", "body", "places")
     segments = scratch.write(rows.mapInArrow(_segment_rows(length, gram), "m long, c1 long, c2 long, did long, tag long, start int, lead int, n int, body binary"))
-    scratch.drop(wanted)
+    scratch.drop(wanted, often)
 
     classes = scratch.write(segments.groupBy("m", "c1", "c2").agg(F.count("*").alias("rows"), F.min("did").alias("one")))
     mixed = classes.groupBy("m").agg(F.count("*").alias("kinds"), F.count_if(F.col("rows") == 1).alias("lone")).where("kinds > 1 and lone > 0").select("m")
