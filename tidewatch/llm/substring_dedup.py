@@ -157,12 +157,13 @@ def remove_repeated_windows(
     slim = base.select("did", "body")
 
     places = slim.mapInArrow(_anchor_rows(window, gram), "gram long, did long, place int")
-    often = places.groupBy("gram").count().where("count > 1").select("gram")
+    # read back, both sides of the join are plain shuffles, and Spark can split a hot anchor's rows
+    often = scratch.write(places.groupBy("gram").count().where("count > 1").select("gram"))
     wanted = scratch.write(places.join(often, "gram", "left_semi").groupBy("did").agg(F.collect_list("place").alias("places")))
 
     rows = slim.join(wanted, "did").select("did", "body", "places")
     rows = scratch.write(rows.mapInArrow(_window_rows(window, gram), "h1 long, h2 int, did long, start int, again boolean"))
-    scratch.drop(wanted)
+    scratch.drop(wanted, often)
     once = rows.where(~F.col("again")).drop("again")
     # a table of its own, so that the shuffle that counts is gone before the one that joins
     owner = scratch.write(once.groupBy("h1", "h2").agg(F.min("did").alias("owner"), F.max("did").alias("last")).where("owner < last").drop("last"))
