@@ -16,8 +16,8 @@ from tidewatch.llm.materialise import training_order
 from tidewatch.llm.mixing import mix_sources
 from tidewatch.llm.quality import importance_resample
 from tidewatch.llm.scratch import Scratch
-from tidewatch.llm.simhash import near_duplicate_groups
-from tidewatch.llm.tables import keep_rows, one_row_an_id, quality_weights, table, text_key
+from tidewatch.llm.similar import similar_groups
+from tidewatch.llm.tables import keep_rows, one_row_a_text, quality_weights, table, text_key
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +27,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group over five-word shingles: the one with the smallest id."""
-    groups = near_duplicate_groups(docs, ngram=5, radius=3)
-    return one_row_an_id(docs, groups.select(F.col("component_id").alias("doc_id")))
+    """One document of each group of near duplicates (five-word shingles, a similarity of 0.8): the one with the smallest id."""
+    first = similar_groups(docs, ngram=5, similarity=0.8).select(F.col("first_id").alias("doc_id"), F.col("first_tag").alias("tag"))
+    return one_row_a_text(keep_rows(docs, first.distinct()))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -115,10 +115,11 @@ class _Forest:
 def linked_labels(prints: np.ndarray, run_of: np.ndarray, radius: int, pairs_at_once: int = 1 << 17) -> np.ndarray:
     """Label of each fingerprint (the first of its group's places); ``run_of`` is not falling, and only fingerprints of one run link."""
     n = len(prints)
+    prints = prints.reshape(n, -1)  # a wide fingerprint is several 64-bit words
     words = -(-n // 64)
-    padded = np.zeros(words * 64, np.uint64)
+    padded = np.zeros((words * 64, prints.shape[1]), np.uint64)
     padded[:n] = prints
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little")
     planes = np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)  # planes[b][w]: bit b of 64 fingerprints
     end = np.searchsorted(run_of, run_of, side="right")
     place = np.arange(n)
@@ -140,24 +141,17 @@ def linked_labels(prints: np.ndarray, run_of: np.ndarray, radius: int, pairs_at_
         ones = np.uint64(FULL)
         upto = lambda k: np.where(k >= 64, ones, (np.uint64(1) << np.minimum(k, 63).astype(np.uint64)) - np.uint64(1))
         alive = upto(high) & ~upto(low)
-        counter = [np.zeros(len(q), np.uint64) for _ in range(levels)]
+        # counters start so high that the step beyond the radius carries out of the top one
+        spare = (1 << levels) - 1 - radius
+        counter = [np.full(len(q), ones if spare >> k & 1 else 0, np.uint64) for k in range(levels)]
         over = ~alive
-        mine = prints[q]
-        for b in range(64):
-            carry = planes[b][w] ^ (np.uint64(0) - ((mine >> np.uint64(b)) & np.uint64(1)))
+        for b in range(len(planes)):
+            if b % 64 == 0:
+                mine = prints[q, b // 64]
+            carry = planes[b][w] ^ (np.uint64(0) - ((mine >> np.uint64(b % 64)) & np.uint64(1)))
             for k in range(levels):
                 counter[k], carry = counter[k] ^ carry, counter[k] & carry
             over |= carry
-            if radius + 1 < 1 << levels:
-                # distance > radius without a carry out of the top counter
-                above, equal = np.zeros(len(q), np.uint64), np.full(len(q), ones)
-                for k in reversed(range(levels)):
-                    if radius >> k & 1:
-                        equal &= counter[k]
-                    else:
-                        above |= equal & counter[k]
-                        equal &= ~counter[k]
-                over |= above
             if b % 4 == 3:
                 keep = over != ones
                 if not keep.all():

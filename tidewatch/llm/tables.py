@@ -34,9 +34,8 @@ def keep_rows(docs: DataFrame, decided: DataFrame, *, doc_id: str = "doc_id", te
     return out.drop("kr_row_id", "kr_row_tag")
 
 
-def one_row_an_id(docs: DataFrame, ids: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each id in ``ids`` (column doc_id, distinct) one row of ``docs``, of repeated ids the one with the lowest text hash."""
-    keyed = docs.withColumn("kr_row_id", id_key(doc_id))
-    some = keyed.join(ids.select(id_key("doc_id").alias("kr_row_id")).distinct(), "kr_row_id", "left_semi")
-    order = Window.partitionBy("kr_row_id").orderBy(text_key(text))
-    return some.withColumn("kr_rank", F.row_number().over(order)).where("kr_rank = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+def one_row_a_text(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of those with the same id (nulls are one) and the same text; texts that share an id all stay."""
+    keyed = docs.withColumns({"kr_row_id": id_key(doc_id), "kr_row_tag": text_key(text)})
+    order = Window.partitionBy("kr_row_id", "kr_row_tag").orderBy("kr_row_id")
+    return keyed.withColumn("kr_rank", F.row_number().over(order)).where("kr_rank = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
