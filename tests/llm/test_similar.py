@@ -84,3 +84,15 @@ def test_null_ids_repeated_rows_and_empty_tables(docs):
     got = sorted((r.doc_id or 0, r.first_id or 0) for r in similar_groups(docs(rows)).collect())
     assert got == [(0, 0), (0, 0), (0, 3), (3, 3), (3, 3), (3, 3), (4, 4), (5, 4)]
     assert similar_groups(docs([])).count() == 0
+
+
+def test_repeats_count_once(docs):
+    """Texts with nearly equal shingle sets are one group however often a line of theirs repeats."""
+    rng = random.Random(3)
+    rows = []
+    for base in range(8):
+        body, line = ([f"v{rng.randrange(10**6)}" for _ in range(n)] for n in (304, 14))
+        rows += [(2 * base, " ".join(body + line)), (2 * base + 1, " ".join(body + line * 20))]
+        assert jaccard(shingles(rows[-1][1]), shingles(rows[-2][1])) > 0.9
+    got = {r.doc_id: r.first_id for r in similar_groups(docs(rows)).collect()}
+    assert got == {i: i // 2 * 2 for i in range(16)}

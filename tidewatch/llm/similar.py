@@ -1,5 +1,8 @@
 """Near-duplicate groups at a given similarity of word shingles, by wide SimHash.
 
+The similarity is the Jaccard similarity of shingle sets: bands and fingerprints are both of a text's
+distinct shingles, so that a repeated line or passage counts once.
+
 At a Jaccard similarity of 0.8 about 15 % of the bits of a SimHash differ: ten of 64. Equal groups of
 bits would have to be five bits wide to catch those, so here the buckets are min-wise bands instead
 (each the minima of a few hashes over a text's shingles), and fingerprints have 512 bits, so that the
@@ -38,7 +41,7 @@ def bit_radius(similarity: float, bits: int, margin: float = 2.25) -> int:
 
 
 def shingle_hashes(data: np.ndarray, offs: np.ndarray, ngram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of every text's lower-cased word shingles (fewer words: the whole sequence), and the edges of each text's run."""
+    """Distinct hashes of every text's lower-cased word shingles (fewer words: the whole sequence), ascending, and the edges of each text's run."""
     starts, ends, doc = words(data, offs)
     word = span_hash(prefix(_LOWER[data], BASE_A), starts, ends, BASE_A)
     count = np.bincount(doc, minlength=len(offs) - 1)
@@ -46,7 +49,12 @@ def shingle_hashes(data: np.ndarray, offs: np.ndarray, ngram: int) -> tuple[np.n
     many = np.maximum(count - ngram + 1, np.minimum(count, 1))
     edges = np.concatenate(([0], np.cumsum(many)))
     at = np.repeat(first - edges[:-1], many) + np.arange(edges[-1])
-    return span_hash(prefix(word, BASE_B), at, at + np.repeat(np.minimum(count, ngram), many), BASE_B), edges
+    hashes = span_hash(prefix(word, BASE_B), at, at + np.repeat(np.minimum(count, ngram), many), BASE_B)
+    owner = np.repeat(np.arange(len(many)), many)
+    hashes = hashes[np.lexsort((hashes, owner))]  # owner is not falling, so it stays as it is
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    return hashes[new], np.concatenate(([0], np.cumsum(np.bincount(owner[new], minlength=len(many)))))
 
 
 def signatures(hashes: np.ndarray, edges: np.ndarray, fingerprint_words: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
