@@ -96,3 +96,25 @@ def test_repeats_count_once(docs):
         assert jaccard(shingles(rows[-1][1]), shingles(rows[-2][1])) > 0.9
     got = {r.doc_id: r.first_id for r in similar_groups(docs(rows)).collect()}
     assert got == {i: i // 2 * 2 for i in range(16)}
+
+
+@pytest.mark.parametrize("block", [8192, 7])
+def test_groups_are_the_exact_components(docs, block):
+    """Many pairs just below and just above 0.8: groups are the components of the exact links, no more and no fewer."""
+    rng = random.Random(23)
+    rows = []
+    for base in range(12):
+        words = [f"t{rng.randrange(3000)}" for _ in range(rng.randrange(250, 400))]
+        rows += [edited(rng, words, share) for share in (0, 0.004, 0.008, 0.012, 0.016, 0.02, 0.024, 0.028, 0.032, 0.04, 0.04, 0.04)]
+    sets = [shingles(t) for t in rows]
+    root, below = list(range(len(rows))), 0
+    for x, a in enumerate(sets):
+        for y in range(x):
+            value = jaccard(a, sets[y])
+            below += 0.7 <= value < 0.8
+            if value >= 0.8:
+                low, high = sorted((root[x], root[y]))
+                root = [low if r == high else r for r in root]
+    assert below > 100 and len(set(root)) > 30
+    got = {r.doc_id: r.first_id for r in similar_groups(docs(list(enumerate(rows))), block=block).collect()}
+    assert [got[i] for i in range(len(rows))] == root

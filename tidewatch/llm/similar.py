@@ -6,12 +6,17 @@ distinct shingles, so that a repeated line or passage counts once.
 At a Jaccard similarity of 0.8 about 15 % of the bits of a SimHash differ: ten of 64. Equal groups of
 bits would have to be five bits wide to catch those, so here the buckets are min-wise bands instead
 (each the minima of a few hashes over a text's shingles), and fingerprints have 512 bits, so that the
-share of differing bits tells similarities apart (standard deviation near 0.8: 0.04). Within a bucket
+share of differing bits tells similarities apart (standard deviation near 0.8: 0.016). Within a bucket
 the comparison is the bit-sliced one of ``simhash``, with as many planes as bits.
 
+Fingerprints only propose: the texts that they chain together within a bucket are a candidate group.
+The members' shingle sets are joined to it, and a search from member to member keeps the links whose
+exact similarity reaches the threshold. It compares each member found with all that are not found yet,
+so what is linked exactly within a candidate group stays linked, whatever estimate led there.
+
 With the defaults a pair at a similarity of 0.8 shares no band with a probability of 3e-5, and lies
-beyond the radius with one of 1 %; above 0.85 both vanish. A pair at 0.7 is linked in two of five
-cases, one at 0.6 in one of a hundred.
+beyond the radius with about the same; above 0.85 both vanish. A pair below the threshold is never a
+link; it shares a group only through a chain of links that all reach the threshold.
 """
 
 from __future__ import annotations
@@ -80,23 +85,33 @@ def _sign(ngram: int, fingerprint_words: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offs in chunks(batch.column(2)):
-                prints, keys = signatures(*shingle_hashes(data, offs, ngram), fingerprint_words, bands, rows)
+                hashes, edges = shingle_hashes(data, offs, ngram)
+                prints, keys = signatures(hashes, edges, fingerprint_words, bands, rows)
                 packed = pa.Array.from_buffers(pa.binary(8 * fingerprint_words), hi - lo, [None, pa.py_buffer(np.ascontiguousarray(prints))]).cast(pa.binary())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * bands, pa.int32()), pa.array(keys.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), packed, lists], ["own_id", "tag", "print", "bands"])
+                whole = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(hashes ^ np.uint64(BASE_B)))))
+                whole = pa.array((whole[edges[1:]] - whole[edges[:-1]]).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), packed, lists, whole], ["own_id", "tag", "print", "bands", "whole"])
 
     return run
 
 
-def _bucket_links(radius: int):
-    """Rows sorted by bucket (band, i, j) to a spanning forest (a, b) of each bucket; a bucket may span batches."""
+def _bucket_groups(radius: int):
+    """Rows sorted by bucket (band, i, j) to the members (gid, node) of each group that links within the radius chain together; a bucket may span batches.
+
+    The group's id follows from its members, so that a group found in several buckets is one.
+    """
 
     def flush(bucket: np.ndarray, node: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
         new = np.ones(len(node), bool)
         new[1:] = (bucket[1:] != bucket[:-1]).any(axis=1)
         label = linked_labels(prints, np.cumsum(new), radius)
-        at = np.flatnonzero(label != np.arange(len(label)))
-        return pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[label[at]])], ["a", "b"])
+        at = np.flatnonzero(np.bincount(label, minlength=len(label))[label] > 1)
+        at = at[np.argsort(label[at], kind="stable")]
+        first = np.flatnonzero(np.concatenate(([True], label[at][1:] != label[at][:-1]))) if len(at) else at
+        total = np.add.reduceat(mix(node[at].view(np.uint64) + np.uint64(BASE_A)), first) if len(at) else np.zeros(0, np.uint64)
+        gid = np.repeat(total, np.diff(np.append(first, len(at))))
+        return pa.RecordBatch.from_arrays([pa.array(gid.view(np.int64)), pa.array(node[at])], ["gid", "node"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -116,8 +131,8 @@ def _bucket_links(radius: int):
     return run
 
 
-def similar_links(nodes: DataFrame, radius: int, scratch: Scratch, block: int) -> DataFrame:
-    """(node, print, bands) to links (a, b) that connect all pairs of nodes which share a band and differ in at most ``radius`` bits.
+def candidate_groups(nodes: DataFrame, radius: int, scratch: Scratch, block: int) -> DataFrame:
+    """(node, print, bands) to groups (gid, node) that hold together all pairs of nodes which share a band and differ in at most ``radius`` bits.
 
     A bucket of over ``block`` nodes is cut into blocks, and each pair of blocks is a bucket of its
     own, so that no task holds more than about two blocks and no pair is left out.
@@ -128,7 +143,81 @@ def similar_links(nodes: DataFrame, radius: int, scratch: Scratch, block: int) -
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     rows = rows.withColumn("own", own).select("band", "node", "print", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "print")
-    return rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node").mapInArrow(_bucket_links(radius), "a long, b long")
+    return rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node").mapInArrow(_bucket_groups(radius), "gid long, node long")
+
+
+def exact_forest(node: np.ndarray, hashes: np.ndarray, edges: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) at or above ``similarity`` that connect all members of a group which such links connect; runs of ``hashes`` are sets."""
+    code = np.unique(hashes, return_inverse=True)[1]
+    size = np.diff(edges)
+    mine = lambda x: code[edges[x] : edges[x + 1]]
+    mark = np.zeros(len(hashes), bool)
+    rest, rest_size, rest_code = np.arange(len(node)), size, code  # not found yet
+    found: list[int] = []
+    a, b = [], []
+    while len(rest):
+        if found:
+            x = found.pop()
+        else:
+            x = int(rest[0])
+            rest, rest_size, rest_code = rest[1:], rest_size[1:], rest_code[rest_size[0] :]
+            if not len(rest):
+                break
+        mark[mine(x)] = True
+        both = np.add.reduceat(mark[rest_code], np.cumsum(rest_size) - rest_size, dtype=np.int64)
+        mark[mine(x)] = False
+        near = both / (size[x] + rest_size - both) >= similarity
+        if near.any():
+            a.append(np.full(near.sum(), node[x]))
+            b.append(node[rest[near]])
+            found += rest[near].tolist()
+            rest_code = rest_code[np.repeat(~near, rest_size)]
+            rest, rest_size = rest[~near], rest_size[~near]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
+
+
+def _verified(similarity: float, hold: int = 1 << 20):
+    """Rows (gid, node, set) sorted by gid to exact links (a, b); a group may span batches."""
+
+    def flush(gid: np.ndarray, node: np.ndarray, sets: list[bytes]) -> pa.RecordBatch:
+        cuts = np.flatnonzero(np.concatenate(([True], gid[1:] != gid[:-1], [True])))
+        found = []
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            edges = np.cumsum([0] + [len(x) // 8 for x in sets[lo:hi]])
+            found.append(exact_forest(node[lo:hi], np.frombuffer(b"".join(sets[lo:hi]), np.uint64), edges, similarity))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in range(2)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gid, node, sets, held = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            gid, node = np.concatenate((gid, batch.column(0).to_numpy())), np.concatenate((node, batch.column(1).to_numpy()))
+            now = batch.column(2).to_pylist()
+            sets += now
+            held += sum(map(len, now)) // 8
+            cut = int(np.searchsorted(gid, gid[-1]))
+            if held > hold and cut:
+                yield flush(gid[:cut], node[:cut], sets[:cut])
+                gid, node, sets = gid[cut:], node[cut:], sets[cut:]
+                held = sum(map(len, sets)) // 8
+        if len(gid):
+            yield flush(gid, node, sets)
+
+    return run
+
+
+def _sets(ngram: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offs in chunks(batch.column(1)):
+                hashes, edges = shingle_hashes(data, offs, ngram)
+                raw = hashes.tobytes()
+                sets = [raw[8 * x : 8 * y] for x, y in zip(edges[:-1].tolist(), edges[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], ["node", "set"])
+
+    return run
 
 
 def similar_groups(
@@ -153,15 +242,24 @@ def similar_groups(
     scratch = scratch or Scratch(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     slim = docs.select(F.col(doc_id).alias("own_id"), text_key(text).alias("tag"), F.col(text).alias("body"))
-    signed = slim.mapInArrow(_sign(ngram, fingerprint_words, bands, rows), f"own_id {kind}, tag long, print binary, bands array<long>")
+    signed = slim.mapInArrow(_sign(ngram, fingerprint_words, bands, rows), f"own_id {kind}, tag long, print binary, bands array<long>, whole long")
     signed = scratch.write(signed)
     least = F.min(F.struct(id_key("own_id").alias("key"), F.col("own_id").alias("id"), F.col("tag").alias("tag"))).alias("least")
-    # the ids of nodes are fixed once the table is written; no result depends on them
-    nodes = scratch.write(signed.groupBy("print", "bands").agg(least).withColumn("node", F.monotonically_increasing_id()))
-    radius = bit_radius(similarity, 64 * fingerprint_words)
-    edges = scratch.write(similar_links(nodes, radius, scratch, block).distinct())
+    # a node is a set of shingles (``whole`` is the set's own hash); the ids of nodes are fixed once the table is written, and no result depends on them
+    same = ["print", "bands", "whole"]
+    nodes = scratch.write(signed.groupBy(*same).agg(least).withColumn("node", F.monotonically_increasing_id()))
+    # verification is exact, so the radius is wide
+    radius = bit_radius(similarity, 64 * fingerprint_words, margin=4.0)
+    groups = scratch.write(candidate_groups(nodes, radius, scratch, block).distinct())
+    # the shingles of a node are those of its first row's text
+    found = nodes.join(groups.select("node").distinct(), "node", "left_semi").select("node", F.col("least.key").alias("key"), F.col("least.tag").alias("tag"))
+    bodies = slim.select(id_key("own_id").alias("key"), "tag", "body").join(found, ["key", "tag"]).select("node", "body")
+    sets = scratch.write(bodies.mapInArrow(_sets(ngram), "node long, set binary").dropDuplicates(["node"]))
+    rows_of = groups.join(sets, "node").select("gid", "node", "set").repartition("gid").sortWithinPartitions("gid")
+    edges = scratch.write(rows_of.mapInArrow(_verified(similarity), "a long, b long").distinct())
+    scratch.drop(groups, sets)
     roots = components(edges, scratch)
-    rooted = nodes.join(roots, "node", "left").select("print", "bands", "least", F.coalesce("root", "node").alias("root"))
+    rooted = nodes.join(roots, "node", "left").select(*same, "least", F.coalesce("root", "node").alias("root"))
     first = rooted.groupBy("root").agg(F.min("least").alias("first"))
-    named = rooted.join(first, "root").select("print", "bands", "first")
-    return signed.join(named, ["print", "bands"]).select(F.col("own_id").alias(doc_id), "tag", F.col("first.id").alias("first_id"), F.col("first.tag").alias("first_tag"))
+    named = rooted.join(first, "root").select(*same, "first")
+    return signed.join(named, same).select(F.col("own_id").alias(doc_id), "tag", F.col("first.id").alias("first_id"), F.col("first.tag").alias("first_tag"))
