@@ -34,11 +34,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
-    keyed = docs.select("doc_id", "text", text_key().alias("tag"))
-    found = contaminated(docs, table(spark, sf_dir, "benchmark"), shingle=5, similarity=0.8)
-    # at most a row for each contaminated document and item; the rest of the row follows from the id
-    hit = keyed.select("doc_id", "tag").join(found.select(F.col("doc_id").alias("hit_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_semi")
-    return keep_rows(docs, hit, how="left_anti")
+    # the id alone is no key: it may be null, or other texts may share it
+    keyed = docs.select(F.struct("doc_id", text_key().alias("tag")).alias("row"), "text")
+    hit = contaminated(keyed, table(spark, sf_dir, "benchmark"), doc_id="row", shingle=5, similarity=0.8).select("row.doc_id", "row.tag")
+    return keep_rows(docs, hit.distinct(), how="left_anti")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,3 +57,14 @@ def test_run(spark, corpus):
     left = {r.doc_id for r in out}
     assert not {i for i in left if i is not None and (1000 <= i < 1060 or 2000 <= i < 2020 or 3000 <= i < 3010)}
     assert len({i for i in left if i is not None and i < 300}) > 150
+
+
+def test_decontamination_spares_texts_that_share_an_id(spark, tmp_path):
+    """A contaminated text with a null or repeated id goes alone, with its own copies."""
+    item = " ".join(f"term{i}" for i in range(40))
+    rows = [(None, "head " + item), (None, "clean with a null id"), (None, "another clean one"), (None, None), (7, item), (7, item), (7, "clean with a repeated id"), (8, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == [(0, ""), (0, "another clean one"), (0, "clean with a null id"), (7, "clean with a repeated id"), (8, "clean")]
