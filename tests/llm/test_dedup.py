@@ -48,6 +48,15 @@ def test_windows_of_null_and_repeated_ids(docs):
     assert got == [(1, passage), (1, passage), (2, "x"), (2, "y"), (99, ""), (99, "")]
 
 
+def test_windows_of_texts_that_share_an_id_are_apart(docs):
+    """A passage that one text repeats stays in another text of the same (or null) id that has it once, at the same place."""
+    passage = " ".join(f"p{i}" for i in range(25))
+    twice, once = f"{passage} {passage}", " ".join(f"q{i}" for i in range(25)) + " " + passage
+    rows = [(None, twice), (None, once), (None, once), (4, twice.upper()), (4, once.upper())]
+    got = sorted((r.doc_id or 0, r.kept_text) for r in remove_repeated_windows(docs(rows)).collect())
+    assert got == sorted([(0, passage), (0, once), (0, once), (4, passage.upper()), (4, once.upper())])
+
+
 def test_windows_of_an_empty_table(docs):
     assert remove_repeated_windows(docs([])).count() == 0
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.scratch import Scratch
-from tidewatch.llm.tables import LAST_ID
+from tidewatch.llm.tables import LAST_ID, text_key
 from tidewatch.llm.text import BASE_A, BASE_B, anchors, chunks, prefix, rolling_hash, span_hash, words
 
 
@@ -49,8 +49,8 @@ class _Windows:
 def _anchor_rows(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, _, data, offs in chunks(batch.column(1)):
+            ids, tags = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+            for lo, _, data, offs in chunks(batch.column(2)):
                 w = _Windows(data, offs, window, gram)
                 at = w.anchor[w.inside]
                 if not len(at):
@@ -58,7 +58,7 @@ def _anchor_rows(window: int, gram: int):
                 at = at[np.concatenate(([True], at[1:] != at[:-1]))]
                 doc = w.doc[at]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(w.grams[at].view(np.int64)), pa.array(ids[lo + doc]), pa.array((at - w.first[doc]).astype(np.int32))], ["gram", "did", "place"]
+                    [pa.array(w.grams[at].view(np.int64)), pa.array(ids[lo + doc]), pa.array(tags[lo + doc]), pa.array((at - w.first[doc]).astype(np.int32))], ["gram", "did", "tag", "place"]
                 )
 
     return run
@@ -67,10 +67,10 @@ def _anchor_rows(window: int, gram: int):
 def _window_rows(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            lists = batch.column(2)
+            ids, tags = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+            lists = batch.column(3)
             edges, places = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-            for lo, hi, data, offs in chunks(batch.column(1)):
+            for lo, hi, data, offs in chunks(batch.column(2)):
                 w = _Windows(data, offs, window, gram)
                 if not len(w.anchor):
                     continue
@@ -87,7 +87,8 @@ def _window_rows(window: int, gram: int):
                 again = np.zeros(len(pick), bool)
                 again[order[1:][same]] = True
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h1), pa.array(h2), pa.array(ids[lo + doc]), pa.array((pick - w.first[doc]).astype(np.int32)), pa.array(again)], ["h1", "h2", "did", "start", "again"]
+                    [pa.array(h1), pa.array(h2), pa.array(ids[lo + doc]), pa.array(tags[lo + doc]), pa.array((pick - w.first[doc]).astype(np.int32)), pa.array(again)],
+                    ["h1", "h2", "did", "tag", "start", "again"],
                 )
 
     return run
@@ -153,27 +154,28 @@ def remove_repeated_windows(
     if not 0 < gram <= window:
         raise ValueError("gram must be in 1..window")
     scratch = scratch or Scratch(docs.sparkSession)
-    base = docs.select(F.col(doc_id).alias("own_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("did"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    slim = base.select("did", "body")
+    base = docs.select(F.col(doc_id).alias("own_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("did"), text_key(text).alias("tag"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    # ids may be null or repeated: (did, tag) is one text, so each list has the bound of one text; did alone orders owners
+    slim = base.select("did", "tag", "body")
 
-    places = slim.mapInArrow(_anchor_rows(window, gram), "gram long, did long, place int")
+    places = slim.mapInArrow(_anchor_rows(window, gram), "gram long, did long, tag long, place int")
     # read back, both sides of the join are plain shuffles, and Spark can split a hot anchor's rows
     often = scratch.write(places.groupBy("gram").count().where("count > 1").select("gram"))
-    wanted = scratch.write(places.join(often, "gram", "left_semi").groupBy("did").agg(F.collect_list("place").alias("places")))
+    wanted = scratch.write(places.join(often, "gram", "left_semi").groupBy("did", "tag").agg(F.collect_set("place").alias("places")))
 
-    rows = slim.join(wanted, "did").select("did", "body", "places")
-    rows = scratch.write(rows.mapInArrow(_window_rows(window, gram), "h1 long, h2 int, did long, start int, again boolean"))
+    rows = slim.join(wanted, ["did", "tag"]).select("did", "tag", "body", "places")
+    rows = scratch.write(rows.mapInArrow(_window_rows(window, gram), "h1 long, h2 int, did long, tag long, start int, again boolean"))
     scratch.drop(wanted, often)
     once = rows.where(~F.col("again")).drop("again")
     # a table of its own, so that the shuffle that counts is gone before the one that joins
     owner = scratch.write(once.groupBy("h1", "h2").agg(F.min("did").alias("owner"), F.max("did").alias("last")).where("owner < last").drop("last"))
-    gone = once.join(owner, ["h1", "h2"]).where("did > owner").select("did", "start", "h2")
-    gone = gone.unionByName(rows.where("again").select("did", "start", "h2"))
+    gone = once.join(owner, ["h1", "h2"]).where("did > owner").select("did", "tag", "start", "h2")
+    gone = gone.unionByName(rows.where("again").select("did", "tag", "start", "h2"))
     note = F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("h2").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
-    spans = scratch.write(gone.groupBy("did").agg(F.collect_list(note).alias("notes")))
+    spans = scratch.write(gone.groupBy("did", "tag").agg(F.collect_set(note).alias("notes")))
     scratch.drop(rows, owner)
 
-    joined = base.join(spans, "did", "left").select("own_id", "body", F.coalesce("notes", F.array().cast("array<bigint>")).alias("notes"))
+    joined = base.join(spans, ["did", "tag"], "left").select("own_id", "body", F.coalesce("notes", F.array().cast("array<bigint>")).alias("notes"))
     kind = docs.schema[doc_id].dataType.simpleString()
     names = ["own_id", "kept_text", "n_words", "n_removed", "spans"]
     out = joined.mapInArrow(_cut(window, gram, names), f"own_id {kind}, kept_text string, n_words long, n_removed long, spans array<struct<start:int,end:int>>")
