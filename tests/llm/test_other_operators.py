@@ -254,3 +254,11 @@ def test_url_trees_on_held_out_labels(spark):
     labelled = spark.createDataFrame([(u, i % 2) for i, u in data[:200]], "url string, label int")
     got = url_filter(spark.createDataFrame(data[200:], "page_id long, url string"), RULES, labelled).collect()
     assert sum((r.verdict == "block") == (r.page_id % 2 == 1) for r in got) >= 0.95 * len(got)
+
+
+def test_items_with_a_null_id_match_under_a_null_id(spark, docs):
+    passages = [" ".join(f"{c}{i}" for i in range(30)) for c in "xyz"]
+    rows = [(i, f"head {p} tail") for i, p in enumerate(passages)] + [(None, passages[1]), (9, "clean")]
+    items = [(None, passages[0]), (None, passages[1]), (5, passages[2]), (None, None)]
+    got = contaminated(docs(rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.similarity) for r in got} == {(0, None, 1.0), (1, None, 1.0), (None, None, 1.0), (2, 5, 1.0)} and len(got) == 4

@@ -49,7 +49,7 @@ class _Group:
 
     n: int
     k: int
-    ids: list[int] = field(default_factory=list)
+    ids: list[int | None] = field(default_factory=list)
     shingles: list[Counter] = field(default_factory=list)
     prints: np.ndarray | None = None
     near: np.ndarray | None = None
@@ -62,7 +62,7 @@ class _Group:
         self.near = apart.transpose(2, 0, 1) <= radius // 8
 
 
-def _prepare(items: list[tuple[int, str]], shingle: int, radius: int) -> dict[int, list[_Group]]:
+def _prepare(items: list[tuple[int | None, str]], shingle: int, radius: int) -> dict[int, list[_Group]]:
     """Groups by shingle length: the given one, or the item's whole length if it has fewer words."""
     groups: dict[tuple[int, int], _Group] = {}
     for item_id, text in items:
@@ -88,7 +88,7 @@ def weighted_jaccard(a: Counter, b: Counter) -> float:
     return low / high if high else 0.0
 
 
-def _matches(grams: np.ndarray, first: np.ndarray, counts: np.ndarray, doc: np.ndarray, g: _Group, radius: int, least: float) -> Iterator[tuple[int, int, float, int]]:
+def _matches(grams: np.ndarray, first: np.ndarray, counts: np.ndarray, doc: np.ndarray, g: _Group, radius: int, least: float) -> Iterator[tuple[int, int | None, float, int]]:
     """(text, item id, similarity, first word) of all windows that pass, for the items of one group."""
     known = np.unique(np.concatenate([np.array(list(s), np.uint64) for s in g.shingles]))
     at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
@@ -133,7 +133,7 @@ def _scan(by_k: dict[int, list[_Group]], radius: int, least: float):
                 hashes, doc = _word_hashes(data, offs)
                 first = np.searchsorted(doc, np.arange(hi - lo))
                 counts = np.bincount(doc, minlength=hi - lo)
-                best: dict[tuple[int, int], tuple[float, int]] = {}
+                best: dict[tuple[int, int | None], tuple[float, int]] = {}
                 for k, groups in by_k.items():
                     grams = rolling_hash(hashes, k, BASE_B)
                     if not len(grams):
@@ -172,7 +172,8 @@ def contaminated(
 
     ``start`` is the first word of the best window (the earliest of equals). Items are read in blocks
     of at most ``block`` of them, one scan of the documents a block, so that what each task
-    holds has a bound; their ids are integers. Words are lower-cased (A-Z). Null or empty texts,
+    holds has a bound; their ids are integers. Items with a null id match like others, under a null item_id;
+    within a block, items with the same id (or null ids) give one row a document, that of the best window. Words are lower-cased (A-Z). Null or empty texts,
     and items without words, match nothing. A text shorter than an item is compared as a whole. Null
     document ids are kept as they are, repeated rows give repeated results; an empty table gives
     no rows; other columns are ignored.
@@ -183,9 +184,9 @@ def contaminated(
     blocks = max(1, -(-items.count() * 2 // block)) if items.count() > block else 1
     out = None
     for i in range(blocks):
-        part = items.where(F.pmod(F.xxhash64(item_id, text), F.lit(blocks)) == i).where(F.col(text).isNotNull() & F.col(item_id).isNotNull())
-        rows = [(int(r[0]), r[1]) for r in part.select(item_id, text).collect()]  # one block of items
-        by_k = _prepare(sorted(set(rows)), shingle, radius)
+        part = items.where(F.pmod(F.xxhash64(item_id, text), F.lit(blocks)) == i).where(F.col(text).isNotNull())
+        rows = {(None if r[0] is None else int(r[0]), r[1]) for r in part.select(item_id, text).collect()}  # one block of items
+        by_k = _prepare(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1])), shingle, radius)
         found = slim.mapInArrow(_scan(by_k, radius, similarity), schema)
         out = found if out is None else out.unionByName(found)
     return out.withColumnRenamed("own_id", doc_id)
