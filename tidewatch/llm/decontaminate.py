@@ -2,17 +2,21 @@
 
 For each benchmark item, every window of a text with as many words as the item is a candidate as
 soon as it shares one word shingle with it; a window without any has similarity 0. The window gets a
-SimHash from running bit counts. A multi-index finds the items within ``radius``: fingerprints that
-differ in at most ``radius`` bits differ in at most ``radius // 8`` bits in one of their eight bytes,
-so tables of items by byte list them all. Those pairs are verified by the exact weighted Jaccard
-similarity of their shingles, repeats counted.
+SimHash of 256 bits from running bit counts. A multi-index lists the items within ``radius`` bits:
+of 32 blocks of 8 bits, at most ``radius // 3`` can differ in three bits or more, so all others
+differ in at most two, and tables by block value say which items are that near. Listed items within
+the radius are verified by the exact weighted Jaccard similarity of their shingles, repeats counted.
 
-The radius is wide: at a similarity of 0.8 about ten of 64 bits differ, with a standard deviation of
-three, so 24 keeps practically every pair that verification would pass.
+At a similarity of 0.8 about 39 of 256 bits differ, with a standard deviation of 5.7; the default
+radius lies four of those above, and unrelated fingerprints eight beyond it.
+
+All shingles of all items are searched once for a chunk of texts, and only the hits are dealt to the
+items' groups (by word count). So text without a known shingle costs the same for any number of items.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -22,12 +26,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.text import BASE_A, BASE_B, chunks, prefix, rolling_hash, span_hash, words
+from tidewatch.llm.similar import bit_radius
+from tidewatch.llm.text import BASE_A, BASE_B, chunks, mix, prefix, rolling_hash, span_hash, words
 
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
+WORDS = 4
+_SALTS = np.arange(WORDS, dtype=np.uint64) << np.uint64(60)
+BLOCKS = WORDS * 8
+#: Bits that may differ in a block of 8 for its value to count as near.
+NEAR_BITS = 2
+#: Places of windows times bits, or windows times items, that one step holds.
+AT_ONCE = 1 << 22
+#: A group of more items is cut, so that its tables of near items stay under 16 MB.
+GROUP_ITEMS = 2048
+
 
 def _word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each lower-cased word, and its text."""
@@ -36,49 +51,96 @@ def _word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _bits(hashes: np.ndarray) -> np.ndarray:
-    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """Rows of WORDS * 64 independent bits of each hash."""
+    wide = np.stack([mix(hashes ^ salt) for salt in _SALTS], axis=1)
+    return np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little")
 
 
 def _simhash(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
-    return np.packbits(counts * 2 > total[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    """Fingerprints as rows of BLOCKS bytes."""
+    return np.packbits(counts * 2 > total[:, None], axis=1, bitorder="little")
 
 
 @dataclass
 class _Group:
-    """Items of one word count: shingles, fingerprints, and per byte and value the items near it."""
+    """Items of one word count: their shingles, with repeats, and fingerprints."""
 
     n: int
     k: int
     ids: list[int | None] = field(default_factory=list)
-    shingles: list[Counter] = field(default_factory=list)
+    shingles: list[np.ndarray] = field(default_factory=list)
     prints: np.ndarray | None = None
-    near: np.ndarray | None = None
 
-    def close(self, radius: int) -> None:
-        rows = [np.repeat(np.array(list(s), np.uint64), list(s.values())) for s in self.shingles]
-        self.prints = np.array([_simhash(_bits(r).sum(axis=0, dtype=np.int64)[None], np.array([len(r)]))[0] for r in rows], np.uint64)
-        own = self.prints.view(np.uint8).reshape(-1, 8)
-        apart = _POPCOUNT[np.arange(256, dtype=np.uint8)[:, None, None] ^ own[None]]  # value, item, byte
-        self.near = apart.transpose(2, 0, 1) <= radius // 8
+    def close(self) -> None:
+        self.prints = np.concatenate([_simhash(_bits(s).sum(axis=0, dtype=np.int64)[None], np.array([len(s)])) for s in self.shingles])
+
+    def tables(self) -> np.ndarray:
+        """[block, value, item]: whether the item's block is within NEAR_BITS of the value."""
+        value = np.arange(256, dtype=np.uint8)[None, :, None]
+        return _POPCOUNT[value ^ self.prints.T[:, None, :]] <= NEAR_BITS
+
+
+@dataclass
+class _Index:
+    """All groups of one shingle length, and which of them hold each known shingle."""
+
+    k: int
+    groups: list[_Group]
+    known: np.ndarray
+    edges: np.ndarray
+    owner: np.ndarray
+    #: By the top 20 bits of a hash: whether any known one begins so.
+    begins: np.ndarray
+
+    @classmethod
+    def of(cls, k: int, groups: list[_Group]) -> _Index:
+        held = [np.unique(np.concatenate(g.shingles)) for g in groups]
+        shingle = np.concatenate(held)
+        group = np.repeat(np.arange(len(groups)), [len(h) for h in held])
+        order = np.lexsort((group, shingle))
+        known, first = np.unique(shingle[order], return_index=True)
+        begins = np.zeros(1 << 20, bool)
+        begins[known >> np.uint64(44)] = True
+        return cls(k, groups, known, np.append(first, len(shingle)), group[order], begins)
 
+    def hits(self, grams: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(group, ascending places of its shingles) for all groups that have any; no place spans two texts."""
+        maybe = np.flatnonzero(self.begins[grams >> np.uint64(44)])
+        at = np.minimum(np.searchsorted(self.known, grams[maybe]), len(self.known) - 1)
+        found = (self.known[at] == grams[maybe]) & (doc[maybe] == doc[maybe + self.k - 1])
+        place, at = maybe[found], at[found]
+        if not len(place):
+            return
+        many = self.edges[at + 1] - self.edges[at]
+        spread = np.repeat(self.edges[at] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        group, place = self.owner[spread], np.repeat(place, many)
+        order = np.argsort(group, kind="stable")
+        group, place = group[order], place[order]
+        cuts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            yield int(group[lo]), place[lo:hi]
 
-def _prepare(items: list[tuple[int | None, str]], shingle: int, radius: int) -> dict[int, list[_Group]]:
-    """Groups by shingle length: the given one, or the item's whole length if it has fewer words."""
-    groups: dict[tuple[int, int], _Group] = {}
+
+def _prepare(items: list[tuple[int | None, str]], shingle: int) -> list[_Index]:
+    """An index for each shingle length: the given one, or an item's whole length if it has fewer words."""
+    groups: dict[tuple[int, int], list[_Group]] = {}
     for item_id, text in items:
         raw = np.frombuffer(text.encode(), np.uint8)
         hashes, _ = _word_hashes(raw, np.array([0, len(raw)]))
         if not len(hashes):
             continue
         n, k = len(hashes), min(shingle, len(hashes))
-        g = groups.setdefault((k, n), _Group(n, k))
-        g.ids.append(item_id)
-        g.shingles.append(Counter(rolling_hash(hashes, k, BASE_B).tolist()))
+        same = groups.setdefault((k, n), [])
+        if not same or len(same[-1].ids) >= GROUP_ITEMS:
+            same.append(_Group(n, k))
+        same[-1].ids.append(item_id)
+        same[-1].shingles.append(rolling_hash(hashes, k, BASE_B))
     by_k: dict[int, list[_Group]] = {}
-    for g in groups.values():
-        g.close(radius)
-        by_k.setdefault(g.k, []).append(g)
-    return by_k
+    for (k, _), same in groups.items():
+        for g in same:
+            g.close()
+        by_k.setdefault(k, []).extend(same)
+    return [_Index.of(k, g) for k, g in by_k.items()]
 
 
 def weighted_jaccard(a: Counter, b: Counter) -> float:
@@ -88,62 +150,65 @@ def weighted_jaccard(a: Counter, b: Counter) -> float:
     return low / high if high else 0.0
 
 
-def _matches(grams: np.ndarray, first: np.ndarray, counts: np.ndarray, doc: np.ndarray, g: _Group, radius: int, least: float) -> Iterator[tuple[int, int | None, float, int]]:
-    """(text, item id, similarity, first word) of all windows that pass, for the items of one group."""
-    known = np.unique(np.concatenate([np.array(list(s), np.uint64) for s in g.shingles]))
-    at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-    hits = np.flatnonzero(known[at] == grams)
-    hits = hits[doc[hits] == doc[hits + g.k - 1]]
-    if not len(hits):
-        return
+def _matches(
+    grams: np.ndarray, hits: np.ndarray, first: np.ndarray, counts: np.ndarray, doc: np.ndarray, g: _Group, near: np.ndarray, radius: int, least: float
+) -> Iterator[tuple[int, int | None, float, int]]:
+    """(text, item id, similarity, first word) of all windows with a hit that pass, for the items of one group."""
     owner = doc[hits]
     size = np.minimum(counts[owner], g.n)  # a text shorter than the item is one window
     low = np.maximum(hits - (size - g.k), first[owner])
     high = np.minimum(hits, first[owner] + counts[owner] - size)
-    spread = high - low + 1
-    start = np.repeat(low, spread) + np.arange(spread.sum()) - np.repeat(np.cumsum(spread) - spread, spread)
-    start = np.unique(start)
-    owner = doc[start]
-    shingles = np.minimum(counts[owner], g.n) - g.k + 1
-    for lo in range(0, len(start), 1 << 14):
-        s, m = start[lo : lo + (1 << 14)], shingles[lo : lo + (1 << 14)]
+    low[1:] = np.maximum(low[1:], np.maximum.accumulate(high)[:-1] + 1)  # windows of an earlier hit once
+    spread = np.maximum(high - low + 1, 0)
+    start = np.repeat(low - (np.cumsum(spread) - spread), spread) + np.arange(spread.sum())
+    shingles = np.minimum(counts[doc[start]], g.n) - g.k + 1
+    must = BLOCKS - radius // (NEAR_BITS + 1)
+    step = max(64, AT_ONCE // max(WORDS * 64, len(g.ids)))
+    for lo in range(0, len(start), step):
+        s, m = start[lo : lo + step], shingles[lo : lo + step]
         # running bit counts over the shingles that these windows hold
-        place = np.unique(np.concatenate([s[m > j] + j for j in range(int(m.max()))]))
-        sums = np.zeros((len(place) + 1, 64), np.int32)
+        reach = np.zeros(int(s[-1] - s[0]) + int(m.max()) + 1, np.int32)
+        np.add.at(reach, s - s[0], 1)
+        np.add.at(reach, s - s[0] + m, -1)
+        place = np.flatnonzero(np.cumsum(reach) > 0) + s[0]
+        sums = np.zeros((len(place) + 1, WORDS * 64), np.int32)
         np.cumsum(_bits(grams[place]), axis=0, dtype=np.int32, out=sums[1:])
         x = np.searchsorted(place, s)
         prints = _simhash(sums[x + m] - sums[x], m)
-        bytes_ = prints.view(np.uint8).reshape(-1, 8)
-        listed = np.zeros((len(s), len(g.ids)), bool)
-        for b in range(8):
-            listed |= g.near[b][bytes_[:, b]]
-        w, i = np.nonzero(listed)
-        gap = _POPCOUNT[(prints[w] ^ g.prints[i]).view(np.uint8).reshape(-1, 8)].sum(axis=1)
+        agree = np.zeros((len(s), len(g.ids)), np.uint8)
+        for b in range(BLOCKS):
+            agree += near[b][prints[:, b]]
+        w, i = np.nonzero(agree >= must)
+        gap = _POPCOUNT[prints[w] ^ g.prints[i]].sum(axis=1)
         for a, b in zip(w[gap <= radius].tolist(), i[gap <= radius].tolist()):
             j = int(s[a])
-            value = weighted_jaccard(Counter(grams[j : j + int(m[a])].tolist()), g.shingles[b])
+            value = weighted_jaccard(Counter(grams[j : j + int(m[a])].tolist()), Counter(g.shingles[b].tolist()))
             if value >= least:
                 yield int(doc[j]), g.ids[b], value, j - int(first[doc[j]])
 
 
-def _scan(by_k: dict[int, list[_Group]], radius: int, least: float):
+def _scan(indexes: list[_Index], radius: int, least: float, cache: int = 1 << 26):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near: dict[tuple[int, int], np.ndarray] = {}  # tables of groups met so far, up to ``cache`` bytes
+
+        def tables(k: int, at: int, g: _Group) -> np.ndarray:
+            if (k, at) not in near:
+                if sum(t.nbytes for t in near.values()) > cache:
+                    near.clear()
+                near[k, at] = g.tables()
+            return near[k, at]
+
         for batch in batches:
             for lo, hi, data, offs in chunks(batch.column(1)):
                 hashes, doc = _word_hashes(data, offs)
                 first = np.searchsorted(doc, np.arange(hi - lo))
                 counts = np.bincount(doc, minlength=hi - lo)
                 best: dict[tuple[int, int | None], tuple[float, int]] = {}
-                for k, groups in by_k.items():
-                    grams = rolling_hash(hashes, k, BASE_B)
-                    if not len(grams):
-                        continue
-                    known = np.unique(np.concatenate([np.array(list(s), np.uint64) for g in groups for s in g.shingles]))
-                    at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-                    if not (known[at] == grams).any():
-                        continue
-                    for g in groups:
-                        for d, item, value, start in _matches(grams, first, counts, doc, g, radius, least):
+                for index in indexes:
+                    grams = rolling_hash(hashes, index.k, BASE_B)
+                    for at, hits in index.hits(grams, doc):
+                        g = index.groups[at]
+                        for d, item, value, start in _matches(grams, hits, first, counts, doc, g, tables(index.k, at, g), radius, least):
                             if (value, -start) > best.get((d, item), (-1.0, 0)):
                                 best[d, item] = (value, -start)
                 rows = [(lo + d, item, value, -neg) for (d, item), (value, neg) in best.items()]
@@ -165,28 +230,35 @@ def contaminated(
     text: str = "text",
     shingle: int = 5,
     similarity: float = 0.8,
-    radius: int = 24,
+    radius: int | None = None,
     block: int = 20_000,
+    block_bytes: int = 1 << 24,
 ) -> DataFrame:
     """doc_id, item_id, similarity, start for each document and item of which some window reaches ``similarity``.
 
-    ``start`` is the first word of the best window (the earliest of equals). Items are read in blocks
-    of at most ``block`` of them, one scan of the documents a block, so that what each task
+    ``start`` is the first word of the best window (the earliest of equals). ``radius`` is in bits of
+    256; by default four standard deviations above what ``similarity`` gives. Items are read in blocks of about
+    ``block`` of them and ``block_bytes`` of their text, one scan of the documents a block, so that what each task
     holds has a bound; their ids are integers. Items with a null id match like others, under a null item_id;
     within a block, items with the same id (or null ids) give one row a document, that of the best window. Words are lower-cased (A-Z). Null or empty texts,
-    and items without words, match nothing. A text shorter than an item is compared as a whole. Null
+    and items without words, match nothing. A text shorter than an item is compared as a whole; a very long
+    text is read whole, its windows in steps of bounded memory. Null
     document ids are kept as they are, repeated rows give repeated results; an empty table gives
     no rows; other columns are ignored.
     """
+    radius = bit_radius(similarity, WORDS * 64, margin=4.0) if radius is None else radius
     slim = docs.select(F.col(doc_id).alias("own_id"), F.col(text).alias("body"))
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"own_id {kind}, item_id long, similarity double, start int"
-    blocks = max(1, -(-items.count() * 2 // block)) if items.count() > block else 1
+    known = items.where(F.col(text).isNotNull())
+    many, size = known.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    # twice as many blocks as would do if hashes dealt evenly
+    blocks = 1 if many <= block and size <= block_bytes else math.ceil(2 * max(many / block, size / block_bytes))
     out = None
     for i in range(blocks):
-        part = items.where(F.pmod(F.xxhash64(item_id, text), F.lit(blocks)) == i).where(F.col(text).isNotNull())
+        part = known.where(F.pmod(F.xxhash64(item_id, text), F.lit(blocks)) == i)
         rows = {(None if r[0] is None else int(r[0]), r[1]) for r in part.select(item_id, text).collect()}  # one block of items
-        by_k = _prepare(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1])), shingle, radius)
-        found = slim.mapInArrow(_scan(by_k, radius, similarity), schema)
+        indexes = _prepare(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1])), shingle)
+        found = slim.mapInArrow(_scan(indexes, radius, similarity), schema)
         out = found if out is None else out.unionByName(found)
     return out.withColumnRenamed("own_id", doc_id)
