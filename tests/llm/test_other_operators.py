@@ -11,7 +11,7 @@ from conftest import varied
 
 from tidewatch.llm import media
 from tidewatch.llm.decontaminate import contaminated
-from tidewatch.llm.materialise import END_OF_TEXT, TOKENIZER, Feistel, resume, shard_blobs, tokenizer, training_order, write_shards
+from tidewatch.llm.materialise import END_OF_TEXT, TOKENIZER, Feistel, resume, shard_blobs, tokenizer, training_order, write_shards, written_order
 from tidewatch.llm.quality import best_threshold, importance_resample, top_k
 from tidewatch.llm.urls import Rule, url_filter
 
@@ -113,6 +113,21 @@ def test_training_order_of_null_and_no_rows(docs):
     got = training_order(docs([(None, None), (1, ""), (1, "")]), length=8).collect()
     assert sorted(r.slot for r in got) == [0, 1, 2] and all(r.n_tokens == 1 for r in got)
     assert training_order(docs([]), length=8).count() == 0
+    assert written_order(docs([]), length=8).count() == 0
+
+
+def test_slots_are_whole_when_tasks_write_several_files(docs, spark):
+    rows = varied(7)
+    want = collections.Counter(bytes(r.tokens) for r in training_order(docs(rows), length=64).collect())
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "5")
+    try:
+        got = written_order(docs(rows), length=64, per_shard=16)
+        assert len(got.inputFiles()) > 3
+        got = got.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert sorted(r.slot for r in got) == list(range(sum(want.values())))
+    assert collections.Counter(bytes(r.tokens) for r in got) == want and all(r.shard == r.slot // 16 for r in got)
 
 
 # --- decontamination

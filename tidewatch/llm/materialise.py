@@ -27,6 +27,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Fixed value: the vocabulary's free id, set after each text.
 END_OF_TEXT = 50256
+#: More shards than this share tasks, of up to so many bytes of token ids each.
+MANY_TASKS, TASK_BYTES = 10_000, 1 << 27
 _loaded: dict[str, tiktoken.Encoding] = {}
 
 
@@ -121,40 +123,41 @@ def training_order(
     Each text gives its ids and an end mark, cut into sequences of ``length``; ``tokens`` holds
     ``length`` little-endian 16-bit ids, zeros after ``n_tokens``. Slots are 0..n-1; shard is
     slot // per_shard and position the rest. The index that is permuted is the row's place in the
-    written table of sequences, so it depends on how ``docs`` is split into files, not on timing.
-    Null and empty texts give one sequence with the end mark only. Null ids and repeated rows
+    written table of sequences (its files in order of their numbers), so it depends on how ``docs``
+    is split into files, not on timing. Null and empty texts give one sequence with the end mark
+    only; a very long text gives many sequences, equal texts equal ones. Null ids and repeated rows
     are kept. An empty table gives no rows; other columns are ignored.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     slim = docs.select(F.col(doc_id).alias("own_id"), F.col(text).alias("body"))
     table = scratch.write(slim.mapInArrow(_sequences(tokenizer_path, length), f"own_id {kind}, seq_no int, n_tokens int, tokens binary"))
-    placed = table.select("*", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int").alias("file"), F.col("_metadata.row_index").alias("row"))
+    # a task may write several files: its number, then the file's number within it
+    number = lambda pattern: F.regexp_extract(F.col("_metadata.file_name"), pattern, 1).cast("long")
+    file = F.shiftleft(number(r"^part-(\d+)-"), 32).bitwiseOR(number(r"-c(\d+)\."))
+    placed = table.select("*", file.alias("file"), F.col("_metadata.row_index").alias("row"))
     files = sorted((r["file"], r["count"]) for r in placed.groupBy("file").count().collect())  # one row a file
-    n = sum(c for _, c in files)
-    before, at = [], 0
-    for f, c in files:
-        before.append((f, at))
-        at += c
+    names = np.array([f for f, _ in files], np.int64)
+    before = np.cumsum([0] + [c for _, c in files])
+    n = int(before[-1])
     permutation = Feistel(n, key)
-    width = files[-1][0] + 1 if files else 1
-    offsets = np.zeros(width, np.int64)
-    for f, a in before:
-        offsets[f] = a
 
     @F.pandas_udf("long")
     def slot_of(file: pd.Series, row: pd.Series) -> pd.Series:
-        return pd.Series(permutation.slot(offsets[file.to_numpy()] + row.to_numpy()))
+        return pd.Series(permutation.slot(before[np.searchsorted(names, file.to_numpy())] + row.to_numpy()))
 
-    out = placed.withColumn("slot", slot_of("file", "row"))
     shards = max(1, -(-n // per_shard))
-    out = out.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int")).repartitionByRange(min(shards, 4096), "shard").sortWithinPartitions("slot")
+    # a task a shard, or more than one shard of up to TASK_BYTES together where there are very many
+    tasks = shards if shards <= MANY_TASKS else max(MANY_TASKS, -(-n * length * 2 // TASK_BYTES))
+    each = -(-shards // tasks)
+    out = placed.withColumn("slot", slot_of("file", "row")).withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int"))
+    out = out.repartitionById(-(-shards // each), F.floor(F.col("shard") / each).cast("int")).sortWithinPartitions("shard", "slot")
     return out.select("slot", "shard", (F.col("slot") % per_shard).cast("int").alias("position"), F.col("own_id").alias(doc_id), "seq_no", "n_tokens", "tokens")
 
 
 def write_shards(ordered: DataFrame, path: str) -> None:
     """One folder a shard, records in slot order."""
-    ordered.write.partitionBy("shard").parquet(path)
+    ordered.write.partitionBy("shard").option("compression", "zstd").parquet(path)
 
 
 def resume(spark: SparkSession, path: str, slot: int, per_shard: int) -> DataFrame:
@@ -162,6 +165,16 @@ def resume(spark: SparkSession, path: str, slot: int, per_shard: int) -> DataFra
     return spark.read.parquet(path).where((F.col("shard") >= slot // per_shard) & (F.col("slot") >= slot))
 
 
+def written_order(docs: DataFrame, *, scratch: Scratch | None = None, **options) -> DataFrame:
+    """``training_order`` written as shards in the shared folder and read back; a shard's file holds its records in slot order."""
+    scratch = scratch or Scratch(docs.sparkSession)
+    ordered = training_order(docs, scratch=scratch, **options)
+    path = scratch.place()
+    with scratch.tidy():
+        write_shards(ordered, path)
+    return docs.sparkSession.read.schema(ordered.schema).parquet(path).select(*ordered.columns)
+
+
 def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shard, first, parts = None, 0, []
 

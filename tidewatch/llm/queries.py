@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tidewatch.llm.byte_dedup import remove_repeated_bytes
 from tidewatch.llm.decontaminate import contaminated
-from tidewatch.llm.materialise import training_order
+from tidewatch.llm.materialise import written_order
 from tidewatch.llm.media import media_columns
 from tidewatch.llm.mixing import mix_sources
 from tidewatch.llm.quality import importance_resample
@@ -69,7 +69,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training_order(table(spark, sf_dir, "documents"), length=1024)
+    return written_order(table(spark, sf_dir, "documents"), length=1024)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
