@@ -230,7 +230,7 @@ def near_duplicate_groups(
 
     Texts without words (null, empty, spaces) have fingerprint zero and link like any other. Null ids
     never name a group that has an id; a group of null ids only has a null component. Repeated rows
-    are kept. An empty table gives no rows; other columns are ignored.
+    are kept. A very long text is hashed whole, in steps of bounded memory beyond its own shingles' hashes. An empty table gives no rows; other columns are ignored.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     rows = scratch.write(simhash(docs, ngram=ngram, doc_id=doc_id, text=text))
@@ -238,7 +238,8 @@ def near_duplicate_groups(
     edges = scratch.write(links(nodes.select("print"), radius, scratch, bucket_limit).distinct())
     roots = components(edges, scratch)
     rooted = nodes.join(roots, nodes["print"] == roots["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # read back, so that Spark can split a large component
+    named = scratch.write(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     named = rooted.join(named, "root").select("print", "component_id")
     out = rows.join(named, "print")
     return out.select(F.col("own_id").alias(doc_id), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")

@@ -259,7 +259,8 @@ def similar_groups(
     edges = scratch.write(rows_of.mapInArrow(_verified(similarity), "a long, b long").distinct())
     scratch.drop(groups, sets)
     roots = components(edges, scratch)
-    rooted = nodes.join(roots, "node", "left").select(*same, "least", F.coalesce("root", "node").alias("root"))
-    first = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    rooted = scratch.write(nodes.join(roots, "node", "left").select(*same, "least", F.coalesce("root", "node").alias("root")))
+    # read back, so that Spark can split a large group
+    first = scratch.write(rooted.groupBy("root").agg(F.min("least").alias("first")))
     named = rooted.join(first, "root").select(*same, "first")
     return signed.join(named, same).select(F.col("own_id").alias(doc_id), "tag", F.col("first.id").alias("first_id"), F.col("first.tag").alias("first_tag"))
