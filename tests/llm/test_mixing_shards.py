@@ -48,10 +48,10 @@ def check_mix(rows, got):
 
 def test_targets_and_budgets(docs):
     rows = varied(2)
-    got = mix_sources(docs(rows), buckets=8).collect()
+    got = mix_sources(docs(rows), per_octave=2).collect()
     assert len(got) == len(rows)
     check_mix(rows, got)
-    again = mix_sources(docs(rows, partitions=5), buckets=8).collect()
+    again = mix_sources(docs(rows, partitions=5), per_octave=2).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
 
 

@@ -5,8 +5,10 @@ the document, so that the smallest keys are a weighted sample without replacemen
 within a source and sizes prefix-summed up to the source's token budget. Whole epochs come first:
 a budget of 2.4 times the source takes every document twice and a 0.4 sample once more.
 
-A source may hold a third of all rows, so no step gathers one: the key's range is cut into
-``buckets`` slices, sizes are summed by (source, slice), and only (source, slice) groups are sorted.
+A source may hold a third of all rows, so no step gathers one: the key's range is cut into slices of
+equal ratio, ``per_octave`` of them from a key to its double. Keys are exponential, so whatever the
+weights, a slice holds at most 0.26 / ``per_octave`` of a source's rows. Sizes are summed by (source, slice), and only (source,
+slice) groups are sorted.
 """
 
 from __future__ import annotations
@@ -59,7 +61,7 @@ def mix_sources(
     with_row: bool = False,
     seed: int = 42,
     cap: float = 3.0,
-    buckets: int = 1024,
+    per_octave: int | None = None,
     whole: bool = False,
     scratch: Scratch | None = None,
 ) -> DataFrame:
@@ -73,6 +75,7 @@ def mix_sources(
     Null text has size 0, null source is a source of its own after all others, null ids are
     ordinary ids. Repeated rows each count. Documents with equal keys are ordered by id, size and a
     hash of the text, so reruns agree; rows equal in all of these take their parts in any order.
+    Very long texts are counted whole. By default ``per_octave`` is such that no slice has many more than a million rows.
     An empty table gives no rows. Other columns of ``docs`` are ignored.
     """
     whole_row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if with_row else []
@@ -82,17 +85,19 @@ def mix_sources(
     )
     if not with_row:
         rows = (scratch or Scratch(docs.sparkSession)).write(rows)
+    if per_octave is None:
+        per_octave = max(64, rows.count() // 4_000_000)
     if weights is None:
         rows = rows.withColumn("mix_quality", F.lit(1.0))
     else:
         by_id = weights.toDF("mix_weighed", "mix_weight")
         rows = rows.join(by_id, F.col("mix_id") == F.col("mix_weighed"), "left")
         rows = rows.withColumn("mix_quality", F.when(F.col("mix_weight") > 0, F.col("mix_weight").cast("double")).otherwise(F.lit(1.0))).drop("mix_weighed", "mix_weight")
-    unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "mix_id", "mix_tie"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "mix_id", "mix_tie"), 12) + F.lit(0.5)) / F.lit(float(1 << 52))
     rows = rows.withColumn("mix_key", -F.log(unit) / F.col("mix_quality"))
     # A null source cannot be a join key; the empty marker before every other name keeps them apart.
     rows = rows.withColumn("mix_group", F.coalesce(F.concat(F.lit("="), F.col("mix_source")), F.lit("")))
-    rows = rows.withColumn("mix_slice", F.least(F.floor((1 - F.exp(-F.col("mix_key"))) * buckets), F.lit(buckets - 1)).cast("int"))
+    rows = rows.withColumn("mix_slice", F.floor(F.log2(F.greatest("mix_key", F.lit(2.0**-60))) * per_octave).cast("int"))
 
     slices = rows.groupBy("mix_group", "mix_source", "mix_slice").agg(F.sum("size").alias("slice_size"))
     sums = slices.groupBy("mix_group", "mix_source").agg(F.sum("slice_size").alias("source_size"))
