@@ -217,6 +217,8 @@ def test_top_k_and_threshold(spark):
     order = [i for i, _ in sorted(rows, key=lambda r: (-r[1], r[0]))]
     for k in range(0, 12):
         assert {r.id for r in top_k(df, k, "v", ["id"]).collect() if r.kept} == set(order[:k])
+        narrow = {r.id for r in top_k(df, k, "v", ["id"], hold=1).collect() if r.kept}
+        assert sorted(dict(rows)[i] for i in narrow) == sorted(dict(rows)[i] for i in order[:k])
     assert best_threshold([1.0, 2.0, 3.0, 4.0], [False, False, True, True]) == 2.5
     assert best_threshold([1.0], [True]) == float("-inf")
 

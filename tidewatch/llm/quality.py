@@ -123,22 +123,34 @@ def best_threshold(scores: list[float], good: list[bool]) -> float:
     return cut
 
 
-def top_k(rows: DataFrame, k: int, key: str, tie: list[str]) -> DataFrame:
-    """``rows`` with the boolean ``kept``: the k largest by ``key``, ties by ``tie``. Only the slice of keys at the border is sorted."""
-    sliced = rows.withColumn("tk_slice", F.floor(F.asinh(key) * 256))
-    sizes = sliced.groupBy("tk_slice").agg(F.count("*").alias("tk_n"))
-    # a few thousand slices, whatever the rows
-    above = Window.orderBy(F.col("tk_slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("tk_above", F.coalesce(F.sum("tk_n").over(above), F.lit(0)))
-    border = sizes.where((F.col("tk_above") < k) & (F.col("tk_above") + F.col("tk_n") > k)).select("tk_slice", "tk_above").first()
-    if border is None:
-        full = sizes.where(F.col("tk_above") + F.col("tk_n") <= k).agg(F.min("tk_slice")).first()[0]
-        return sliced.withColumn("kept", F.lit(False) if full is None else F.col("tk_slice") >= full).drop("tk_slice")
-    at, before = border
-    order = Window.partitionBy("tk_slice").orderBy(F.col(key).desc(), *tie)
-    edge = sliced.where(F.col("tk_slice") == at).withColumn("kept", F.row_number().over(order) <= k - before)
-    rest = sliced.where(F.col("tk_slice") != at).withColumn("kept", F.col("tk_slice") > at)
-    return edge.unionByName(rest).drop("tk_slice")
+def top_k(rows: DataFrame, k: int, key: str, tie: list[str], hold: int = 1 << 13) -> DataFrame:
+    """``rows``, a written table, with the boolean ``kept``: the k largest by ``key`` (finite numbers), ties by ``tie``.
+
+    Counts over ever finer slices of the key close in on the k-th place until at most ``hold`` rows are
+    left around it; only those are sorted. If more rows than that have one key, they are told apart by
+    a hash of ``tie`` and of the row's place in the table instead.
+    """
+    n, low, high = rows.agg(F.count("*"), F.min(key), F.max(key)).first()
+    above = 0
+    if not 0 < k < n:
+        return rows.withColumn("kept", F.lit(k > 0))
+    while n > hold and low < high:
+        # 1,024 slices, whatever the rows
+        at = F.least(F.floor((F.col(key) - low) / (high - low) * 1024), F.lit(1023)).alias("slice")
+        within = rows.where(F.col(key).between(low, high)).groupBy(at)
+        for _, n, low, high in sorted(within.agg(F.count("*"), F.min(key), F.max(key)).collect(), reverse=True):
+            if above + n >= k:
+                break
+            above += n
+    edge = rows.where(F.col(key).between(low, high))
+    rest = rows.where(~F.col(key).between(low, high)).withColumn("kept", F.col(key) > high)
+    if n > hold:
+        drawn = edge.withColumn("tk_draw", F.xxhash64(*tie, F.monotonically_increasing_id()).cast("double"))
+        edge = top_k(drawn, k - above, "tk_draw", tie, hold).drop("tk_draw")
+    else:
+        order = Window.partitionBy(F.lit(0)).orderBy(F.col(key).desc(), *tie)  # at most ``hold`` rows
+        edge = edge.withColumn("kept", F.row_number().over(order) <= k - above)
+    return edge.unionByName(rest)
 
 
 def importance_resample(
@@ -163,7 +175,7 @@ def importance_resample(
     the cut that best parts held-out good from bad labels (all documents if there is no cut).
     ``temperature`` scales the noise. Texts without words (null, empty) have weight 0. Noise comes
     from a hash of id and text, so reruns agree; repeated rows share it, and are kept as far as k
-    goes. Null ids are ordinary, unlabelled ids. An empty table gives no rows; other columns are
+    goes. Very long texts are counted whole, and their weights are sums, not means. Null ids are ordinary, unlabelled ids. An empty table gives no rows; other columns are
     ignored.
     """
     scratch = scratch or Scratch(docs.sparkSession)
@@ -191,6 +203,6 @@ def importance_resample(
         held = scored.join(F.broadcast(rated.where("held")), F.col("own_id") == F.col("l_id")).select("log_weight", "good").collect()  # a fifth of max_labels
         cut = best_threshold([r[0] for r in held], [r[1] for r in held])
         k = scored.where(F.col("log_weight") >= F.lit(cut)).count()
-    unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), "own_id", "tag"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), "own_id", "tag"), 12) + F.lit(0.5)) / F.lit(float(1 << 52))
     keyed = scored.withColumn("sample_key", F.col("log_weight") - F.log(-F.log(unit)) * F.lit(float(temperature)))
     return top_k(keyed, k, "sample_key", ["own_id", "tag"]).withColumnRenamed("own_id", doc_id)
