@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from conftest import varied
 
+from tidewatch.llm import text
 from tidewatch.llm.byte_dedup import remove_repeated_bytes
 from tidewatch.llm.substring_dedup import remove_repeated_windows
 from tidewatch.llm.suffix import common_prefixes, suffix_array
@@ -83,6 +84,23 @@ def test_bytes_against_brute_force(docs, length, gram, limit):
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got) == brute_bytes(rows, length)
 
 
+@pytest.mark.parametrize("chunk", [1, 50, 300])
+def test_bytes_of_texts_in_pieces(docs, chunk):
+    """Texts longer than a chunk come in overlapping pieces."""
+    rows = varied(4)
+    got = remove_repeated_bytes(docs(rows), length=60, gram=10, chunk=chunk).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got) == brute_bytes(rows, 60)
+
+
+def test_anchors_of_more_places_than_bits(monkeypatch):
+    grams = np.random.default_rng(3).integers(0, 1 << 63, 5000, dtype=np.uint64)
+    keep = grams & np.uint64(0xFFFFFFFF << 32)
+    want = [i + int(np.argmin(keep[i : i + 7])) for i in range(len(grams) - 6)]
+    for bits in (26, 9):
+        monkeypatch.setattr(text, "PLACE_BITS", bits)
+        assert text.anchors(grams, 7).tolist() == want
+
+
 def test_bytes_of_null_and_repeated_ids(docs):
     long = "abcdefghij" * 3 + "klm"
     got = remove_repeated_bytes(docs([(None, long + "1"), (5, "x" + long), (5, "unlike"), (7, "z" * 40), (None, None)]), length=30, gram=5).collect()

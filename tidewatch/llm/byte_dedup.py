@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm.scratch import Scratch
 from tidewatch.llm.suffix import common_prefixes, suffix_array
 from tidewatch.llm.tables import LAST_ID
-from tidewatch.llm.text import BASE_A, BASE_B, anchors, chunks, mix, prefix, rolling_hash, span_hash
+from tidewatch.llm.text import BASE_A, BASE_B, anchors, chunks, mix, pieces, prefix, rolling_hash, span_hash
 
 CHUNK = 1 << 20
 SHARD = 1 << 19
@@ -62,29 +62,29 @@ def _owners(offs: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.searchsorted(offs, at, side="right") - 1
 
 
-def _anchor_rows(length: int, gram: int):
+def _anchor_rows(length: int, gram: int, chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for lo, _, data, offs in chunks(batch.column(2), CHUNK):
+            for lo, _, data, offs, shift in pieces(batch.column(2), chunk, length - 1):
                 first, _, at, m = _anchored(data, offs, length, gram)
                 doc = _owners(offs, first)
-                yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(ids[lo + doc]), pa.array(tags[lo + doc]), pa.array((at - offs[doc]).astype(np.int32))], ["m", "did", "tag", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(ids[lo + doc]), pa.array(tags[lo + doc]), pa.array((at - offs[doc] + shift).astype(np.int32))], ["m", "did", "tag", "place"])
 
     return run
 
 
-def _segment_rows(length: int, gram: int):
+def _segment_rows(length: int, gram: int, chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, tags, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
             edges, places = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-            for lo, hi, data, offs in chunks(batch.column(2), CHUNK):
+            for lo, hi, data, offs, shift in pieces(batch.column(2), chunk, length - 1):
                 first, end, at, m = _anchored(data, offs, length, gram)
                 wanted = np.zeros(len(data) + 1, bool)
                 row = np.repeat(np.arange(hi - lo), np.diff(edges[lo : hi + 1]))
-                spot = offs[row] + places[edges[lo] : edges[hi]]
-                wanted[spot[spot < offs[row + 1]]] = True
+                spot = offs[row] + places[edges[lo] : edges[hi]] - shift
+                wanted[spot[(spot >= offs[row]) & (spot < offs[row + 1])]] = True
                 pick = wanted[at]
                 first, end, at, m = first[pick], end[pick], at[pick], m[pick]
                 doc, lead, stop = _owners(offs, first), at - first, end + length - 1
@@ -97,7 +97,7 @@ def _segment_rows(length: int, gram: int):
                 whole = data.tobytes()
                 body = [None if g else whole[a:b] for g, a, b in zip(again.tolist(), first.tolist(), stop.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(m), pa.array(c1), pa.array(c2), pa.array(ids[lo + doc]), pa.array(tags[lo + doc]), pa.array((first - offs[doc]).astype(np.int32)), pa.array(lead.astype(np.int32)), pa.array((end - first).astype(np.int32)), pa.array(body, pa.binary())],
+                    [pa.array(m), pa.array(c1), pa.array(c2), pa.array(ids[lo + doc]), pa.array(tags[lo + doc]), pa.array((first - offs[doc] + shift).astype(np.int32)), pa.array(lead.astype(np.int32)), pa.array((end - first).astype(np.int32)), pa.array(body, pa.binary())],
                     ["m", "c1", "c2", "did", "tag", "start", "lead", "n", "body"],
                 )
 
@@ -213,13 +213,11 @@ def _cut(length: int, names: list[str]):
                     mine = packed[edges[lo + i] : edges[lo + i + 1]]
                     runs = []
                     if len(mine):
+                        mine = np.sort(mine)
                         start = mine >> 32
-                        step = np.zeros(len(raw) + 1, np.int64)
-                        np.add.at(step, start, 1)
-                        np.add.at(step, start + (mine & 0xFFFFFFFF) + length - 1, -1)
-                        covered = (np.cumsum(step)[: len(raw)] > 0).view(np.int8)
-                        turn = np.flatnonzero(np.diff(np.concatenate(([0], covered, [0]))))
-                        runs = [{"start": a, "end": b} for a, b in turn.reshape(-1, 2).tolist()]
+                        reach = np.maximum.accumulate(start + (mine & 0xFFFFFFFF) + length - 1)
+                        new = np.flatnonzero(np.concatenate(([True], start[1:] > reach[:-1])))
+                        runs = [{"start": a, "end": b} for a, b in zip(start[new].tolist(), reach[np.append(new[1:], len(mine)) - 1].tolist())]
                     at, parts = 0, []
                     for r in runs:
                         parts.append(raw[at : r["start"]])
@@ -237,14 +235,15 @@ def _cut(length: int, names: list[str]):
 
 
 def remove_repeated_bytes(
-    docs: DataFrame, *, length: int = 400, gram: int = 24, doc_id: str = "doc_id", text: str = "text", group_limit: int = 1024, scratch: Scratch | None = None
+    docs: DataFrame, *, length: int = 400, gram: int = 24, doc_id: str = "doc_id", text: str = "text", group_limit: int = 1024, chunk: int = CHUNK, scratch: Scratch | None = None
 ) -> DataFrame:
     """doc_id, kept (the remaining bytes), n_bytes, n_removed, spans (maximal removed runs, [start, end)).
 
     Every byte goes that is covered by a ``length``-byte string of its text that also starts anywhere
     else, in another text or at another place of the same one. Strings are judged on the input and
     do not cross texts. Null text is empty; null ids are ordinary ids; repeated rows are texts of
-    their own, so they remove each other. An empty table gives no rows; other columns are ignored.
+    their own, so they remove each other. A very long text is searched in pieces of ``chunk`` bytes that
+    overlap by ``length`` - 1, so that only the text itself and its spans are held whole. An empty table gives no rows; other columns are ignored.
     """
     if not 0 < gram <= length:
         raise ValueError("gram must be in 1..length")
@@ -253,12 +252,12 @@ def remove_repeated_bytes(
     base = docs.select(F.col(doc_id).alias("own_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("did"), F.xxhash64(filled).alias("tag"), filled.alias("body"))
     slim = base.select("did", "tag", "body").where(F.octet_length("body") >= length)
 
-    places = slim.mapInArrow(_anchor_rows(length, gram), "m long, did long, tag long, place int")
+    places = slim.mapInArrow(_anchor_rows(length, gram, chunk), "m long, did long, tag long, place int")
     # read back, both sides of the join are plain shuffles, and Spark can split a hot anchor's rows
     often = scratch.write(places.groupBy("m").count().where("count > 1").select("m"))
     wanted = scratch.write(places.join(often, "m", "left_semi").groupBy("did", "tag").agg(F.collect_list("place").alias("places")))
     rows = slim.join(wanted, ["did", "tag"]).select("did", "tag", "body", "places")
-    segments = scratch.write(rows.mapInArrow(_segment_rows(length, gram), "m long, c1 long, c2 long, did long, tag long, start int, lead int, n int, body binary"))
+    segments = scratch.write(rows.mapInArrow(_segment_rows(length, gram, chunk), "m long, c1 long, c2 long, did long, tag long, start int, lead int, n int, body binary"))
     scratch.drop(wanted, often)
 
     classes = scratch.write(segments.groupBy("m", "c1", "c2").agg(F.count("*").alias("rows"), F.min("did").alias("one")))

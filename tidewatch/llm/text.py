@@ -95,10 +95,11 @@ def anchors(grams: np.ndarray, width: int) -> np.ndarray:
     The place follows from the run's content alone, so equal runs have their anchor at the same
     distance from their start.
     """
-    if len(grams) >> PLACE_BITS:
-        raise ValueError("a batch or text of over 2**26 grams")
+    n, step = len(grams), (1 << PLACE_BITS) - width + 1
+    if n > 1 << PLACE_BITS:  # more than places have bits for: runs of each stretch in turn
+        return np.concatenate([anchors(grams[at : at + step + width - 1], width) + at for at in range(0, n - width + 1, step)])
     keep = np.uint64(((1 << 64) - 1) ^ ((1 << PLACE_BITS) - 1))
-    packed = (grams & keep) | np.arange(len(grams), dtype=np.uint64)
+    packed = (grams & keep) | np.arange(n, dtype=np.uint64)
     return (window_minima(packed, width) & ~keep).astype(np.int64)
 
 
@@ -128,6 +129,17 @@ def chunks(column: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int, n
         lo = hi
 
 
+def pieces(column: pa.Array, limit: int, overlap: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
+    """As ``chunks``, but a text of over ``limit`` bytes comes alone in pieces of ``limit`` bytes and ``overlap`` bytes of the next; last, the piece's place in its text."""
+    for lo, hi, data, offs in chunks(column, limit):
+        if hi - lo > 1 or len(data) <= limit + overlap:
+            yield lo, hi, data, offs, 0
+            continue
+        for at in range(0, len(data) - overlap, limit):
+            part = data[at : at + limit + overlap]
+            yield lo, hi, part, np.array([0, len(part)]), at
+
+
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start byte, end byte and text index of each word; no word spans two texts."""
     n = len(data)
