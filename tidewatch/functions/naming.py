@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-FILE_NAME = r"(.*?)(?:_(train|test))?\.csv$"
+FILE_NAME = r"(?:^|[/=])([^/=]*?)(?:_(train|test))?\.csv(?:/|$)"
 
 
 def series_of(file_name: Column) -> Column:

@@ -13,43 +13,47 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from tidewatch.functions.arrays import mean, quantile, weighted
-from tidewatch.operators.windows import BLOCK, sliding_windows
+from tidewatch.sources.shared import cut
 
 QUANTILES = {"q10": 0.1, "q50": 0.5, "q90": 0.9}
 
 
-def naive_last(ctx: Column, step: Column, **_) -> Column:
-    return F.element_at(ctx, -1)
+#: A method's state, one named column each, from the context; and its point at a step (1, 2, ...) from that state.
+Method = tuple[Callable[..., dict[str, Column]], Callable[[dict[str, Column], Column], Column]]
 
 
-def seasonal_naive(ctx: Column, step: Column, *, season: int = 24, **_) -> Column:
-    """The value one season (or several) before."""
-    return F.element_at(ctx, (-season + (step - 1) % season).cast("int"))
+def _level(of: Callable[..., Column]) -> Method:
+    """A method whose point is the same at every step."""
+    return lambda ctx, **options: {"level": of(ctx, **options)}, lambda state, step: state["level"]
 
 
-def rolling_mean(ctx: Column, step: Column, **_) -> Column:
-    return mean(ctx)
+def _ses(ctx: Column, alpha: float = 0.3, **_) -> Column:
+    """Exponential smoothing from the oldest value on."""
+    return F.aggregate(ctx, F.lit(None).cast("double"), lambda level, x: F.coalesce(level * (1 - alpha) + x * alpha, x))
 
 
-def rolling_median(ctx: Column, step: Column, **_) -> Column:
-    return quantile(F.sort_array(ctx), 0.5)
+def _cycle(ctx: Column, season: int = 24, **_) -> dict[str, Column]:
+    """The last season; of a shorter context, all of it."""
+    return {"cycle": F.slice(ctx, F.greatest(F.size(ctx) - season + 1, F.lit(1)), season)}
 
 
-def drift(ctx: Column, step: Column, **_) -> Column:
+def _line(ctx: Column, **_) -> dict[str, Column]:
     """The line through the first and the last value."""
-    slope = F.try_divide(F.element_at(ctx, -1) - F.element_at(ctx, 1), F.size(ctx) - F.lit(1.0))
-    return F.element_at(ctx, -1) + F.coalesce(slope, F.lit(0.0)) * step
+    last, slope = F.get(ctx, F.size(ctx) - 1), F.try_divide(F.get(ctx, F.size(ctx) - 1) - F.get(ctx, F.lit(0)), F.size(ctx) - F.lit(1.0))
+    return {"last": last, "slope": F.coalesce(slope, F.lit(0.0))}
 
 
-def ses(ctx: Column, step: Column, *, alpha: float = 0.3, context: int, **_) -> Column:
-    """Exponential smoothing from the oldest value on, as fixed weights over the context."""
-    w = [(1 - alpha) ** (context - 1)] + [alpha * (1 - alpha) ** (context - 1 - i) for i in range(1, context)]
-    return weighted(ctx, F.array(*(F.lit(x) for x in w)))
-
-
-METHODS: dict[str, Callable[..., Column]] = {f.__name__: f for f in (naive_last, seasonal_naive, rolling_mean, rolling_median, drift, ses)}
+METHODS: dict[str, Method] = {
+    "naive_last": _level(lambda ctx, **_: F.get(ctx, F.size(ctx) - 1)),
+    "seasonal_naive": (_cycle, lambda state, step: F.get(state["cycle"], F.pmod(step - 1, F.size(state["cycle"])))),
+    "rolling_mean": _level(lambda ctx, **_: mean(ctx)),
+    "rolling_median": _level(lambda ctx, **_: quantile(F.sort_array(ctx), 0.5)),
+    "drift": (_line, lambda state, step: state["last"] + state["slope"] * step),
+    "ses": _level(_ses),
+}
 
 
 def forecast(
@@ -59,43 +63,51 @@ def forecast(
 
     Quantiles are those of the context, moved to the point for methods that follow a level or trend.
     ``normalize`` forecasts the z-scored context; ``non_negative`` cuts at 0 where the context has no
-    negative value; ``flip`` averages the forecast with that of the negated context, negated.
+    negative value; ``flip`` averages the forecast with that of the negated context, negated. Contexts
+    may be short at the start of a series; an empty one gives null.
+
+    What follows from the context alone is computed once a window; the steps are exploded last, without it.
     """
     if method not in METHODS:
         raise ValueError(f"unknown forecast method {method!r}; known: {', '.join(METHODS)}")
-    f, step, ctx = METHODS[method], F.col("step"), F.col("ctx")
-    mu = mean(ctx)
-    sd = F.greatest(F.sqrt(mean(F.transform(ctx, lambda x: (x - mean(ctx)) * (x - mean(ctx))))), F.lit(1e-8))
-    used = F.transform(ctx, lambda x: (x - F.col("f_mu")) / F.col("f_sd")) if normalize else ctx
-    rows = windows.withColumnRenamed("t", "origin")
+    prepare, at = METHODS[method]
+    ctx, rows = F.col("ctx"), windows.withColumnRenamed("t", "origin")
+    own = []  # columns made here, dropped at the end
+
+    def add(columns: dict[str, Column]) -> None:
+        nonlocal rows
+        rows = rows.withColumns(columns)
+        own.extend(columns)
+
     if normalize:
-        rows = rows.withColumns({"f_mu": mu, "f_sd": sd})
-    rows = rows.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).withColumn("t", F.col("origin") + F.col("step") - 1)
-    point = f(used, step, context=context, **options)
+        add({"f_mu": mean(ctx)})
+        add({"f_sd": F.greatest(F.sqrt(mean(F.transform(ctx, lambda x: (x - F.col("f_mu")) * (x - F.col("f_mu"))))), F.lit(1e-8))})
+    used = F.transform(ctx, lambda x: (x - F.col("f_mu")) / F.col("f_sd")) if normalize else ctx
+    sides = {"f_": used} | ({"g_": F.transform(used, lambda x: -x)} if flip else {})
+    states = {}
+    for side, values in sides.items():
+        state = prepare(values, context=context, **options)
+        add({side + name: c for name, c in state.items()})
+        states[side] = {name: F.col(side + name) for name in state}
+    if non_negative:
+        add({"f_cut": F.array_min(ctx) >= 0})
+    if quantiles:
+        rows = rows.withColumn("f_sorted", F.sort_array(ctx))
+        rows = rows.withColumns({name: quantile(F.col("f_sorted"), p) for name, p in QUANTILES.items()}).drop("f_sorted")
+    rows = rows.drop("ctx").withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).withColumn("t", F.col("origin") + F.col("step") - 1)
+    point = at(states["f_"], F.col("step"))
     if flip:
-        point = (point - f(F.transform(used, lambda x: -x), step, context=context, **options)) / 2
+        point = (point - at(states["g_"], F.col("step"))) / 2
     if normalize:
         point = point * F.col("f_sd") + F.col("f_mu")
-    if non_negative:
-        point = F.when(F.array_min(ctx) >= 0, F.greatest(point, F.lit(0.0))).otherwise(point)
-    rows = rows.withColumn("point", point)
+    positive = lambda c: F.when(F.col("f_cut"), F.greatest(c, F.lit(0.0))).otherwise(c) if non_negative else c
+    rows = rows.withColumn("point", positive(point))
     if "fut" in windows.columns:
-        rows = rows.withColumn("y", F.get("fut", step - 1))
+        rows = rows.withColumn("y", F.get("fut", F.col("step") - 1))
     if quantiles:
-        level = method in ("rolling_mean", "rolling_median")
-        shift = F.lit(0.0) if level else F.col("point") - quantile(F.col("f_sorted"), 0.5)
-        rows = rows.withColumn("f_sorted", F.sort_array("ctx"))
-        rows = rows.withColumns({name: quantile(F.col("f_sorted"), p) + shift for name, p in QUANTILES.items()})
-        if non_negative:
-            rows = rows.withColumns({q: F.when(F.array_min(ctx) >= 0, F.greatest(F.col(q), F.lit(0.0))).otherwise(F.col(q)) for q in QUANTILES})
-    return rows.drop("ctx", "fut", "f_sorted", "f_mu", "f_sd")
-
-
-def rolling_band(points: DataFrame, context: int, *, keys: list[str] | None = None, block: int = BLOCK) -> DataFrame:
-    """One-step rolling-mean forecast with context quantiles, for every origin with a full context; also the actual value."""
-    w = sliding_windows(points, context, keys=keys, block=block).withColumn("f_sorted", F.sort_array("ctx"))
-    cols = {name: quantile(F.col("f_sorted"), p) for name, p in QUANTILES.items()}
-    return w.withColumns({"point": mean(F.col("ctx")), **cols}).drop("ctx", "f_sorted")
+        shift = F.lit(0.0) if method in ("rolling_mean", "rolling_median") else F.col("point") - F.col("q50")
+        rows = rows.withColumns({q: positive(F.col(q) + shift) for q in QUANTILES})
+    return rows.drop("fut", *own)
 
 
 def apply_model(windows: DataFrame, load: Callable[[], Callable[[np.ndarray], np.ndarray]], horizon: int) -> DataFrame:
@@ -152,29 +164,56 @@ def covariate_forecast(points: DataFrame, target: str, covariate: str, horizon:
     return out.select("series_id", F.lit(target).alias("feature"), "window_id", "t", "y", (F.col("intercept") + F.col("slope") * x).alias("point"))
 
 
-def covariates_forecast(points: DataFrame, target: str, horizon: int) -> DataFrame:
-    """As ``covariate_forecast`` with all other features: normal equations by block, solved in batches.
-
-    A block's matrix (features squared) is summed in Spark; only those sums reach the solver.
-    """
-    wide = points.groupBy("series_id", "split", "t").agg(F.max(F.when(F.col("feature") == target, F.col("value"))).alias("y"), F.sort_array(F.collect_list(F.when(F.col("feature") != target, F.struct("feature", "value")))).alias("xs"))
-    wide = wide.withColumn("x", F.concat(F.array(F.lit(1.0)), F.transform("xs", lambda s: F.coalesce(s["value"], F.lit(0.0))))).drop("xs")
-    wide = wide.withColumn("window_id", F.when(F.col("split") == "train", F.lit(-1)).otherwise(F.floor(F.col("t") / horizon)).cast("long"))
-    cells = wide.where("y is not null").select("series_id", "window_id", "y", F.posexplode("x").alias("i", "xi"), "x")
-    cross = cells.select("series_id", "window_id", "i", "y", "xi", F.posexplode("x").alias("j", "xj")).groupBy("series_id", "window_id", "i", "j").agg(F.sum(F.col("xi") * F.col("xj")).alias("a"), F.sum(F.col("xi") * F.col("y")).alias("b"))
-    before = Window.partitionBy("series_id", "i", "j").orderBy("window_id").rowsBetween(Window.unboundedPreceding, -1)
-    past = cross.select("series_id", "window_id", "i", "j", F.sum("a").over(before).alias("a"), F.sum("b").over(before).alias("b")).where("a is not null")
-    packed = past.groupBy("series_id", "window_id").agg(F.sort_array(F.collect_list(F.struct("i", "j", "a", "b"))).alias("m"))
-
-    @F.pandas_udf("array<double>")
-    def solve(a: pd.Series, b: pd.Series) -> pd.Series:
+def _products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (series, block, y, x) to one row a series, block and batch: the upper triangle of the sums of products of (1, x, y)."""
+    for pdf in batches:
         out = []
-        for x, y in zip(a, b):
-            k = int(round(len(x) ** 0.5))
-            out.append(np.linalg.lstsq(np.asarray(x).reshape(k, k), np.asarray(y).reshape(k, k)[:, 0], rcond=None)[0].tolist())
-        return pd.Series(out)
+        for key, part in pdf.groupby(["series_id", "window_id"], sort=False):
+            x = np.column_stack([np.ones(len(part)), np.array(part["x"].to_list(), float).reshape(len(part), -1), part["y"]])
+            out.append((*key, (x.T @ x)[np.triu_indices(x.shape[1])].tolist()))
+        yield pd.DataFrame(out, columns=["series_id", "window_id", "sums"])
 
-    fit = packed.select("series_id", "window_id", solve(F.transform("m", lambda s: s["a"]), F.transform("m", lambda s: s["b"])).alias("beta"))
-    out = wide.where("split = 'test'").join(fit, ["series_id", "window_id"])
-    return out.select("series_id", F.lit(target).alias("feature"), "window_id", "t", "y", weighted(F.col("x"), F.col("beta")).alias("point"))
 
+@F.pandas_udf(ArrayType(DoubleType()))
+def _solved(sums: pd.Series) -> pd.Series:
+    """Least squares from the upper triangle of the sums of products of (1, x, y)."""
+    out = []
+    for s in sums:
+        k = int(((8 * len(s) + 1) ** 0.5 - 1) // 2)
+        m = np.zeros((k, k))
+        m[np.triu_indices(k)] = s
+        m = np.triu(m, 1).T + m
+        out.append(np.linalg.lstsq(m[:-1, :-1], m[:-1, -1], rcond=None)[0].tolist())
+    return pd.Series(out)
+
+
+def covariates_forecast(points: DataFrame, target: str, horizon: int) -> DataFrame:
+    """As ``covariate_forecast`` with all other features of the series.
+
+    A series' features have fixed places, by name. A step that lacks a value of any of them has a null
+    point and is no part of a fit. Sums of products are made by block in batches of rows, summed in
+    Spark, and run up over the blocks; only the running sums reach the solver.
+    """
+    known = points.where("value is not null")
+    places = known.where(F.col("feature") != target).select("series_id", "feature").distinct().groupBy("series_id").agg(F.sort_array(F.collect_list("feature")).alias("features"))
+    pair = F.when((F.col("feature") != target) & F.col("value").isNotNull(), F.struct("feature", "value"))
+    wide = points.groupBy("series_id", "split", "t").agg(F.max(F.when(F.col("feature") == target, F.col("value"))).alias("y"), F.map_from_entries(F.collect_list(pair)).alias("found"))
+    wide = wide.join(places, "series_id")
+    wide = wide.withColumn("x", F.transform("features", lambda f: F.col("found")[f])).drop("found", "features")
+    wide = wide.withColumn("whole", ~F.exists("x", lambda v: v.isNull()))
+    wide = cut(wide.withColumn("window_id", F.when(F.col("split") == "train", F.lit(-1)).otherwise(F.floor(F.col("t") / horizon)).cast("long")))
+    kind = points.schema["series_id"].dataType.simpleString()
+    fitting = wide.where("whole and y is not null").select("series_id", "window_id", "y", "x")
+    parts = fitting.mapInPandas(_products, f"series_id {kind}, window_id long, sums array<double>").select("series_id", "window_id", F.posexplode("sums").alias("i", "s"))
+    sums = parts.groupBy("series_id", "window_id", "i").agg(F.sum("s").alias("s"))
+    # blocks without a row to fit on still need the sums before them
+    blocks = wide.where("split = 'test'").select("series_id", "window_id").distinct()
+    cells = sums.select("series_id", "i").distinct().join(blocks, "series_id").select("series_id", "window_id", "i", F.lit(0.0).alias("s"))
+    every = sums.unionByName(cells).groupBy("series_id", "window_id", "i").agg(F.sum("s").alias("s"))
+    before = Window.partitionBy("series_id", "i").orderBy("window_id").rowsBetween(Window.unboundedPreceding, -1)
+    past = every.withColumn("s", F.sum("s").over(before)).where("s is not null")
+    packed = past.groupBy("series_id", "window_id").agg(F.sort_array(F.collect_list(F.struct("i", "s"))).alias("m")).where(F.col("m")[0]["s"] > 0)
+    fit = packed.select("series_id", "window_id", _solved(F.transform("m", lambda c: c["s"])).alias("beta"))
+    out = wide.where("split = 'test'").join(fit, ["series_id", "window_id"], "left")
+    point = F.when(F.col("whole"), weighted(F.concat(F.array(F.lit(1.0)), "x"), F.col("beta")))
+    return out.select("series_id", F.lit(target).alias("feature"), "window_id", "t", "y", point.alias("point"))

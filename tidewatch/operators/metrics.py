@@ -7,7 +7,7 @@ a large share of all rows is not sorted in one task. Undefined values are null.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.errors import ratio
@@ -34,22 +34,29 @@ def cumulative(scored: DataFrame, keys: list[str]) -> DataFrame:
     return g.select(*keys, "score", "pos", "neg", (F.col("tp") + F.col("bp")).alias("tp"), (F.col("fp") + F.col("bn")).alias("fp"), "n_pos", "n_neg", nx["pos"].alias("next_pos"), nx["neg"].alias("next_neg"))
 
 
-def areas(scored: DataFrame, keys: list[str]) -> DataFrame:
-    """auroc (ties count half; null with one class) and auprc (average precision: step sum; null without positives)."""
-    c = cumulative(scored, keys)
+def _areas() -> tuple[Column, Column]:
+    """auroc and auprc as aggregates over ``cumulative`` rows."""
     won = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2.0))
     pairs = F.max(F.col("n_pos").cast("double") * F.col("n_neg"))
     ap = F.sum(F.col("pos") * ratio(F.col("tp"), F.col("tp") + F.col("fp")))
-    return c.groupBy(*keys).agg(ratio(won, pairs).alias("auroc"), ratio(ap, F.max("n_pos")).alias("auprc"))
+    return ratio(won, pairs).alias("auroc"), ratio(ap, F.max("n_pos")).alias("auprc")
+
+
+def _on_curve() -> Column:
+    """Whether a ``cumulative`` row is a point of the ROC curve: the first and the last, and those that do not lie on a line with both neighbours."""
+    first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
+    return first | F.col("next_pos").isNull() | (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
+
+
+def areas(scored: DataFrame, keys: list[str]) -> DataFrame:
+    """auroc (ties count half; null with one class) and auprc (average precision: step sum; null without positives)."""
+    return cumulative(scored, keys).groupBy(*keys).agg(*_areas())
 
 
 def roc_curve(scored: DataFrame, keys: list[str]) -> DataFrame:
     """fpr, tpr, threshold: the row (0, 0, inf), then each distinct score that does not lie on a line with both neighbours. With no negatives fpr is null, with no positives tpr."""
     c = cumulative(scored, keys)
-    first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
-    bend = (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
-    kept = c.where(first | F.col("next_pos").isNull() | bend)
-    points = kept.select(*keys, ratio(F.col("fp"), F.col("n_neg")).alias("fpr"), ratio(F.col("tp"), F.col("n_pos")).alias("tpr"), F.col("score").cast("double").alias("threshold"))
+    points = c.where(_on_curve()).select(*keys, ratio(F.col("fp"), F.col("n_neg")).alias("fpr"), ratio(F.col("tp"), F.col("n_pos")).alias("tpr"), F.col("score").cast("double").alias("threshold"))
     zero = c.groupBy(*keys).agg(F.max("n_pos").alias("p"), F.max("n_neg").alias("n"))
     zero = zero.select(*keys, F.when(F.col("n") > 0, 0.0).alias("fpr"), F.when(F.col("p") > 0, 0.0).alias("tpr"), F.lit(float("inf")).alias("threshold"))
     return points.unionByName(zero)
@@ -123,5 +130,13 @@ def trim_full_windows(scores: DataFrame, context: int, horizon: int) -> DataFram
 
 
 def summary(scored: DataFrame, keys: list[str]) -> DataFrame:
-    """auroc, auprc and Youden's point by group."""
-    return areas(scored, keys).join(youden(roc_curve(scored, keys), keys), keys, "left")
+    """auroc, auprc and Youden's point by group, from one pass over the running counts."""
+    tpr, fpr = ratio(F.col("tp"), F.col("n_pos")), ratio(F.col("fp"), F.col("n_neg"))
+    # the leading row of the curve (0, 0, inf) wins ties with any other, and stands where there is one class only
+    better = F.when(_on_curve() & (tpr - fpr > 0), F.struct((tpr - fpr).alias("j"), F.col("score").alias("s")))
+    best = F.max_by(F.struct(F.col("score").cast("double").alias("threshold"), tpr.alias("tpr"), fpr.alias("fpr")), better)
+    out = cumulative(scored, keys).groupBy(*keys).agg(*_areas(), best.alias("b"), F.max("n_pos").alias("p"), F.max("n_neg").alias("n"))
+    return out.select(
+        *keys, "auroc", "auprc", F.coalesce("b.threshold", F.lit(float("inf"))).alias("best_threshold"),
+        F.coalesce("b.tpr", F.when(F.col("p") > 0, 0.0)).alias("best_tpr"), F.coalesce("b.fpr", F.when(F.col("n") > 0, 0.0)).alias("best_fpr"),
+    )

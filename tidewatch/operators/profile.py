@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators.prep import KEY
@@ -25,6 +25,24 @@ def histogram(points: DataFrame, bins: int = 30) -> DataFrame:
     return found.groupBy(*keys, "bin").agg(F.count("*").alias("n"))
 
 
+def preview(points: DataFrame, steps: int = 5, features: int = 10) -> DataFrame:
+    """The first ``steps`` steps of the first ``features`` features, by name, of each series."""
+    names = points.select(*KEY).distinct().withColumn("pv_rank", F.row_number().over(Window.partitionBy("series_id").orderBy("feature"))).where(F.col("pv_rank") <= features)
+    return points.where(F.col("t") < steps).join(names.drop("pv_rank"), KEY, "left_semi")
+
+
+def report(points: DataFrame, labels: DataFrame, least: float = 1e-8) -> DataFrame:
+    """Quality and drift by feature, over train and test: share missing, drift, shared range, mean test value of normal and of anomalous steps, and whether the feature is kept (it has train values, and they vary)."""
+    y = labels.where("split = 'test'").select("series_id", "split", "t", "y")
+    v = F.col("value")
+    labelled = points.join(y, ["series_id", "split", "t"], "left")
+    out = labelled.groupBy(*KEY).agg(
+        (1 - F.count(v) / F.count("*")).alias("missing"), F.min(v).alias("lo"), F.max(v).alias("hi"),
+        F.avg(F.when(F.col("y") == 0, v)).alias("mean_normal"), F.avg(F.when(F.col("y") == 1, v)).alias("mean_anomalous"),
+    )
+    return out.join(drift(points), KEY).withColumn("kept", F.coalesce(F.col("train_std") > least, F.lit(False)))
+
+
 def shared_range(points: DataFrame) -> DataFrame:
     """Minimum and maximum by feature over both splits."""
     return points.groupBy(*KEY).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))

@@ -12,12 +12,6 @@ from tidewatch.operators.prep import KEY
 from tidewatch.operators.windows import BLOCK, own_rows, with_halo
 
 
-def with_actual(forecasts: DataFrame, points: DataFrame) -> DataFrame:
-    """Forecasts joined to the actual value y at (series, split, feature, t)."""
-    actual = points.select("series_id", "split", "feature", "t", F.col("value").alias("y"))
-    return forecasts.drop("value").join(actual, ["series_id", "split", "feature", "t"])
-
-
 def window_errors(gaps: DataFrame) -> DataFrame:
     """Mean over the horizon of |y - point| / uncertainty, one row an origin and feature."""
     e = F.abs(F.col("y") - F.col("point")) / uncertainty(F.col("q10"), F.col("q90"))

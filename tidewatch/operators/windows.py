@@ -7,7 +7,7 @@ windows reach into, and gives results for its own steps only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 SERIES = ["series_id", "split", "feature"]
@@ -31,20 +31,21 @@ def by_time(keys: list[str] | None = None) -> WindowSpec:
     return Window.partitionBy(*(keys or SERIES), "w_block").orderBy("t")
 
 
-def sliding_windows(points: DataFrame, context: int, horizon: int = 0, *, keys: list[str] | None = None, block: int = BLOCK, inner: bool = False) -> DataFrame:
+def sliding_windows(points: DataFrame, context: int, horizon: int = 0, *, keys: list[str] | None = None, block: int = BLOCK, inner: bool = False, least: int | None = None, partial: bool = False) -> DataFrame:
     """One row an origin t with a full context: ctx (values before t, oldest first) and fut (t and on).
 
     With a horizon only origins with a full future stay: n - context - horizon + 1 of them, or with
-    ``inner`` one fewer (origins below n - horizon).
+    ``inner`` one fewer (origins below n - horizon). ``least`` lets in contexts of that many values
+    and more, at the start of a series; ``partial`` lets in futures that end early.
     """
     reach = horizon + (1 if inner and horizon else 0)
     w = by_time(keys)
     cols = {"ctx": F.collect_list("value").over(w.rowsBetween(-context, -1))}
     if reach:
         cols["fut"] = F.collect_list("value").over(w.rowsBetween(0, reach - 1))
-    out = own_rows(with_halo(points, context, max(reach - 1, 0), block).withColumns(cols), block).where(F.size("ctx") == context)
+    out = own_rows(with_halo(points, context, max(reach - 1, 0), block).withColumns(cols), block).where(F.size("ctx") >= (context if least is None else least))
     if reach:
-        out = out.where(F.size("fut") == reach).withColumn("fut", F.slice("fut", 1, horizon))
+        out = out.where(F.size("fut") >= (1 if partial else reach)).withColumn("fut", F.slice("fut", 1, horizon))
     return out
 
 
@@ -54,11 +55,6 @@ def block_origins(points: DataFrame, horizon: int) -> DataFrame:
     return points.withColumns({"window_id": wid, "origin": wid * horizon, "step": (F.col("t") % horizon + 1).cast("int")})
 
 
-def earlier_than_block(points: DataFrame, window_id: Column, horizon: int) -> Column:
-    """True for rows that the block's context may hold."""
-    return F.col("t") < window_id * horizon
-
-
 def sample_origins(windows: DataFrame, context: int, every: int) -> DataFrame:
     """Every n-th origin, from the first."""
     return windows.where((F.col("t") - context) % every == 0)

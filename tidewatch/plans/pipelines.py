@@ -56,61 +56,95 @@ def method_metrics(scored: DataFrame, methods: list[str], strict: bool = True) -
 def window_mse_scores(points: DataFrame, context: int, horizon: int, *, method: str = "rolling_mean", ready: DataFrame | None = None, **options) -> DataFrame:
     """Multivariate window error of every test step; steps without a window have 0. ``ready``: the points as ``prepared``, if at hand."""
     ready = cut(prepared(points)) if ready is None else ready
-    gaps = window_forecasts(ready.where("split = 'test'"), context, horizon, method, inner=False, quantiles=False, **options)
-    found = scoring.window_mse(gaps).select("series_id", F.col("origin").alias("t"), "score")
-    steps = ready.where("split = 'test'").select("series_id", "t").distinct()
-    return scoring.dense(steps, found, ["score"])
+    return horizon_scores(ready, context, [horizon], method=method, **options).drop("horizon")
 
 
-def evaluate(scores: DataFrame, labels: DataFrame, context: int) -> DataFrame:
-    """Saved or fresh scores against labels, from step ``context`` on: the per-series summary with confusion counts at the best threshold."""
-    joined = cut(metrics.trim_after_context(scores, context).join(test_labels(labels), ["series_id", "t"]))
-    best = metrics.summary(joined, ["series_id"])
-    return best.join(metrics.confusion(metrics.alarms(joined, best, ["series_id"]), ["series_id"]), "series_id")
+def horizon_scores(ready: DataFrame, context: int, horizons: list[int], *, method: str = "rolling_mean", **options) -> DataFrame:
+    """``window_mse_scores`` for several horizons of one context, with the horizon as a column: windows are made and forecast once, for the longest."""
+    test, longest = ready.where("split = 'test'"), max(horizons)
+    w = sliding_windows(test, context, longest, partial=True).drop("value")
+    gaps = forecast(w, method, context, longest, quantiles=False, **options).where("y is not null")
+    e = (F.col("y") - F.col("point")) * (F.col("y") - F.col("point"))
+    means = {h: F.when(F.max("step") >= h, F.avg(F.when(F.col("step") <= h, e))) for h in horizons}
+    wide = gaps.groupBy("series_id", F.col("origin").alias("t")).agg(*(m.alias(f"h{h}") for h, m in means.items()))
+    steps = test.select("series_id", "t").distinct()
+    full = scoring.dense(steps, wide, [f"h{h}" for h in horizons])
+    pairs = F.array(*(F.struct(F.lit(h).alias("horizon"), F.col(f"h{h}").alias("score")) for h in horizons))
+    return full.select("series_id", "t", F.inline(pairs))
 
 
-def window_mse(points: DataFrame, labels: DataFrame, context: int, horizon: int, **options) -> DataFrame:
-    return evaluate(window_mse_scores(points, context, horizon, **options), labels, context)
+def evaluate(scores: DataFrame, labels: DataFrame, context: int, *, keys: tuple[str, ...] = ("series_id",), digits: int | None = None) -> DataFrame:
+    """Saved or fresh scores against labels, from step ``context`` on: the summary by ``keys`` with confusion counts at the best threshold.
 
+    With ``digits`` scores are rounded first, so that those that are equal but for the order of a sum tie.
+    """
+    kept = metrics.trim_after_context(scores, context)
+    kept = kept if digits is None else kept.withColumn("score", F.round("score", digits))
+    return _evaluated(cut(kept.join(test_labels(labels), ["series_id", "t"])), list(keys))
+
+
+def _evaluated(joined: DataFrame, keys: list[str]) -> DataFrame:
+    best = metrics.summary(joined, keys)
+    return best.join(metrics.confusion(metrics.alarms(joined, best, keys), keys), keys)
+
+
+def window_mse(points: DataFrame, labels: DataFrame, context: int, horizon: int, *, digits: int | None = None, **options) -> DataFrame:
+    return evaluate(window_mse_scores(points, context, horizon, **options), labels, context, digits=digits)
 
-def sweep(points: DataFrame, labels: DataFrame, configs: list[tuple[int, int]], **options) -> DataFrame:
-    """``window_mse`` for each (context, horizon), one summary row a series and configuration."""
+
+def sweep(points: DataFrame, labels: DataFrame, configs: list[tuple[int, int]], *, digits: int | None = None, **options) -> DataFrame:
+    """``window_mse`` for each (context, horizon), one summary row a series and configuration.
+
+    Windows are made once a context, and all configurations are evaluated together.
+    """
     ready = cut(prepared(points))
-    rows = [window_mse(points, labels, c, h, ready=ready, **options).withColumns({"context": F.lit(c), "horizon": F.lit(h)}) for c, h in configs]
-    return reduce(DataFrame.unionByName, rows)
+    parts = []
+    for context in sorted({c for c, _ in configs}):
+        found = horizon_scores(ready, context, sorted({h for c, h in configs if c == context}), **options)
+        parts.append(metrics.trim_after_context(found, context).withColumn("context", F.lit(context)))
+    scores = reduce(DataFrame.unionByName, parts)
+    scores = scores if digits is None else scores.withColumn("score", F.round("score", digits))
+    return _evaluated(cut(scores.join(test_labels(labels), ["series_id", "t"])), ["series_id", "context", "horizon"])
 
 
 def band_scores(points: DataFrame, context: int, horizon: int, *, score: str = errors.DEFAULT_SCORE, combination: str = "l2", smoothing: int = 5, method: str = "rolling_mean", **options) -> DataFrame:
-    """Quantile-band scoring: blocks of ``horizon`` test steps are forecast from the last ``context`` steps before each, train and earlier test steps alike.
+    """Quantile-band scoring: blocks of ``horizon`` test steps are forecast from the last ``context`` steps before each, train and earlier test steps alike, or from as many as there are.
 
     ``points`` need their place in the whole series as ``at``. Scores are normalised by feature over
-    the test split (which looks ahead), combined, and smoothed.
+    the test split (which looks ahead), combined, and smoothed; a block with nothing before it scores 0.
     """
     line = points.withColumns({"place": F.col("t"), "t": F.col("at")})
-    w = sliding_windows(line, context, keys=["series_id", "feature"]).where((F.col("split") == "test") & (F.col("place") % horizon == 0))
+    w = sliding_windows(line, context, keys=["series_id", "feature"], least=1).where((F.col("split") == "test") & (F.col("place") % horizon == 0))
     f = forecast(w.drop("value"), method, context, horizon, **options)
-    actual = points.where("split = 'test'").select("series_id", "feature", F.col("at").alias("t"), F.col("t").alias("place"), F.col("value").alias("y"))
+    test = points.where("split = 'test'")
+    actual = test.select("series_id", "feature", F.col("at").alias("t"), F.col("t").alias("place"), F.col("value").alias("y"))
     gaps = f.drop("place").join(actual, ["series_id", "feature", "t"])
     s = gaps.select("series_id", "feature", F.col("place").alias("t"), errors.score(score, F.col("y"), F.col("q50"), F.col("q10"), F.col("q90")).alias("score"))
     combined = scoring.combine(scoring.robust_normalize(s), [combination]).withColumnRenamed(combination, "score")
-    return scoring.smooth(combined, "score", smoothing)
+    return scoring.smooth(scoring.dense(test.select("series_id", "t").distinct(), combined, ["score"]), "score", smoothing)
+
+
+def band(points: DataFrame, labels: DataFrame, context: int, horizon: int, *, digits: int | None = None, **options) -> DataFrame:
+    """auroc and auprc by series; ``digits`` as in ``evaluate``."""
+    return _areas(band_scores(points, context, horizon, **options), labels, digits)
 
 
-def band(points: DataFrame, labels: DataFrame, context: int, horizon: int, **options) -> DataFrame:
-    """auroc and auprc by series."""
-    return metrics.areas(cut(band_scores(points, context, horizon, **options).join(test_labels(labels), ["series_id", "t"])), ["series_id"])
+def _areas(scores: DataFrame, labels: DataFrame, digits: int | None) -> DataFrame:
+    scores = scores if digits is None else scores.withColumn("score", F.round("score", digits))
+    return metrics.areas(cut(scores.join(test_labels(labels), ["series_id", "t"])), ["series_id"])
 
 
 def covariate_scores(points: DataFrame, horizon: int, pairs: dict[str, str] | list[str]) -> DataFrame:
     """Each target from its covariate (dict), or from all other features (list): squared errors, scaled by feature, joined by their L2 norm."""
+    points = cut(points)
     parts = [covariate_forecast(points, t, c, horizon) for t, c in pairs.items()] if isinstance(pairs, dict) else [covariates_forecast(points, t, horizon) for t in pairs]
     f = reduce(DataFrame.unionByName, parts).where("y is not null and point is not null")
     s = f.select("series_id", "feature", "t", errors.squared(F.col("y"), F.col("point")).alias("score"))
     return scoring.combine(scoring.minmax_scores(s), ["l2"]).withColumnRenamed("l2", "score")
 
 
-def covariate(points: DataFrame, labels: DataFrame, horizon: int, pairs: dict[str, str] | list[str]) -> DataFrame:
-    return metrics.areas(cut(covariate_scores(points, horizon, pairs).join(test_labels(labels), ["series_id", "t"])), ["series_id"])
+def covariate(points: DataFrame, labels: DataFrame, horizon: int, pairs: dict[str, str] | list[str], *, digits: int | None = None) -> DataFrame:
+    return _areas(covariate_scores(points, horizon, pairs), labels, digits)
 
 
 def window_records(points: DataFrame, labels: DataFrame, context: int, horizon: int, every: int = 5, top_k: int = 3) -> DataFrame:

@@ -12,12 +12,15 @@ from tidewatch.functions.arrays import total
 from tidewatch.operators import metrics, prep, profile, scoring, windows
 from tidewatch.operators.forecast import apply_model, covariate_forecast, covariates_forecast, forecast
 from tidewatch.plans import pipelines as pl
-from tidewatch.plans.oracles import ALPHA, C, H, LAGS, PREAMBLE, SEASON, sweep_part
-from tidewatch.sources import series
+from tidewatch.plans.oracles import ALPHA, C, H, LAGS, PREAMBLE, SEASON, _metrics, covariates_ctes, sweep_part
+from tidewatch.functions import naming
+from tidewatch.sources import series, sinks
 from tidewatch.sources.shared import cut, shared_path
 from tidewatch.streaming.online import online_scores
 
 FLAGSHIP = "pipeline_calibrated"
+#: Scores are rounded to so many digits before they are ranked, here and in the twins.
+DIGITS = 5
 SWEEP = [(24, 1), (24, 4), (48, 4)]
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -25,12 +28,12 @@ _sql: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
-    """Registers a query under its function's name, with the final SELECT of its twin."""
+    """Registers a query under its function's name, with the final SELECT of its twin, or with a comma and further CTEs before it."""
 
     def add(f: Query) -> Query:
         _queries[f.__name__] = f
         if sql is not None:
-            _sql[f.__name__] = f"{PREAMBLE} {sql}"
+            _sql[f.__name__] = f"{PREAMBLE}{sql}" if sql.startswith(",") else f"{PREAMBLE} {sql}"
         return f
 
     return add
@@ -146,8 +149,8 @@ def pivot_features(spark, sf_dir):
     return rounded(wide, "click", "view")
 
 
-@query("""SELECT feature, n_series, n_series = 5 AS common FROM (SELECT feature, count(*) AS n_series FROM (SELECT DISTINCT series_id, feature FROM (
-SELECT series_id, feature FROM pts UNION ALL SELECT 'orders', o_orderpriority FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01')) GROUP BY 1)""")
+@query("""SELECT feature, n_series, n_series = 1 + (SELECT count(DISTINCT series_id) FROM raw_) AS common FROM (SELECT feature, count(*) AS n_series FROM (SELECT DISTINCT series_id, feature FROM (
+SELECT series_id, feature FROM pts UNION ALL SELECT 'orders', o_orderpriority FROM orders)) GROUP BY 1)""")
 def feature_sets(spark, sf_dir):
     both = prep.clean_missing(raw_points(spark, sf_dir)).unionByName(series.order_points(table(spark, sf_dir, "orders")))
     return profile.feature_sets(both)
@@ -238,12 +241,29 @@ def forecast_covariate(spark, sf_dir):
     return rounded(f.select("series_id", "t", "y", "point"), "y", "point", digits=4)
 
 
-@query()
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
+def _others(target: str) -> list[str]:
+    return [f for f in EVENT_TYPES if f != target]
+
+
+@query(f", {covariates_ctes('cc', 'click', _others('click'))} SELECT series_id, 'click' AS feature, t // 24 AS window_id, t, {r('y', 4)} AS y, {r('point', 4)} AS point FROM cc")
 def forecast_covariates(spark, sf_dir):
     f = covariates_forecast(imputed(spark, sf_dir), "click", 24)
     return rounded(f.select("series_id", "feature", "window_id", "t", "y", "point"), "y", "point", digits=4)
 
 
+@query(f"""SELECT series_id, split, feature, t AS origin, j::INTEGER AS step, {r('greatest(ctx[24] + (ctx[24] - ctx[1]) / 23 * j, 0.0)', 5)} AS point FROM (
+SELECT *, unnest([1, 2, 3, 4]) AS j FROM (SELECT series_id, split, feature, t, list(value) OVER (PARTITION BY series_id, split, feature ORDER BY t {LAGS}) AS ctx,
+count(*) OVER (PARTITION BY series_id, split, feature ORDER BY t ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS n FROM imp) WHERE len(ctx) = 24 AND n = 4)""")
+def forecast_non_negative(spark, sf_dir):
+    """No event value is negative, so no forecast may be."""
+    w = windows.sliding_windows(imputed(spark, sf_dir).drop("at"), C, H).drop("value")
+    f = forecast(w, "drift", C, H, quantiles=False, non_negative=True)
+    return rounded(f.select("series_id", "split", "feature", "origin", "step", "point"), "point", digits=5)
+
+
 # --- scores
 
 
@@ -330,9 +350,9 @@ def smooth_reflect_even(spark, sf_dir):
 
 
 def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Window errors from step C on, with labels."""
+    """Window errors from step C on, with labels; rounded, so that scores that are equal but for the order of a sum tie."""
     s = metrics.trim_after_context(pl.window_mse_scores(points(spark, sf_dir).drop("at"), C, H), C)
-    return cut(s.join(pl.test_labels(labels(spark, sf_dir)), ["series_id", "t"]))
+    return cut(rounded(s, "score", digits=DIGITS).join(pl.test_labels(labels(spark, sf_dir)), ["series_id", "t"]))
 
 
 @query(f"SELECT series_id, {r('auroc')} AS auroc FROM m_a")
@@ -443,13 +463,13 @@ def pipeline_calibrated_metrics(spark, sf_dir):
 @query(f"""SELECT a.series_id, {r('auroc', 5)} AS auroc, {r('auprc', 5)} AS auprc, {r('tpr', 5)} AS best_tpr, {r('m_j.fpr', 5)} AS best_fpr, tn, m_f.fp, fn, tp
 FROM m_a a JOIN m_j USING (series_id) JOIN m_f USING (series_id)""")
 def pipeline_window_mse(spark, sf_dir):
-    out = pl.window_mse(points(spark, sf_dir).drop("at"), labels(spark, sf_dir), C, H)
+    out = pl.window_mse(points(spark, sf_dir).drop("at"), labels(spark, sf_dir), C, H, digits=DIGITS)
     return rounded(out.select("series_id", "auroc", "auprc", "best_tpr", "best_fpr", "tn", "fp", "fn", "tp"), "auroc", "auprc", "best_tpr", "best_fpr", digits=5)
 
 
 @query(f"SELECT series_id, {r('auroc', 4)} AS auroc, {r('auprc', 4)} AS auprc FROM b_a")
 def pipeline_band(spark, sf_dir):
-    out = pl.band(imputed(spark, sf_dir), labels(spark, sf_dir), C, H)
+    out = pl.band(imputed(spark, sf_dir), labels(spark, sf_dir), C, H, digits=DIGITS)
     return rounded(out, "auroc", "auprc", digits=4)
 
 
@@ -460,13 +480,24 @@ def band_scores(spark, sf_dir):
 
 @query(f"SELECT series_id, {r('auroc', 4)} AS auroc, {r('auprc', 4)} AS auprc FROM v_a")
 def pipeline_covariate(spark, sf_dir):
-    out = pl.covariate(imputed(spark, sf_dir), labels(spark, sf_dir), 24, {"click": "view"})
+    out = pl.covariate(imputed(spark, sf_dir), labels(spark, sf_dir), 24, {"click": "view"}, digits=DIGITS)
     return rounded(out, "auroc", "auprc", digits=4)
 
 
+@query(f""", {covariates_ctes('c1', 'click', _others('click'))}, {covariates_ctes('c2', 'view', _others('view'))},
+c3 AS (SELECT 'click' AS feature, * FROM c1 UNION ALL SELECT 'view', * FROM c2), c4 AS (SELECT series_id, feature, t, (y - point) * (y - point) AS s FROM c3),
+c5 AS (SELECT series_id, t, CASE WHEN hi > lo THEN (s - lo) / (hi - lo) ELSE 0 END AS s FROM c4 JOIN (SELECT series_id, feature, min(s) AS lo, max(s) AS hi FROM c4 GROUP BY ALL) USING (series_id, feature)),
+c6 AS (SELECT series_id, t, round(sqrt(sum(s * s)), 5) AS score, any_value(y) AS y FROM c5 JOIN (SELECT * FROM lab WHERE split = 'test') USING (series_id, t) GROUP BY ALL),
+{_metrics("c7", "c6", "series_id")} SELECT series_id, {r('auroc', 3)} AS auroc, {r('auprc', 3)} AS auprc FROM c7_a""")
+def pipeline_covariates(spark, sf_dir):
+    """Each of two targets from all other features."""
+    out = pl.covariate(imputed(spark, sf_dir), labels(spark, sf_dir), 24, ["click", "view"], digits=DIGITS)
+    return rounded(out, "auroc", "auprc", digits=3)
+
+
 @query(f"SELECT series_id, context, horizon, {r('auroc', 5)} AS auroc, {r('auprc', 5)} AS auprc FROM ({' UNION ALL '.join(f'({sweep_part(c, h)})' for c, h in SWEEP)})")
 def sweep(spark, sf_dir):
-    out = pl.sweep(points(spark, sf_dir).drop("at"), labels(spark, sf_dir), SWEEP)
+    out = pl.sweep(points(spark, sf_dir).drop("at"), labels(spark, sf_dir), SWEEP, digits=DIGITS)
     return rounded(out.select("series_id", "context", "horizon", "auroc", "auprc"), "auroc", "auprc", digits=5)
 
 
@@ -479,27 +510,180 @@ def window_records(spark, sf_dir):
     return rounded(out, "score_max", "score_topk", "score_l2", "ctx_sum", digits=4)
 
 
-@query(f"""SELECT series_id, feature, t, {r('abs(value - list_avg(ctx)) / greatest((list_aggregate(ctx, $$quantile_cont$$, 0.9) - list_aggregate(ctx, $$quantile_cont$$, 0.1)) / 2.56, 0.001)', 4)} AS score FROM (
-SELECT 's' || (user_id % 4) AS series_id, event_type AS feature, date_diff('microsecond', TIMESTAMP '2024-01-01 00:00:00', ts) AS t, value,
-list(value) OVER (PARTITION BY user_id % 4, event_type ORDER BY ts {LAGS}) AS ctx FROM events) WHERE len(ctx) = 24""")
-def stream_scores(spark, sf_dir):
+_STREAM_ERR = f"""SELECT series_id, feature, t, abs(value - list_avg(ctx)) / greatest((list_aggregate(ctx, 'quantile_cont', 0.9) - list_aggregate(ctx, 'quantile_cont', 0.1)) / 2.56, 0.001) AS err FROM (
+SELECT 's' || (user_id // 25) AS series_id, event_type AS feature, date_diff('microsecond', TIMESTAMP '2024-01-01 00:00:00', ts) AS t, value,
+list(value) OVER (PARTITION BY user_id // 25, event_type ORDER BY ts {LAGS}) AS ctx FROM events) WHERE len(ctx) = 24"""
+#: Microseconds of the events that calibrate.
+_CALIBRATES = 6 * 86_400_000_000
+
+
+def _streamed(spark: SparkSession, sf_dir: str, calibration: DataFrame, **options) -> DataFrame:
     """All events as a stream, each scored against the 24 before it in its series and type."""
     schema = table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 16).parquet(f"{sf_dir}/events.parquet*")
     arrivals = events.select(
-        F.concat(F.lit("s"), (F.col("user_id") % 4).cast("string")).alias("series_id"), F.col("event_type").alias("feature"),
-        F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts)").alias("t"), F.col("value").alias("y"),
+        F.concat(F.lit("s"), F.floor(F.col("user_id") / 25).cast("string")).alias("series_id"), F.col("event_type").alias("feature"),
+        F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts)").alias("t"), F.col("value").alias("y"), F.col("ts").cast("timestamp").alias("ts"),
     )
-    uncalibrated = spark.range(0).selectExpr("'' AS series_id", "'' AS feature", "0D AS mu", "1D AS sd")
     out = shared_path(spark)
-    run = online_scores(arrivals, uncalibrated, C).writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out)
+    run = online_scores(arrivals, calibration, C, **options).writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out)
     run.awaitTermination()
-    return rounded(spark.read.parquet(out).select("series_id", "feature", "t", "score"), "score", digits=4)
+    return spark.read.parquet(out)
+
+
+@query(f", e AS ({_STREAM_ERR}) SELECT series_id, feature, t, {r('err', 4)} AS score FROM e")
+def stream_scores(spark, sf_dir):
+    """Not calibrated."""
+    none = spark.range(0).selectExpr("'' AS series_id", "'' AS feature", "0D AS mu", "1D AS sd")
+    return rounded(_streamed(spark, sf_dir, none).select("series_id", "feature", "t", "score"), "score", digits=4)
+
+
+@query(f""", e AS ({_STREAM_ERR}), ec AS (SELECT series_id, feature, avg(err) AS mu, stddev_pop(err) + 1e-8 AS sd FROM e WHERE t < {_CALIBRATES} GROUP BY ALL HAVING count(*) > 4)
+SELECT series_id, feature, t, {r('(err - coalesce(mu, 0)) / coalesce(sd, 1)', 3)} AS score FROM e LEFT JOIN ec USING (series_id, feature)""")
+def stream_scores_calibrated(spark, sf_dir):
+    """Against the errors of the first six days, behind a watermark of a day."""
+    none = spark.range(0).selectExpr("'' AS series_id", "'' AS feature", "0D AS mu", "1D AS sd")
+    first = _streamed(spark, sf_dir, none).where(F.col("t") < _CALIBRATES)
+    fit = first.groupBy("series_id", "feature").agg(F.avg("err").alias("mu"), (F.stddev_pop("err") + errors.EPSILON).alias("sd"), F.count("*").alias("n")).where("n > 4").drop("n")
+    return rounded(_streamed(spark, sf_dir, cut(fit), delay="1 day").select("series_id", "feature", "t", "score"), "score", digits=3)
+
+
+# --- files: series in, results out and back
+
+
+def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event series with the sentinel and the label, one column a feature."""
+    long = prep.split_by_position(raw_points(spark, sf_dir))
+    wide = prep.to_wide(long, ["series_id", "split", "t"], EVENT_TYPES)
+    return wide.join(labels(spark, sf_dir).withColumnRenamed("y", "is_anomaly"), ["series_id", "split", "t"])
+
+
+def _from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A directory of CSV series, written and read back."""
+    path = shared_path(spark)
+    sinks.write_csv_series(_wide(spark, sf_dir), path)
+    schema = ", ".join(["timestamp timestamp_ntz", *(f"`{f}` double" for f in EVENT_TYPES), "is_anomaly int"])
+    return series.read_csv_series(spark, path, schema)
+
+
+@query(f"SELECT series_id, split, t, feature, {r('value')} AS value FROM pts")
+def csv_series(spark, sf_dir):
+    long, _ = prep.features_and_labels(_from_csv(spark, sf_dir), ["series_id", "split", "t"], require=True)
+    return rounded(prep.clean_missing(long), "value").select("series_id", "split", "t", "feature", "value")
+
+
+@query(f"SELECT series_id, {r('auroc', 5)} AS auroc, {r('auprc', 5)} AS auprc, {r('tpr', 5)} AS best_tpr, {r('m_j.fpr', 5)} AS best_fpr FROM m_a JOIN m_j USING (series_id)")
+def csv_pipeline(spark, sf_dir):
+    """From a directory of CSV files to the summary by series, written as CSV and read back."""
+    long, y = prep.features_and_labels(_from_csv(spark, sf_dir), ["series_id", "split", "t"], require=True)
+    out = pl.window_mse(prep.clean_missing(long), y.withColumnRenamed("is_anomaly", "y"), C, H, digits=DIGITS)
+    path, columns = shared_path(spark), ["auroc", "auprc", "best_tpr", "best_fpr"]
+    sinks.write_summary(out.select("series_id", *columns), path)
+    back = spark.read.schema("series_id string, " + ", ".join(f"{c} double" for c in columns)).option("header", True).csv(path)
+    return rounded(back, *columns, digits=5)
+
+
+@query(f"SELECT series_id AS file_name, {r('auroc', 5)} AS \"AUROC\", {r('auprc', 5)} AS \"AUPRC\" FROM m_a")
+def saved_results(spark, sf_dir):
+    """A results table, made if absent (twice), and appended to by parts."""
+    path = shared_path(spark)
+    found = cut(metrics.areas(evaluated(spark, sf_dir), ["series_id"]).select(F.col("series_id").alias("file_name"), F.col("auroc").alias("AUROC"), F.col("auprc").alias("AUPRC")))
+    even = F.pmod(F.xxhash64("file_name"), F.lit(2)) == 0
+    for part in (found.where(even), found.where(~even)):
+        sinks.create_results(spark, path)
+        sinks.append_results(part, path)
+    return rounded(spark.read.parquet(path), "AUROC", "AUPRC", digits=5)
+
+
+@query(f"""SELECT 'roc' AS curve, series_id, {r('fpr')} AS x, {r('tpr')} AS y, {r('threshold', 5)} AS threshold FROM m_r
+UNION ALL SELECT 'pr', series_id, {r('CASE WHEN np > 0 THEN tp::DOUBLE / np END')}, {r('tp::DOUBLE / (tp + fp)')}, {r('score', 5)} FROM m_c UNION ALL SELECT DISTINCT 'pr', series_id, 0.0, 1.0, NULL::DOUBLE FROM m_c""")
+def saved_curves(spark, sf_dir):
+    scored, paths = evaluated(spark, sf_dir), [shared_path(spark), shared_path(spark)]
+    sinks.write_curve(metrics.roc_curve(scored, ["series_id"]), paths[0])
+    sinks.write_curve(metrics.pr_curve(scored, ["series_id"]), paths[1])
+    roc = spark.read.parquet(paths[0]).select(F.lit("roc").alias("curve"), "series_id", F.col("fpr").alias("x"), F.col("tpr").alias("y"), "threshold")
+    pr = spark.read.parquet(paths[1]).select(F.lit("pr").alias("curve"), "series_id", F.col("recall").alias("x"), F.col("precision").alias("y"), "threshold")
+    return _round_curve(roc.unionByName(pr), "x", "y")
+
+
+@query(f"SELECT series_id, {r('auroc', 5)} AS auroc, {r('auprc', 5)} AS auprc FROM k_a WHERE method = 'l2'")
+def saved_scores(spark, sf_dir):
+    """Scores of all methods written by dataset, configuration and method; those of one read back, and evaluated."""
+    path = shared_path(spark)
+    long = calibrated_scores(spark, sf_dir).unpivot(["series_id", "t"], pl.CALIBRATED, "method", "score")
+    sinks.write_scores(long.withColumns({"dataset": F.lit("events"), "context": F.lit(C), "horizon": F.lit(H)}), path)
+    back = series.read_scores(spark, path).where((F.col("dataset") == "events") & (F.col("context") == C) & (F.col("method") == "l2"))
+    out = pl.evaluate(back.select("series_id", "t", "score"), labels(spark, sf_dir), C)
+    return rounded(out.select("series_id", "auroc", "auprc"), "auroc", "auprc", digits=5)
+
+
+@query(f"""SELECT series_id, t, {r('"max"', 4)} AS score_max, y AS is_anomaly FROM cev WHERE (t - 24) % 5 = 0""")
+def saved_records(spark, sf_dir):
+    path = shared_path(spark)
+    sinks.write_window_records(pl.window_records(points(spark, sf_dir).drop("at"), labels(spark, sf_dir), C, H), path)
+    return rounded(spark.read.parquet(path).select("series_id", "t", "score_max", "is_anomaly"), "score_max", digits=4)
+
+
+@query(f"SELECT 'events' AS dataset, true AS dated, series_id, method, {r('auroc', 5)} AS auroc, {r('auprc', 5)} AS auprc FROM k_a")
+def saved_method_metrics(spark, sf_dir):
+    path = shared_path(spark)
+    m = pl.method_metrics(calibrated_scores(spark, sf_dir), pl.CALIBRATED)
+    sinks.write_method_metrics(m.select("series_id", "method", "auroc", "auprc"), path, "events")
+    back = spark.read.schema("series_id string, method string, auroc double, auprc double, run_date string, dataset string").parquet(path).where("dataset = 'events'")
+    out = back.select("dataset", F.col("run_date").rlike(r"^\d{4}-\d\d-\d\d$").alias("dated"), "series_id", "method", "auroc", "auprc")
+    return rounded(out, "auroc", "auprc", digits=5)
+
+
+@query(f"SELECT {r('avg(auroc)', 5)} AS mean_auroc, {r('avg(auprc)', 5)} AS mean_auprc FROM m_a")
+def saved_report(spark, sf_dir):
+    """The one-row mean report as JSON."""
+    path = shared_path(spark)
+    sinks.write_report(metrics.mean_metrics(metrics.areas(evaluated(spark, sf_dir), ["series_id"])), path)
+    return rounded(spark.read.schema("mean_auroc double, mean_auprc double").json(path), "mean_auroc", "mean_auprc", digits=5)
+
+
+@query(f"SELECT NULL::DOUBLE AS mean_auroc, {r('avg(auprc)', 5)} AS mean_auprc FROM m_a")
+def mean_metrics_strict(spark, sf_dir):
+    """An undefined value makes its mean undefined."""
+    a = metrics.areas(evaluated(spark, sf_dir), ["series_id"]).withColumn("auroc", F.when(F.col("series_id") != "s0", F.col("auroc")))
+    return rounded(metrics.mean_metrics(a, skip=False), "mean_auroc", "mean_auprc", digits=5)
+
+
+@query("SELECT DISTINCT series_id, 'events_context24_h4' AS config, 20 AS train_percent, series_id || '_train.csv' AS file FROM pts")
+def run_names(spark, sf_dir):
+    """Names of configuration and files of every series; the file's name gives the series back."""
+    s = points(spark, sf_dir).select("series_id").distinct().withColumn("file", F.concat("series_id", F.lit("_train.csv")))
+    config = naming.config_name("events", F.lit(C), F.lit(H))
+    return s.select(naming.strip_suffix(F.col("file"), "_train.csv").alias("series_id"), config.alias("config"), F.lit(naming.split_percent(0.2)).alias("train_percent"), "file")
+
+
+@query("SELECT DISTINCT series_id, t, 0.0 AS score FROM z WHERE split = 'test' AND t < 27")
+def short_series(spark, sf_dir):
+    """Series one step shorter than context and horizon have no window: all scores are 0."""
+    p = points(spark, sf_dir).drop("at").where(F.col("t") < C + H - 1)
+    return pl.window_mse_scores(p, C, H)
 
 
 # --- profiles
 
 
+@query(f"SELECT series_id, feature, t, {r('value')} AS value FROM raw_ WHERE t < 5 AND feature IN (SELECT DISTINCT feature FROM raw_ ORDER BY 1 LIMIT 3)")
+def preview(spark, sf_dir):
+    return rounded(profile.preview(raw_points(spark, sf_dir), 5, 3), "value").select("series_id", "feature", "t", "value")
+
+
+@query(f"""SELECT series_id, feature, {r('1 - count(value) / count(*)')} AS missing, {r('min(value)')} AS lo, {r('max(value)')} AS hi,
+{r('avg(value) FILTER (y = 0)', 4)} AS mean_normal, {r('avg(value) FILTER (y = 1)', 4)} AS mean_anomalous,
+{r("stddev_pop(CASE WHEN split = 'train' THEN value END)", 4)} AS train_std, {r("stddev_pop(CASE WHEN split = 'test' THEN value END)", 4)} AS test_std,
+{r("abs(avg(CASE WHEN split = 'train' THEN value END) - avg(CASE WHEN split = 'test' THEN value END))", 4)} AS drift,
+coalesce(stddev_pop(CASE WHEN split = 'train' THEN value END) > 1e-8, false) AS kept
+FROM pts LEFT JOIN (SELECT * FROM lab WHERE split = 'test') USING (series_id, split, t) GROUP BY ALL""")
+def quality_report(spark, sf_dir):
+    out = rounded(profile.report(points(spark, sf_dir), labels(spark, sf_dir)), "missing", "lo", "hi")
+    return rounded(out, "mean_normal", "mean_anomalous", "train_std", "test_std", "drift", digits=4)
+
+
+
 @query(f"""SELECT series_id, feature, {r("stddev_pop(CASE WHEN split = 'train' THEN value END)", 4)} AS train_std, {r("stddev_pop(CASE WHEN split = 'test' THEN value END)", 4)} AS test_std,
 {r("abs(avg(CASE WHEN split = 'train' THEN value END) - avg(CASE WHEN split = 'test' THEN value END))", 4)} AS drift FROM pts GROUP BY ALL""")
 def drift(spark, sf_dir):

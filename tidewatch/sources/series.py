@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -12,14 +12,15 @@ from tidewatch.operators.running import position
 
 
 def read_csv_series(spark: SparkSession, path: str, schema: StructType | str, glob: str = "*.csv", exclude: tuple[str, ...] = (), default_split: str = "test") -> DataFrame:
-    """All matching files of a directory in one read: series_id and split from the file name, t from the timestamp order, and the file's columns.
+    """All matching files of a directory in one read: series_id and split from the file's name (or its folder's, if that ends in .csv), t from the timestamp order, and the file's columns.
 
     Without a timestamp column the order is that of the lines, by ascending file block and line.
     """
     raw = spark.read.schema(schema).option("header", True).option("pathGlobFilter", glob).option("positiveInf", "inf").csv(path)
-    name = F.col("_metadata.file_name")
+    name = F.col("_metadata.file_path")
     df = raw.withColumns({"series_id": series_of(name), "split": split_of(name, default_split), "sr_at": F.col("_metadata.file_block_start"), "sr_line": F.monotonically_increasing_id()})
     df = df.where(~F.col("series_id").isin(*exclude)) if exclude else df
+    df = df.drop("file")
     if "timestamp" in df.columns:
         return position(df, ["series_id", "split"], "timestamp").drop("sr_at", "sr_line")
     ordered = df.withColumn("sr_order", F.struct("sr_at", "sr_line"))
@@ -41,35 +42,42 @@ def _gridded(cells: DataFrame) -> DataFrame:
     return spine(cells).join(cells, ["series_id", "feature", "t"], "left")
 
 
-def event_points(events: DataFrame, n_series: int = 4, missing_every: int = 17) -> DataFrame:
-    """Hourly mean value by event type; series by user. By a fixed rule one cell in ``missing_every`` holds the sentinel -1."""
-    t = F.expr("timestampdiff(HOUR, timestamp_ntz'2024-01-01 00:00:00', ts)").cast("long")
-    series = F.concat(F.lit("s"), (F.col("user_id") % n_series).cast("string"))
-    cells = events.groupBy(series.alias("series_id"), t.alias("t"), F.col("event_type").alias("feature")).agg(F.round(F.avg("value"), 6).alias("value"))
+def day_zero(df: DataFrame, ts: str) -> Column:
+    """Midnight of the first day of ``ts`` in the table, so that no row comes before step 0."""
+    return F.lit(df.agg(F.date_format(F.min(ts), "yyyy-MM-dd")).first()[0]).cast("timestamp_ntz")
+
+
+def _event_cells(events: DataFrame, users: int) -> DataFrame:
+    """Series, hour and event; a series is ``users`` neighbouring users, so that series grow in number with the table and not in density."""
+    t = F.timestamp_diff("HOUR", day_zero(events, "ts"), F.col("ts")).cast("long")
+    return events.select(F.concat(F.lit("s"), F.floor(F.col("user_id") / users).cast("string")).alias("series_id"), t.alias("t"), "event_type", "value")
+
+
+def event_points(events: DataFrame, users: int = 25, missing_every: int = 17) -> DataFrame:
+    """Hourly mean value by event type. By a fixed rule one cell in ``missing_every`` holds the sentinel -1."""
+    cells = _event_cells(events, users).groupBy("series_id", "t", F.col("event_type").alias("feature")).agg(F.round(F.avg("value"), 6).alias("value"))
     lost = (F.col("t") + F.length("feature")) % missing_every == 0
     return _gridded(cells).withColumn("value", F.when(lost, F.lit(-1.0)).otherwise(F.col("value")))
 
 
-def event_labels(events: DataFrame, n_series: int = 4, above: float = 150.0) -> DataFrame:
+def event_labels(events: DataFrame, users: int = 25, above: float = 150.0) -> DataFrame:
     """y = 1 for hours whose largest value is over ``above``; every hour of a series has a row."""
-    t = F.expr("timestampdiff(HOUR, timestamp_ntz'2024-01-01 00:00:00', ts)").cast("long")
-    series = F.concat(F.lit("s"), (F.col("user_id") % n_series).cast("string"))
-    top = events.groupBy(series.alias("series_id"), t.alias("t")).agg(F.max("value").alias("top"))
+    top = _event_cells(events, users).groupBy("series_id", "t").agg(F.max("value").alias("top"))
     hours = top.groupBy("series_id").agg(F.max("t").alias("last")).select("series_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("t"))
     return hours.join(top, ["series_id", "t"], "left").select("series_id", "t", (F.coalesce("top", F.lit(0.0)) > above).cast("int").alias("y"))
 
 
 def line_points(lineitem: DataFrame) -> DataFrame:
     """Daily mean quantity by line status; series by return flag."""
-    t = F.expr("timestampdiff(DAY, timestamp_ntz'1995-01-01 00:00:00', l_shipdate)").cast("long")
+    t = F.timestamp_diff("DAY", day_zero(lineitem, "l_shipdate"), F.col("l_shipdate")).cast("long")
     cells = lineitem.groupBy(F.col("l_returnflag").alias("series_id"), t.alias("t"), F.col("l_linestatus").alias("feature")).agg(F.round(F.avg("l_quantity"), 6).alias("value"))
     return _gridded(cells)
 
 
 def order_points(orders: DataFrame) -> DataFrame:
     """Daily mean price by priority; one series."""
-    t = F.expr("timestampdiff(DAY, timestamp_ntz'1995-01-01 00:00:00', o_orderdate)").cast("long")
-    cells = orders.where("o_orderdate >= timestamp_ntz'1995-01-01 00:00:00'").groupBy(F.lit("orders").alias("series_id"), t.alias("t"), F.col("o_orderpriority").alias("feature")).agg(F.round(F.avg("o_totalprice"), 6).alias("value"))
+    t = F.timestamp_diff("DAY", day_zero(orders, "o_orderdate"), F.col("o_orderdate")).cast("long")
+    cells = orders.groupBy(F.lit("orders").alias("series_id"), t.alias("t"), F.col("o_orderpriority").alias("feature")).agg(F.round(F.avg("o_totalprice"), 6).alias("value"))
     return _gridded(cells)
 
 

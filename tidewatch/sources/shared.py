@@ -1,9 +1,10 @@
-"""Tables in the folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset, as in tests."""
+"""Tables in the folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset in a local session, as in tests."""
 
 from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -14,7 +15,11 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 def shared_path(spark: SparkSession) -> str:
     """A new path in it; what is written there goes when the Python process ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-tidewatch-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-tidewatch-")
     path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
     return path
@@ -27,7 +32,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a written table: computed once however often it is read, and safe from lost executors."""
+    """``df`` as a written table: computed once however often it is read, and safe from lost executors. It sets a session setting meanwhile: not for parallel callers of one session."""
     spark, path = df.sparkSession, shared_path(df.sparkSession)
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")

@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.functions.naming import run_date, synthetic_time
+from tidewatch.operators.windows import BLOCK
+
 SCORE_LAYOUT = ("dataset", "context", "horizon", "method")
 RESULTS = "file_name string, AUROC double, AUPRC double"
 
 
+def write_csv_series(wide: DataFrame, path: str) -> None:
+    """(series_id, split, t, one column a feature, optional label) as CSV, a folder ``file=<series>_<split>.csv`` each, with synthetic timestamps in place of t. Long series are several files."""
+    named = wide.withColumns({"file": F.concat_ws("", "series_id", F.lit("_"), "split", F.lit(".csv")), "timestamp": synthetic_time(F.col("t")), "wc_block": F.floor(F.col("t") / BLOCK)})
+    dealt = named.repartition("file", "wc_block").sortWithinPartitions("file", "t")
+    dealt.select("timestamp", *(c for c in wide.columns if c not in ("series_id", "split", "t")), "file").write.option("header", True).partitionBy("file").csv(path)
+
+
 def append_results(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
@@ -38,7 +48,7 @@ def write_window_records(records: DataFrame, path: str) -> None:
 
 def write_method_metrics(metrics: DataFrame, path: str, dataset: str) -> None:
     """All methods' metrics with run date and dataset, in folders by both."""
-    metrics.withColumns({"run_date": F.current_date(), "dataset": F.lit(dataset)}).write.mode("append").partitionBy("run_date", "dataset").parquet(path)
+    metrics.withColumns({"run_date": run_date(F.current_timestamp()), "dataset": F.lit(dataset)}).write.mode("append").partitionBy("run_date", "dataset").parquet(path)
 
 
 def write_report(row: DataFrame, path: str) -> None:

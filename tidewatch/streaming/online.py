@@ -1,8 +1,10 @@
 """Online scoring, one step ahead: the last ``context`` values of each series and feature are state.
 
 An arrival is scored against the mean and band of the values before it, calibrated with a static
-table from training; it needs nothing after it. Arrivals behind the watermark are dropped by Spark;
-within a micro-batch they are taken in time order.
+table from training; it needs nothing after it. With a watermark, arrivals behind it are dropped by
+Spark; within a micro-batch arrivals are taken in time order. A micro-batch's arrivals of one series and
+feature are held together, so a source needs a limit a trigger (``maxFilesPerTrigger``) that fits its
+busiest series; scores leave in pieces.
 """
 
 from __future__ import annotations
@@ -21,29 +23,40 @@ OUT = "series_id string, feature string, t long, y double, err double, score dou
 STATE = "last array<double>"
 
 
-def _scorer(context: int):
+def _scorer(context: int, piece: int = 1 << 14):
     def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = list(state.get[0]) if state.exists else []
+        if state.hasTimedOut:
+            return
+        last = np.array(state.get[0] if state.exists else [], float)
         rows = pd.concat(list(pdfs)).sort_values("t", kind="stable")
-        out = []
-        for t, y, mu, sd in zip(rows["t"], rows["y"], rows["mu"], rows["sd"]):
-            if len(last) == context:
-                x = np.array(last)
-                low, high = np.quantile(x, (0.1, 0.9))
-                err = abs(y - x.mean()) / max((high - low) / (2 * BAND_HALF_WIDTH), 1e-3)
-                out.append((key[0], key[1], t, y, err, (err - mu) / sd))
-            last = [*last, y][-context:]
-        state.update((last,))
-        yield pd.DataFrame(out, columns=["series_id", "feature", "t", "y", "err", "score"])
+        for at in range(0, len(rows), piece):
+            part = rows.iloc[at : at + piece]
+            y = part["y"].to_numpy(float)
+            line = np.concatenate((last, y))
+            last = line[-context:]
+            scored = len(line) - context  # arrivals with a full context before them
+            if scored <= 0:
+                continue
+            seen = np.lib.stride_tricks.sliding_window_view(line[:-1], context)
+            low, high = np.quantile(seen, (0.1, 0.9), axis=1)
+            part, y = part.iloc[len(y) - scored :], y[len(y) - scored :]
+            err = np.abs(y - seen.mean(axis=1)) / np.maximum((high - low) / (2 * BAND_HALF_WIDTH), 1e-3)
+            score = (err - part["mu"].to_numpy()) / part["sd"].to_numpy()
+            yield pd.DataFrame({"series_id": key[0], "feature": key[1], "t": part["t"].to_numpy(), "y": y, "err": err, "score": score})
+        state.update((last.tolist(),))
 
     return run
 
 
 def online_scores(arrivals: DataFrame, calibration: DataFrame, context: int, delay: str | None = None, event_time: str = "ts") -> DataFrame:
-    """``arrivals`` (stream: series_id, feature, t, y, and event_time if ``delay`` is given) to scores.
+    """``arrivals`` (stream: series_id, feature, t, y, and the timestamp event_time if ``delay`` is given) to scores.
 
-    ``calibration`` is static: (series_id, feature, mu, sd); keys that it lacks have mu 0 and sd 1.
+    ``calibration`` is static: (series_id, feature, mu, sd); keys that it lacks have mu 0 and sd 1. Arrivals
+    more than ``delay`` behind the latest event time of earlier micro-batches are dropped.
     """
     rows = arrivals.withWatermark(event_time, delay) if delay else arrivals
-    rows = rows.join(calibration, ["series_id", "feature"], "left").select("series_id", "feature", "t", "y", F.coalesce("mu", F.lit(0.0)).alias("mu"), F.coalesce("sd", F.lit(1.0)).alias("sd"))
-    return rows.groupBy("series_id", "feature").applyInPandasWithState(_scorer(context), OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    kept = ["series_id", "feature", "t", "y", *([event_time] if delay else [])]
+    rows = rows.join(calibration, ["series_id", "feature"], "left").select(*kept, F.coalesce("mu", F.lit(0.0)).alias("mu"), F.coalesce("sd", F.lit(1.0)).alias("sd"))
+    # Spark drops late rows of a stateful function only where it times out by event time; no time-out is ever set
+    timeout = GroupStateTimeout.EventTimeTimeout if delay else GroupStateTimeout.NoTimeout
+    return rows.groupBy("series_id", "feature").applyInPandasWithState(_scorer(context), OUT, STATE, "append", timeout)
