@@ -15,6 +15,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.scratch import Scratch
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -91,6 +93,7 @@ def url_filter(
     trees: int = 8,
     depth: int = 4,
     seed: int = 42,
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, block_score for every page.
 
@@ -98,15 +101,18 @@ def url_filter(
     1 for block); without it the urls that rules decide are the labels. Suffix statistics are, for
     the host's last two labels, the number of all pages and of distinct hosts, on a log scale.
     With labels of one class only, or none, urls without a rule get that class, or allow.
-    Null urls have empty host and path and go to the trees like any other. Repeated rows and null
+    Null and empty urls have empty host and path and go to the trees like any other; very long ones are read
+    whole. Repeated rows and null
     ids are kept, an empty table gives no rows, other columns are ignored.
     """
+    scratch = scratch or Scratch(pages.sparkSession)
     host, path = host_and_path(F.col(url))
     base = pages.select(F.col(page_id).alias("u_id"), F.col(url).alias("u_url"), host.alias("host"), path.alias("path"))
     name, verdict = match_rules(F.col("host"), F.col("path"), rules)
     base = base.withColumns({"rule": name, "u_rule_verdict": verdict, "u_suffix": _suffix(F.col("host"))})
     stats = base.groupBy("u_suffix", "host").count().groupBy("u_suffix")
-    stats = stats.agg(F.log1p(F.sum("count")).alias("suffix_pages"), F.log1p(F.count("*")).alias("suffix_hosts"))
+    # read back, so that Spark can split the pages of a suffix with very many
+    stats = scratch.write(stats.agg(F.log1p(F.sum("count")).alias("suffix_pages"), F.log1p(F.count("*")).alias("suffix_hosts")))
 
     def with_features(df: DataFrame) -> DataFrame:
         wide = df.withColumns(lexical_features(F.col("u_url"), F.col("host"), F.col("path"))).join(stats, "u_suffix", "left")
