@@ -18,10 +18,11 @@ import numpy as np
 def _types(t: np.ndarray) -> np.ndarray:
     """True where a suffix is S. The end of the string counts as smaller than any byte, so the last suffix is L."""
     n = len(t)
-    differs = np.flatnonzero(t[:-1] != t[1:])
+    apart = t[:-1] != t[1:]
+    differs = np.flatnonzero(apart)
     s = np.zeros(n, bool)
     if len(differs):
-        after = np.searchsorted(differs, np.arange(n), side="left")
+        after = np.concatenate(([0], np.cumsum(apart)))  # places before it where neighbours differ
         known = after < len(differs)
         at = differs[after[known]]
         s[known] = t[at] < t[at + 1]
@@ -88,7 +89,7 @@ def _runs(x: np.ndarray, t: np.ndarray) -> list[tuple[int, int, int]]:
 def _rank_by_doubling(names: np.ndarray) -> np.ndarray:
     """Order of the suffixes of an integer string."""
     n = len(names)
-    order = np.argsort(names, kind="stable")
+    order = np.argsort(names)  # equal keys in any order: they share a rank
     ordered = names[order]
     rank = np.empty(n, np.int64)
     rank[order] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
@@ -96,11 +97,11 @@ def _rank_by_doubling(names: np.ndarray) -> np.ndarray:
     while rank.max(initial=0) < n - 1:
         key = rank * (n + 1)
         key[: n - stride] += rank[stride:] + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         rank[order] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
         stride *= 2
-    return np.argsort(rank, kind="stable") if n else order
+    return order
 
 
 def _names(t: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -109,7 +110,9 @@ def _names(t: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
     length = np.empty(m, np.int64)
     length[:-1] = np.diff(lms) + 1
     length[-1] = n - lms[-1] + 1  # runs to the end: equal to no other
-    at = np.searchsorted(lms, order)
+    place = np.empty(n, np.int64)
+    place[lms] = np.arange(m)
+    at = place[order]
     one, two = at[:-1], at[1:]
     same = (length[one] == length[two]) & (one != m - 1) & (two != m - 1)
     live = np.flatnonzero(same)
@@ -162,17 +165,38 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> tuple[np.ndarra
     k = 0
     limit = 2 * most + 1  # a head's value may pass on to ``most`` places after it
     a, b = heads[live], phi[heads[live]]
+    eight = _eight_bytes(t)
     while len(live) and k < limit:
-        ok = (a + k < n) & (b + k < n)
-        ok[ok] = t[a[ok] + k] == t[b[ok] + k]
-        value[live[~ok]] = k
-        live, a, b = live[ok], a[ok], b[ok]
-        k += 1
+        # a string's end differs from any byte
+        differ = eight[np.minimum(a + k, n)] ^ eight[np.minimum(b + k, n)]
+        same = differ == 0
+        same &= np.maximum(a, b) + k + 8 <= n
+        done = ~same
+        value[live[done]] = np.minimum(k + _leading_zero_bytes(differ[done]), n - np.maximum(a[done], b[done]))
+        live, a, b = live[same], a[same], b[same]
+        k += 8
     value[live] = _long_matches(t, a, b, k)
-    run = np.searchsorted(heads, place, side="right") - 1
+    run = np.cumsum(~reducible) - 1
     return phi, np.minimum(np.maximum(value[run] - (place - heads[run]), 0), most)
 
 
+def _eight_bytes(t: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, first byte highest; zeros after the end, and one more place."""
+    padded = np.concatenate((t, np.zeros(9, np.uint8)))
+    out = np.zeros(len(t) + 1, np.uint64)
+    for j in range(8):
+        out <<= np.uint64(8)
+        out |= padded[j : j + len(out)]
+    return out
+
+
+def _leading_zero_bytes(x: np.ndarray) -> np.ndarray:
+    count = np.zeros(len(x), np.int64)
+    for j in range(8):
+        count += x < np.uint64(1 << (8 * j)) if j else x == 0
+    return count
+
+
 def _long_matches(t: np.ndarray, a: np.ndarray, b: np.ndarray, done: int) -> np.ndarray:
     """Exact common prefixes of the few pairs that agree on ``done`` bytes already."""
     out = np.empty(len(a), np.int64)
