@@ -1,5 +1,6 @@
 """Mixing and sharding: exact laws, water filling against a plain loop, reruns."""
 
+import math
 import random
 import re
 import zlib
@@ -73,6 +74,24 @@ def test_whole_documents_and_weights(docs, spark):
         assert sum(i < 350 for i in extra) > len(extra) / 2
 
 
+def test_takes_follow_the_weights(docs, spark):
+    """Half of a source's 4,000 equal documents: with exponential keys the chance of one is 1 - exp(-weight * level)."""
+    rows = [(i, "w " * 10, "a") for i in range(4000)] + [(5000 + i, "w " * 10, "b") for i in range(1000)]
+    weights = spark.createDataFrame([(i, 3.0) for i in range(0, 4000, 2)] + [(i, 0.1) for i in range(1, 400, 2)], "doc_id long, weight double")
+    for fineness in (None, 1):
+        got = {r.doc_id: r.taken for r in mix_sources(docs(rows, extra=False), weights=weights, whole=True, per_octave=fineness).collect()}
+        groups = {3.0: range(0, 4000, 2), 0.1: range(1, 400, 2), 1.0: range(401, 4000, 2)}
+        low, high = 0.0, 50.0
+        for _ in range(60):
+            level = (low + high) / 2
+            low, high = (level, high) if sum(len(g) * (1 - math.exp(-w * level)) for w, g in groups.items()) < 2000 else (low, level)
+        assert sum(t for i, t in got.items() if i < 4000) == 20_000
+        for w, g in groups.items():
+            p = 1 - math.exp(-w * level)
+            found = sum(got[i] > 0 for i in g)
+            assert abs(found - len(g) * p) < 4.5 * math.sqrt(len(g) * p * (1 - p)), (w, found, len(g) * p)
+
+
 def test_null_ids_repeats_and_empty_tables(docs):
     rows = [(None, "a b c", "x"), (1, "a b c", "x"), (1, "a b c", "x"), (2, None, None), (None, None, None)]
     got = mix_sources(docs(rows)).collect()

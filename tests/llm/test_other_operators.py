@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 import zlib
 
@@ -10,6 +11,7 @@ import pytest
 from conftest import varied
 
 from tidewatch.llm import media
+from tidewatch.llm import text as text_tools
 from tidewatch.llm.decontaminate import contaminated
 from tidewatch.llm.materialise import END_OF_TEXT, TOKENIZER, Feistel, resume, shard_blobs, tokenizer, training_order, write_shards, written_order
 from tidewatch.llm.quality import best_threshold, importance_resample, top_k
@@ -204,6 +206,64 @@ def test_quality_on_held_out_documents(docs, spark):
     assert sum(r.kept for r in exact) == 100
 
 
+ALL64 = (1 << 64) - 1
+
+
+def plain_mix(h):
+    h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & ALL64
+    h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) & ALL64
+    return h ^ (h >> 31)
+
+
+def plain_buckets(text, buckets):
+    """Buckets of all n-grams of a text, one by one: words (1, 2) and shapes of words (1 to 3)."""
+    raw = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+    lower = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in raw]
+    words = [plain_mix(sum((c + 1) * pow(text_tools.BASE_A, i, 1 << 64) for i, c in enumerate(w)) & ALL64) for w in lower]
+    shapes = []
+    for i, w in enumerate(raw):
+        upper = sum(65 <= c <= 90 for c in w)
+        case = 0 if not upper else 1 if upper == 1 and 65 <= w[0] <= 90 else 3 if upper * 2 >= len(w) else 2
+        digits = sum(48 <= c <= 57 for c in w)
+        symbols = sum(33 <= c < 127 and not chr(c).isalnum() and chr(c) not in ".,;:?'\"-()" for c in w)
+        again = (i > 0 and lower[i] == lower[i - 1]) + 2 * (i > 1 and lower[i] == lower[i - 2])
+        code = min(len(w), 23) // 3
+        for part, base in ((case, 4), (min(digits, 2), 3), (min(symbols, 3), 4), (w[-1] in b".?!", 2), (again, 4)):
+            code = code * base + int(part)
+        shapes.append(code)
+    out = []
+    for salt, (stream, n) in enumerate(((words, 1), (words, 2), (shapes, 1), (shapes, 2), (shapes, 3))):
+        for i in range(len(stream) - n + 1):
+            h = salt + 1
+            for x in stream[i : i + n]:
+                h = plain_mix((h * 0x9E3779B97F4A7C15 + x) & ALL64)
+            out.append(h % buckets)
+    return out
+
+
+def test_quality_against_plain_counts(docs, spark):
+    """Log weights, Gumbel keys and the k kept, against a version without arrays; with nulls, copies and repeated rows."""
+    rows = varied(11) + [(None, "Null ID here.", "s"), (7, "again", "s"), (7, "again", "s")]
+    labels = [(i, int(i % 3 > 0)) for i in range(0, 30)] + [(400, 1), (3, None)]
+    got = importance_resample(docs(rows), spark.createDataFrame(labels, "doc_id long, quality int"), buckets=64, k=20).collect()
+    held = {r[0] for r in spark.createDataFrame(labels, "id long, q int").selectExpr("id", "pmod(xxhash64(42, id), 5) = 0 AS held").collect() if r.held}
+    good = {i for i, q in labels if q} - held
+    raw, target = collections.Counter(), collections.Counter()
+    for i, t, *_ in rows:
+        raw.update(found := plain_buckets(t, 64))
+        if i in good:
+            target.update(found)
+    log_ratio = [math.log((target[b] + 1) / (target.total() + 64)) - math.log((raw[b] + 1) / (raw.total() + 64)) for b in range(64)]
+    by_id = lambda pairs: sorted((-1 if i is None else i, w) for i, w in pairs)
+    want = by_id((i, sum(log_ratio[b] for b in plain_buckets(t, 64))) for i, t, *_ in rows)
+    found = by_id((r.doc_id, r.log_weight) for r in got)
+    assert [i for i, _ in found] == [i for i, _ in want] and all(abs(x - y) < 2e-6 for (_, x), (_, y) in zip(found, want))
+    again = spark.createDataFrame([(r.doc_id, r.tag, r.sample_key, r.log_weight) for r in got], "id long, tag long, k double, w double")
+    assert again.where("abs(k - (w - ln(-ln((shiftrightunsigned(xxhash64(43, id, tag), 12) + 0.5D) / pow(2D, 52))))) > 1e-9").count() == 0
+    order = sorted(got, key=lambda r: -r.sample_key)
+    assert sum(r.kept for r in got) == 20 and min(r.sample_key for r in got if r.kept) >= order[19].sample_key
+
+
 def test_quality_without_labels_or_rows(docs, spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     got = importance_resample(docs([(1, "a b"), (1, "a b"), (None, None)]), none).collect()

@@ -68,3 +68,10 @@ def test_decontamination_spares_texts_that_share_an_id(spark, tmp_path):
     left = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
     assert left.columns == docs.columns
     assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == [(0, ""), (0, "another clean one"), (0, "clean with a null id"), (7, "clean with a repeated id"), (8, "clean")]
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, kind in (("documents", columns), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
