@@ -98,8 +98,8 @@ def test_repeats_count_once(docs):
     assert got == {i: i // 2 * 2 for i in range(16)}
 
 
-@pytest.mark.parametrize("block", [8192, 7])
-def test_groups_are_the_exact_components(docs, block):
+@pytest.mark.parametrize("block,members", [(8192, 512), (7, 512), (8192, 3)])
+def test_groups_are_the_exact_components(docs, block, members):
     """Many pairs just below and just above 0.8: groups are the components of the exact links, no more and no fewer."""
     rng = random.Random(23)
     rows = []
@@ -116,5 +116,5 @@ def test_groups_are_the_exact_components(docs, block):
                 low, high = sorted((root[x], root[y]))
                 root = [low if r == high else r for r in root]
     assert below > 100 and len(set(root)) > 30
-    got = {r.doc_id: r.first_id for r in similar_groups(docs(list(enumerate(rows))), block=block).collect()}
+    got = {r.doc_id: r.first_id for r in similar_groups(docs(list(enumerate(rows))), block=block, members=members).collect()}
     assert [got[i] for i in range(len(rows))] == root

@@ -12,7 +12,9 @@ the comparison is the bit-sliced one of ``simhash``, with as many planes as bits
 Fingerprints only propose: the texts that they chain together within a bucket are a candidate group.
 The members' shingle sets are joined to it, and a search from member to member keeps the links whose
 exact similarity reaches the threshold. It compares each member found with all that are not found yet,
-so what is linked exactly within a candidate group stays linked, whatever estimate led there.
+so what is linked exactly within a candidate group stays linked, whatever estimate led there. A group of
+over ``members`` is cut into blocks, and each pair of blocks is searched on its own, so that no task
+holds more than about two blocks of one group.
 
 With the defaults a pair at a similarity of 0.8 shares no band with a probability of 3e-5, and lies
 beyond the radius with about the same; above 0.85 both vanish. A pair below the threshold is never a
@@ -131,6 +133,20 @@ def _bucket_groups(radius: int):
     return run
 
 
+def block_pairs(rows: DataFrame) -> DataFrame:
+    """Rows (node, blocks, ...) once for each pair (i, j) of a group's blocks that holds the node's own block: any two nodes of a group meet in some pair."""
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("own", "other")
+
+
+def split_groups(groups: DataFrame, members: int, scratch: Scratch) -> DataFrame:
+    """(gid, node) with each group of over ``members`` nodes replaced by groups of pairs of its blocks."""
+    large = scratch.write(groups.groupBy("gid").count().where(F.col("count") > members).select("gid", F.ceil(F.col("count") / members).cast("long").alias("blocks")))
+    rows = block_pairs(groups.join(large, "gid", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long"))))
+    return rows.select(F.when(F.col("blocks") > 1, F.xxhash64("gid", "i", "j")).otherwise(F.col("gid")).alias("gid"), "node")
+
+
 def candidate_groups(nodes: DataFrame, radius: int, scratch: Scratch, block: int) -> DataFrame:
     """(node, print, bands) to groups (gid, node) that hold together all pairs of nodes which share a band and differ in at most ``radius`` bits.
 
@@ -139,10 +155,8 @@ def candidate_groups(nodes: DataFrame, radius: int, scratch: Scratch, block: int
     """
     keyed = nodes.select("node", F.explode("bands").alias("band"))
     sizes = scratch.write(keyed.groupBy("band").count().where("count > 1").select("band", F.ceil(F.col("count") / block).cast("long").alias("blocks")))
-    rows = nodes.select("node", "print", F.explode("bands").alias("band")).join(sizes, "band")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    rows = rows.withColumn("own", own).select("band", "node", "print", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "print")
+    rows = block_pairs(nodes.select("node", "print", F.explode("bands").alias("band")).join(sizes, "band"))
+    rows = rows.select("band", "i", "j", "node", "print")
     return rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node").mapInArrow(_bucket_groups(radius), "gid long, node long")
 
 
@@ -229,6 +243,7 @@ def similar_groups(
     bands: int = 20,
     rows: int = 4,
     block: int = 8192,
+    members: int = 512,
     doc_id: str = "doc_id",
     text: str = "text",
     scratch: Scratch | None = None,
@@ -236,7 +251,7 @@ def similar_groups(
     """doc_id, tag, first_id, first_tag of every row: its text's hash, and the id and text hash of the first row of its group.
 
     Rows are ordered by id, null last, then text hash. Texts without words (null, empty, spaces) are one
-    group; a text of fewer than ``ngram`` words is one shingle. Repeated rows are kept. An empty table
+    group; very long texts are compared whole; a text of fewer than ``ngram`` words is one shingle. Repeated rows are kept. An empty table
     gives no rows; other columns are ignored.
     """
     scratch = scratch or Scratch(docs.sparkSession)
@@ -255,7 +270,7 @@ def similar_groups(
     found = nodes.join(groups.select("node").distinct(), "node", "left_semi").select("node", F.col("least.key").alias("key"), F.col("least.tag").alias("tag"))
     bodies = slim.select(id_key("own_id").alias("key"), "tag", "body").join(found, ["key", "tag"]).select("node", "body")
     sets = scratch.write(bodies.mapInArrow(_sets(ngram), "node long, set binary").dropDuplicates(["node"]))
-    rows_of = groups.join(sets, "node").select("gid", "node", "set").repartition("gid").sortWithinPartitions("gid")
+    rows_of = split_groups(groups, members, scratch).join(sets, "node").select("gid", "node", "set").repartition("gid").sortWithinPartitions("gid")
     edges = scratch.write(rows_of.mapInArrow(_verified(similarity), "a long, b long").distinct())
     scratch.drop(groups, sets)
     roots = components(edges, scratch)
