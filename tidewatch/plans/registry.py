@@ -657,7 +657,7 @@ def run_names(spark, sf_dir):
     return s.select(naming.strip_suffix(F.col("file"), "_train.csv").alias("series_id"), config.alias("config"), F.lit(naming.split_percent(0.2)).alias("train_percent"), "file")
 
 
-@query("SELECT DISTINCT series_id, t, 0.0 AS score FROM z WHERE split = 'test' AND t < 27")
+@query("SELECT DISTINCT series_id, t, CAST(0 AS DOUBLE) AS score FROM z WHERE split = 'test' AND t < 27")
 def short_series(spark, sf_dir):
     """Series one step shorter than context and horizon have no window: all scores are 0."""
     p = points(spark, sf_dir).drop("at").where(F.col("t") < C + H - 1)
