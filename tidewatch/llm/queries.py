@@ -89,6 +89,36 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: Strings of 400 bytes are compared by MD5; a text is cut into blocks first, as DuckDB finds a place in a string by counting from its start.
+OP8_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), b AS (
+  SELECT r, base, least(400, length(h) // 2 - 399 - base) AS many, substr(h, 2 * base + 1, 1598) AS part
+  FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 399, 400)) AS base FROM d)
+), s AS (
+  SELECT r, base + j AS i, md5_number(substr(part, 2 * j + 1, 800)) AS string FROM (SELECT r, base, part, unnest(range(0, many)) AS j FROM b)
+), g AS (
+  SELECT r, i, count(*) OVER (PARTITION BY string) AS k FROM s
+), n AS (
+  SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM g WHERE k > 1
+), m AS (
+  SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS span FROM n
+), p AS (
+  SELECT r, min(i) AS lo, max(i) + 400 AS hi FROM m GROUP BY r, span
+), c AS (
+  SELECT r, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS cut FROM p
+), q AS (
+  SELECT r, count(*) AS spans, sum(hi - lo) AS gone, max(hi) AS last,
+    string_agg(substr(h, 2 * cut + 1, 2 * (lo - cut)), '' ORDER BY lo) AS kept
+  FROM c JOIN d USING (r) GROUP BY r
+)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN q USING (r)
+"""
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shuffle_into_shards(table(spark, sf_dir, "documents"), 24)
 
@@ -114,4 +144,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op8_suffix_dedup": OP8_SQL}
