@@ -29,3 +29,25 @@ def test_bytes_query_equals_its_sql(spark, tmp_path, rows):
     got = queries.op8_suffix_dedup(spark, str(tmp_path)).select(*want.columns)
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want.fetchall()))
     assert not rows or any(r[2] for r in want.fetchall())
+
+
+def test_decontamination_query_equals_its_sql(spark, tmp_path):
+    """Null ids and texts, items shorter than a shingle, items of one id, texts shorter than their item, changed words, capitals."""
+    rng = random.Random(3)
+    item = [f"Q{i}" for i in range(120)]
+    items = [(0, " ".join(item[:30])), (1, " ".join(item[30:75])), (2, "tiny one"), (3, None), (4, " "), (None, " ".join(item[80:110] + item[80:90])), (0, " ".join(item[60:100]))]
+    rows = [(None, items[0][1]), (1, None), (2, ""), (3, " ".join(item[:25])), (3, " ".join(item[30:75]).lower()), (4, "a TINY one")]
+    for n in range(5, 60):
+        piece = rng.choice([items[k][1] for k in (0, 1, 2, 5, 6)]).split()
+        for _ in range(rng.randrange(0, 3)):
+            piece[rng.randrange(len(piece))] = "changed"
+        rows.append((n, " ".join([f"x{rng.randrange(20)}" for _ in range(rng.randrange(20))] + piece + ["end"] * rng.randrange(3))))
+    db = duckdb.connect()
+    for name, data, schema in (("documents", rows, "doc_id long, text string"), ("benchmark", items, "item_id long, text string")):
+        path = str(tmp_path / f"{name}.parquet")
+        spark.createDataFrame(data, schema).write.parquet(path)
+        db.sql(f"CREATE VIEW {name} AS SELECT * FROM '{path}/*.parquet'")
+    want = db.sql(queries.oracle_sql()["op6_decontaminate"])
+    got = queries.op6_decontaminate(spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall()))
+    assert len(got) > 20

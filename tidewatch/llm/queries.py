@@ -76,6 +76,42 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), shingle=5, similarity=0.8)
 
 
+#: All windows of an item's word count that share a shingle with it, by exact weighted Jaccard similarity.
+OP6_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents WHERE text IS NOT NULL
+), known AS (
+  SELECT DISTINCT item_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM benchmark WHERE text IS NOT NULL
+), t AS MATERIALIZED (
+  SELECT row_number() OVER () AS item, item_id, ws, least(5, len(ws)) AS k FROM known WHERE len(ws) > 0
+), b AS (
+  SELECT item, k, array_to_string(ws[i:i + k - 1], ' ') AS g, count(*) AS copies
+  FROM (SELECT item, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM t) GROUP BY ALL
+), s AS (
+  SELECT r, k, i, array_to_string(ws[i:i + k - 1], ' ') AS g
+  FROM (SELECT r, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT k FROM t))
+), h AS MATERIALIZED (
+  SELECT r, item, i, g, copies FROM s JOIN b USING (k, g)
+), z AS (
+  SELECT h.r, h.item, h.i, least(len(t.ws), len(d.ws)) - t.k + 1 AS m, greatest(len(d.ws) - len(t.ws), 0) + 1 AS last, len(t.ws) - t.k + 1 AS n
+  FROM h JOIN d ON d.r = h.r JOIN t ON t.item = h.item
+), w AS (
+  SELECT DISTINCT r, item, m, n, unnest(range(greatest(1, i - m + 1), least(i, last) + 1)) AS a FROM z
+), c AS (
+  SELECT w.r, w.item, a, m, n, least(count(*), copies) AS common
+  FROM w JOIN h ON h.r = w.r AND h.item = w.item AND h.i BETWEEN a AND a + m - 1 GROUP BY w.r, w.item, a, m, n, g, copies
+), v AS (
+  SELECT r, item, a, CAST(sum(common) AS DOUBLE) / CAST(m + n - sum(common) AS DOUBLE) AS value FROM c GROUP BY r, item, a, m, n
+)
+SELECT any_value(d.doc_id) AS doc_id, t.item_id, max(value) AS similarity, CAST(first(a ORDER BY value DESC, a) - 1 AS INTEGER) AS start
+FROM v JOIN d ON d.r = v.r JOIN t ON t.item = v.item WHERE value >= 0.8 GROUP BY d.r, t.item_id
+"""
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -144,4 +180,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op8_suffix_dedup": OP8_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op6_decontaminate": OP6_SQL, "op8_suffix_dedup": OP8_SQL}
