@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import pytest
+from conftest import varied
 
 from tidewatch.llm import queries
 
@@ -51,3 +52,16 @@ def test_decontamination_query_equals_its_sql(spark, tmp_path):
     got = queries.op6_decontaminate(spark, str(tmp_path)).select(*want.columns).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall()))
     assert len(got) > 20
+
+
+@pytest.mark.parametrize("rows", [[(r[0] if r[0] != 9 else None, r[1]) for r in varied(6)], []], ids=["some", "empty"])
+def test_simhash_query_equals_its_sql(spark, tmp_path, rows):
+    path = str(tmp_path / "documents.parquet")
+    near = [(900 + i, " ".join(["Long" + "é" * 40, *[f"w{k}" for k in range(400) if k != 7 * i]])) for i in range(6)] if rows else []
+    spark.createDataFrame(rows + near, "doc_id long, text string").write.parquet(path)
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    want = db.sql(queries.oracle_sql()["op3_simhash"])
+    got = queries.op3_simhash(spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall()))
+    assert not rows or len({r.component_id for r in got}) < len({r.doc_id for r in got})
