@@ -65,3 +65,16 @@ def test_simhash_query_equals_its_sql(spark, tmp_path, rows):
     got = queries.op3_simhash(spark, str(tmp_path)).select(*want.columns).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall()))
     assert not rows or len({r.component_id for r in got}) < len({r.doc_id for r in got})
+
+
+@pytest.mark.parametrize("rows", [[(None if r[0] == 9 else -r[0] if r[0] == 12 else r[0], *r[1:]) for r in varied(8)], []], ids=["some", "empty"])
+def test_mixing_query_equals_its_sql(spark, tmp_path, rows):
+    labels = [(i, i % 2) for i in range(0, 40, 3)] + [(6, 1), (None, 1), (15, None)]
+    db = duckdb.connect()
+    for name, data, schema in (("documents", rows, "doc_id long, text string, source string"), ("labels", labels, "doc_id long, quality int")):
+        path = str(tmp_path / f"{name}.parquet")
+        spark.createDataFrame(data, schema).write.parquet(path)
+        db.sql(f"CREATE VIEW {name} AS SELECT * FROM '{path}/*.parquet'")
+    want = db.sql(queries.oracle_sql()["op4_mixing"])
+    got = queries.op4_mixing(spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall()))

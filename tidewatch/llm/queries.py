@@ -18,7 +18,7 @@ from tidewatch.llm.shards import shuffle_into_shards
 from tidewatch.llm.simhash import near_duplicate_groups
 from tidewatch.llm.substring_dedup import remove_repeated_windows
 from tidewatch.llm.tables import quality_weights, table
-from tidewatch.llm.twins import OP3_SQL
+from tidewatch.llm.twins import OP3_SQL, OP4_SQL
 from tidewatch.llm.urls import Rule, url_filter
 
 #: Fixed values of the url contract.
@@ -181,4 +181,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op3_simhash": OP3_SQL, "op6_decontaminate": OP6_SQL, "op8_suffix_dedup": OP8_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op3_simhash": OP3_SQL, "op4_mixing": OP4_SQL, "op6_decontaminate": OP6_SQL, "op8_suffix_dedup": OP8_SQL}

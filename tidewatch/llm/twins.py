@@ -1,8 +1,13 @@
-"""The DuckDB twin of the SimHash query, whose hash DuckDB lacks."""
+"""DuckDB twins of the SimHash and mixing queries, whose hash DuckDB lacks."""
 
 from __future__ import annotations
 
 
+#: The bytes of ``g``, from its hex digits ``x``.
+BYTES = """SELECT g, length(x) // 2 AS n, list_transform(regexp_extract_all(x, '..'),
+    lambda y: CAST(16 * instr('123456789ABCDEF', y[1]) + instr('123456789ABCDEF', y[2]) AS UHUGEINT)) AS bs FROM hexed"""
+
+
 def hash_sql() -> str:
     """XXH64 of the column ``g`` (seed 42) in steps of plain arithmetic modulo 2^64."""
     p1, p2, p3, p4, p5, m = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261, 1 << 64
@@ -46,7 +51,7 @@ WITH RECURSIVE d AS MATERIALIZED (
 ), hexed AS (
   SELECT g, hex(encode(g)) AS x FROM (SELECT DISTINCT g FROM s)
 ), bytes AS (
-  SELECT g, length(x) // 2 AS n, list_transform(range(length(x) // 2), lambda j: CAST(16 * instr('123456789ABCDEF', x[2 * j + 1]) + instr('123456789ABCDEF', x[2 * j + 2]) AS UHUGEINT)) AS bs FROM hexed
+  {BYTES}
 ), hashed AS MATERIALIZED (
   {hash_sql()}
 ), bits AS (
@@ -64,3 +69,65 @@ WITH RECURSIVE d AS MATERIALIZED (
 )
 SELECT doc_id, lpad(lower(to_hex(p)), 16, '0') AS fingerprint, component_id FROM f JOIN c USING (p)
 """
+
+
+def row_hash_sql(seed: int = 42) -> str:
+    """Spark's ``xxhash64(seed, id, tie)`` of the columns ``id`` (may be null) and ``tie`` (both UHUGEINT, modulo 2^64), in steps."""
+    p1, p2, p3, p4, p5, m = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261, 1 << 64
+    h = (42 + p5 + 4) % m ^ seed * p1 % m
+    h = ((h << 23 | h >> 41) % m * p2 + p3) % m
+    for shift, p in ((33, p2), (29, p3), (32, 1)):
+        h = (h ^ h >> shift) * p % m
+    big = lambda x: f"{x}::UHUGEINT"
+    mul = lambda x, p: f"(({x}) * {big(p)} % {big(m)})"
+    rotl = lambda x, r: f"(({x}) * {big(1 << r)} % {big(m)} + ({x}) // {big(1 << 64 - r)})"
+    out, last = "keyed", big(h)
+    for c in ("id", "tie"):
+        first = f"xor(({last} + {big((p5 + 8) % m)}) % {big(m)}, {mul(rotl(mul(c, p2), 31), p1)})"
+        steps = [first, f"({mul(rotl(f'{c}0', 27), p1)} + {big(p4)}) % {big(m)}"]
+        steps += [mul(f"xor({c}{k}, {c}{k} // {big(1 << s)})", p) for k, s, p in ((1, 33, p2), (2, 29, p3))]
+        steps += [f"coalesce(xor({c}3, {c}3 // {big(1 << 32)}), {last})"]
+        for k, step in enumerate(steps):
+            out = f"(SELECT *, {step} AS {c}{k} FROM {out})"
+        last = f"{c}4"
+    return f"SELECT *, {last} AS hash FROM {out}"
+
+
+#: The mix in order of the same keys, without slices.
+OP4_SQL = rf"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS g,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), hexed AS (
+  SELECT g, hex(encode(g)) AS x FROM (SELECT DISTINCT g FROM d)
+), bytes AS (
+  {BYTES}
+), hashed AS MATERIALIZED (
+  {hash_sql()}
+), keyed AS (
+  SELECT r, h, CAST(CASE WHEN doc_id < 0 THEN doc_id::HUGEINT + 18446744073709551616::HUGEINT ELSE doc_id END AS UHUGEINT) AS id, h::UHUGEINT AS tie
+  FROM d JOIN hashed USING (g)
+), drawn AS MATERIALIZED (
+  {row_hash_sql()}
+), q AS (
+  SELECT doc_id, avg(quality) * 1.5 + 0.5 AS weight FROM labels GROUP BY doc_id
+), k AS MATERIALIZED (
+  SELECT r, d.doc_id, source, size, CASE WHEN h >= 9223372036854775808 THEN CAST(h::HUGEINT - 18446744073709551616::HUGEINT AS BIGINT) ELSE CAST(h AS BIGINT) END AS tie,
+    -ln((CAST(hash // 4096::UHUGEINT AS DOUBLE) + 0.5) / 4503599627370496.0::DOUBLE) / CASE WHEN weight > 0 THEN weight ELSE 1.0::DOUBLE END AS draw
+  FROM d JOIN drawn USING (r) LEFT JOIN q ON q.doc_id = d.doc_id
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w FROM k GROUP BY source
+), l AS (
+  SELECT *, greatest(sum(source_size::DOUBLE) OVER () - coalesce(sum(source_size * 3.0::DOUBLE) OVER before, 0), 0) / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level
+  FROM s WINDOW before AS (ORDER BY source_size * 3.0::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), t AS (
+  SELECT source, source_size, CASE WHEN level * w >= source_size * 3 THEN source_size * 3.0::DOUBLE
+    ELSE max(CASE WHEN level * w < source_size * 3 THEN level END) OVER () * w END AS target FROM l
+), o AS (
+  SELECT k.*, source_size, target, CAST(round(target) AS BIGINT) AS quota, CASE WHEN source_size > 0 THEN CAST(round(target) AS BIGINT) // source_size ELSE 0 END AS epochs,
+    sum(size) OVER (PARTITION BY k.source ORDER BY draw, k.doc_id NULLS FIRST, size, tie ROWS UNBOUNDED PRECEDING) - size AS earlier
+  FROM k JOIN t ON t.source IS NOT DISTINCT FROM k.source
+)
+SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, quota - epochs * source_size - earlier)) AS BIGINT) AS taken, CAST(epochs AS BIGINT) AS epochs
+FROM o
+"""
