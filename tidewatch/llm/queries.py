@@ -13,12 +13,13 @@ from tidewatch.llm.decontaminate import contaminated
 from tidewatch.llm.materialise import written_order
 from tidewatch.llm.media import media_columns
 from tidewatch.llm.mixing import mix_sources
+from tidewatch.llm.periodic import periodic_runs, planted_loops
 from tidewatch.llm.quality import importance_resample
 from tidewatch.llm.shards import shuffle_into_shards
 from tidewatch.llm.simhash import near_duplicate_groups
 from tidewatch.llm.substring_dedup import remove_repeated_windows
 from tidewatch.llm.tables import quality_weights, table
-from tidewatch.llm.twins import OP3_SQL, OP4_SQL
+from tidewatch.llm.twins import OP3_SQL, OP4_SQL, OP11_SQL
 from tidewatch.llm.urls import Rule, url_filter
 
 #: Fixed values of the url contract.
@@ -164,6 +165,23 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs(planted_loops(table(spark, sf_dir, "documents")), least=6, repeats=4)
+    ranked = F.transform("runs", lambda r: F.struct((r.length / r.period).alias("exponent"), (-r.start).alias("start"), (-r.period).alias("period"), r.length.alias("length")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    best = F.col("best")
+    return out.withColumn("best", F.array_max(ranked)).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-best.start).alias("start"),
+        best.length.alias("length"),
+        (-best.period).alias("period"),
+        F.expr("(1000 * best.length) div -best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("kept_text", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -176,9 +194,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_sharding": op9_sharding,
         "op10_url_filter": op10_url_filter,
+        "op11_periodic_runs": op11_periodic_runs,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op3_simhash": OP3_SQL, "op4_mixing": OP4_SQL, "op6_decontaminate": OP6_SQL, "op8_suffix_dedup": OP8_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op3_simhash": OP3_SQL, "op4_mixing": OP4_SQL, "op6_decontaminate": OP6_SQL, "op8_suffix_dedup": OP8_SQL, "op11_periodic_runs": OP11_SQL}

@@ -1,4 +1,4 @@
-"""DuckDB twins of the SimHash and mixing queries, whose hash DuckDB lacks."""
+"""DuckDB twins of queries whose hash DuckDB lacks, or whose SQL takes more than a statement."""
 
 from __future__ import annotations
 
@@ -131,3 +131,58 @@ WITH d AS MATERIALIZED (
 SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, quota - epochs * source_size - earlier)) AS BIGINT) AS taken, CAST(epochs AS BIGINT) AS epochs
 FROM o
 """
+
+
+#: CRC-32 of the sixteen half bytes.
+CRC_TABLE = [
+    0x00000000, 0x1DB71064, 0x3B6E20C8, 0x26D930AC, 0x76DC4190, 0x6B6B51F4, 0x4DB26158, 0x5005713C,
+    0xEDB88320, 0xF00F9344, 0xD6D6A3E8, 0xCB61B38C, 0x9B64C2B0, 0x86D3D2D4, 0xA00AE278, 0xBDBDF21C,
+]
+
+
+def loops_sql(scales: int = 16) -> str:
+    """Periodic runs by self joins: a gram of the next scale is two of this one, and only places whose gram repeats go on."""
+    halves = "flatten(list_transform(regexp_extract_all(CAST(doc_id AS VARCHAR), '.'), lambda c: [CAST(ascii(c) AS BIGINT) & 15, CAST(ascii(c) AS BIGINT) >> 4]))"
+    crc = f"xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, {halves}), lambda c, v: xor(c >> 4, ({CRC_TABLE}::BIGINT[])[(xor(c, v) & 15) + 1])))"
+    near = "lead(i) OVER (PARTITION BY r, g ORDER BY i) - i AS lag, lag(i) OVER (PARTITION BY r, g ORDER BY i) AS prior"
+    steps = [f"p0 AS MATERIALIZED (SELECT *, {near} FROM (SELECT r, i, array_to_string(ws[i + 1:i + 5], ' ') AS g FROM (SELECT r, ws, unnest(range(0, len(ws) - 4)) AS i FROM l)))"]
+    steps.append(f"p1 AS MATERIALIZED (SELECT *, {near} FROM (SELECT r, i, array_to_string(ws[i + 1:i + 6], ' ') AS g FROM p0 JOIN l USING (r) WHERE i + 6 <= len(ws) AND (lag IS NOT NULL OR prior IS NOT NULL)))")
+    for j in range(2, scales):
+        k, rep = 3 << (j - 1), f"(SELECT r, i, g FROM p{j - 1} WHERE lag IS NOT NULL OR prior IS NOT NULL)"
+        steps.append(f"p{j} AS MATERIALIZED (SELECT *, {near} FROM (SELECT a.r, a.i, md5(a.g || ' ' || b.g) AS g FROM {rep} a JOIN {rep} b ON b.r = a.r AND b.i = a.i + {k}))")
+    size = lambda j: 5 if j == 0 else 3 << j
+    seeds = " UNION ALL ".join(f"SELECT r, i, lag, {size(j)} AS k FROM p{j} WHERE lag >= {1 << j} AND lag < {2 << j}" for j in range(scales))
+    steps_sql = ",\n".join(steps)
+    return rf"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, {crc} AS h FROM documents
+), v AS (
+  SELECT *, len(ws) AS n, (h // 10) AS g, CASE WHEN len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM w
+), l AS MATERIALIZED (
+  SELECT r, doc_id, CASE WHEN h % 10 = 0 AND n > 0
+    THEN list_transform(range(0, n), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE ws END AS ws
+  FROM v
+), {steps_sql}, s AS (
+  {seeds}
+), f AS (
+  SELECT r, lag AS period, min(i) AS start, max(i) + any_value(k) + lag - min(i) AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY r, lag ORDER BY i) AS island FROM s) GROUP BY r, lag, island
+), t AS MATERIALIZED (
+  SELECT * FROM f WHERE length >= greatest(6, 4 * period)
+), b AS (
+  SELECT r, count(*) AS n_runs, first({{'start': start, 'length': length, 'period': period}} ORDER BY length / period DESC, start, period) AS best,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+  FROM t GROUP BY r
+), gone AS (
+  SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM t
+), kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY i) AS words
+  FROM (SELECT r, unnest(range(0, len(ws))) AS i, unnest(ws) AS word FROM l) ANTI JOIN gone USING (r, i) GROUP BY r
+)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.start::BIGINT AS start, best.length::BIGINT AS length, best.period::BIGINT AS period,
+  (1000 * best.length // best.period)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(words, '')) AS collapsed_sha256
+FROM l LEFT JOIN b USING (r) LEFT JOIN kept USING (r)
+"""
+
+
+OP11_SQL = loops_sql()
