@@ -69,6 +69,8 @@ def test_odd_rows(spark, docs):
     run = (0, 6, [(0, 6, 1)], "a")
     assert got == sorted([run, run, (1, 0, [], ""), (2, 0, [], ""), (3, 0, [], ""), (4, 3, [], "a a a"), (4, 3, [], "a a a"), (5, 3, [], "a a a"), (6, 7, [(0, 6, 1)], "é b")])
     assert periodic_runs(docs([])).collect() == []
+    (plain,) = periodic_runs(docs([(1, "no word comes back here at all")])).collect()
+    assert (plain.n_words, plain.runs, plain.kept_text) == (7, [], "no word comes back here at all")
     with pytest.raises(ValueError):
         periodic_runs(docs([]), repeats=2)
 

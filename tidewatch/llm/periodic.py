@@ -73,7 +73,7 @@ def runs_of(hashes: np.ndarray, doc: np.ndarray, least: int, repeats: int) -> tu
     order = np.lexsort((start, lag))
     start, lag, k = start[order], lag[order], k[order]
     opens = np.flatnonzero(np.concatenate((np.ones(min(len(start), 1), bool), (lag[1:] != lag[:-1]) | (start[1:] != start[:-1] + 1))))
-    last = np.append(opens[1:], len(start)) - 1
+    last = np.append(opens[1:], len(start))[: len(opens)] - 1
     begin, period, end = start[opens], lag[opens], start[last] + k[opens] + lag[opens]
     keep = end - begin >= np.maximum(least, repeats * period)
     begin, end, period = begin[keep], end[keep], period[keep]
