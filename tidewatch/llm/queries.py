@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tidewatch.llm.byte_dedup import remove_repeated_bytes
 from tidewatch.llm.decontaminate import contaminated
+from tidewatch.llm.lexical import ranked_search
 from tidewatch.llm.materialise import written_order
 from tidewatch.llm.media import media_columns
 from tidewatch.llm.mixing import mix_sources
@@ -182,6 +183,41 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+#: Every document's score for every item that shares a term with it.
+OP12_SQL = r"""
+WITH t AS MATERIALIZED (
+  SELECT r, doc_id, unnest(ts) AS term FROM (
+    SELECT row_number() OVER () AS r, doc_id,
+      regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+    FROM documents WHERE text IS NOT NULL)
+), q AS (
+  SELECT i, item_id, term, count(*) AS repeats FROM (
+    SELECT i, item_id, unnest(ts) AS term FROM (
+      SELECT row_number() OVER () AS i, item_id,
+        regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+      FROM benchmark WHERE text IS NOT NULL)) GROUP BY ALL
+), c AS MATERIALIZED (
+  SELECT r, doc_id, term, count(*) AS tf FROM t GROUP BY ALL
+), n AS (
+  SELECT r, CAST(sum(tf) AS BIGINT) AS n FROM c GROUP BY r
+), a AS (
+  SELECT count(*) AS many, CAST(sum(n) AS BIGINT) AS l FROM n
+), w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * many + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM c GROUP BY term), a
+), s AS (
+  SELECT i, item_id, r, doc_id, CAST(sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * many) // l)))) AS BIGINT) AS score
+  FROM q JOIN c USING (term) JOIN w USING (term) JOIN n USING (r), a GROUP BY ALL
+), k AS (
+  SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -195,9 +231,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_sharding": op9_sharding,
         "op10_url_filter": op10_url_filter,
         "op11_periodic_runs": op11_periodic_runs,
+        "op12_lexical_search": op12_lexical_search,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op3_simhash": OP3_SQL, "op4_mixing": OP4_SQL, "op6_decontaminate": OP6_SQL, "op8_suffix_dedup": OP8_SQL, "op11_periodic_runs": OP11_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op3_simhash": OP3_SQL, "op4_mixing": OP4_SQL, "op6_decontaminate": OP6_SQL, "op8_suffix_dedup": OP8_SQL, "op11_periodic_runs": OP11_SQL, "op12_lexical_search": OP12_SQL}

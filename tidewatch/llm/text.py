@@ -140,19 +140,23 @@ def pieces(column: pa.Array, limit: int, overlap: int) -> Iterator[tuple[int, in
             yield lo, hi, part, np.array([0, len(part)]), at
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start byte, end byte and text index of each word; no word spans two texts."""
-    n = len(data)
+def spans(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start byte, end byte and text index of each run of ``inside``; no run spans two texts."""
+    n = len(inside)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, z
-    space = IS_SPACE[data]
     opens, closes = np.ones(n, bool), np.ones(n, bool)
-    opens[1:] = space[:-1]
-    closes[:-1] = space[1:]
+    opens[1:] = ~inside[:-1]
+    closes[:-1] = ~inside[1:]
     first, last = offs[:-1], offs[1:] - 1
     opens[first[first < n]] = True
     closes[last[last >= 0]] = True
-    starts = np.flatnonzero(~space & opens)
-    ends = np.flatnonzero(~space & closes) + 1
+    starts = np.flatnonzero(inside & opens)
+    ends = np.flatnonzero(inside & closes) + 1
     return starts, ends, np.searchsorted(offs, starts, side="right") - 1
+
+
+def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start byte, end byte and text index of each word; no word spans two texts."""
+    return spans(~IS_SPACE[data], offs)
