@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tidewatch.llm.byte_dedup import remove_repeated_bytes
 from tidewatch.llm.decontaminate import contaminated
+from tidewatch.llm.html import extract_text
 from tidewatch.llm.lexical import ranked_search
 from tidewatch.llm.materialise import written_order
 from tidewatch.llm.media import media_columns
@@ -218,6 +219,24 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <
 """
 
 
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+#: What the tables' pages come to, as each keeps its main text in one article of paragraphs and headings, which the query does not rely on.
+OP13_SQL = r"""
+WITH b AS (
+  SELECT row_number() OVER () AS r, page_id, url, string_split_regex(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '</?(p|h1|h2|h3|li|ul)>') AS blocks FROM pages
+), p AS (
+  SELECT r, i, trim(regexp_replace(replace(replace(regexp_replace(regexp_replace(block, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;', '&'), '[ \t\n\r\f\v]+', ' ', 'g')) AS line
+  FROM (SELECT r, unnest(range(len(blocks))) AS i, unnest(blocks) AS block FROM b)
+), t AS (
+  SELECT r, string_agg(regexp_replace(line, '&amp$', '&'), chr(10) ORDER BY i) AS text FROM p WHERE line <> '' GROUP BY r
+)
+SELECT page_id, url, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars FROM b LEFT JOIN t USING (r)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -232,9 +251,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_url_filter": op10_url_filter,
         "op11_periodic_runs": op11_periodic_runs,
         "op12_lexical_search": op12_lexical_search,
+        "op13_html_text": op13_html_text,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op3_simhash": OP3_SQL, "op4_mixing": OP4_SQL, "op6_decontaminate": OP6_SQL, "op8_suffix_dedup": OP8_SQL, "op11_periodic_runs": OP11_SQL, "op12_lexical_search": OP12_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op3_simhash": OP3_SQL, "op4_mixing": OP4_SQL, "op6_decontaminate": OP6_SQL, "op8_suffix_dedup": OP8_SQL, "op11_periodic_runs": OP11_SQL, "op12_lexical_search": OP12_SQL, "op13_html_text": OP13_SQL}
