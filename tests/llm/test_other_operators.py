@@ -182,6 +182,55 @@ def test_decontamination_against_all_windows(docs, spark):
     assert contaminated(docs(rows), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("case", ["in the text", "in the item", "in both"])
+def test_decontamination_finds_repeated_words(docs, spark, case):
+    """Runs of one word make most of a bag's weight: 120 planted pairs at a weighted similarity from 0.8 up, each to be found."""
+    import random
+
+    rng = random.Random(case)
+    items, rows = [], []
+    while len(items) < 120:
+        i = len(items)
+        plain = [f"a{i}x{j}" for j in range(rng.randrange(25, 60))]
+        run, other = [f"r{i}"] * rng.randrange(8, 30), [f"s{i}x{j}" for j in range(30)]
+        n = rng.randrange(1, 6)  # words of the run that differ
+        looped, mixed = plain + run, plain + run[n:] + (other[:n] if case != "in both" else [f"t{i}"] * n)
+        if case == "in the item":
+            short = run[: rng.randrange(1, 3)]
+            looped, mixed = plain + short * 5, plain + short * 5 + short
+            looped, mixed = looped + other[:1], mixed[: len(looped) + 1]
+        item, text = (mixed, looped) if case == "in the text" else (looped, mixed)
+        pair = brute_matches([(i, " ".join(text))], [(i, " ".join(item))])
+        if pair:
+            items.append((i, " ".join(item)))
+            rows.append((i, " ".join([f"u{rng.randrange(90)}" for _ in range(rng.randrange(20))] + text)))
+    want = {(d, i): (round(v[0], 9), v[1]) for d, i in ((k, k) for k in range(120)) for v in brute_matches([rows[d]], [items[i]]).values()}
+    got = contaminated(docs(rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): (round(r.similarity, 9), r.start) for r in got} == want
+    assert len(want) == 120
+
+
+def test_decontamination_of_a_run_replaced(docs, spark):
+    """An item of distinct words and a run of one word, in 40 texts with another word in the run's place, at 0.82 and 0.81."""
+    for many, run in ((60, 10), (100, 16)):
+        items = [(0, " ".join([f"q{j}" for j in range(many)] + ["z"] * run))]
+        rows = [(i, " ".join([f"b{i}x{j}" for j in range(9)] + [f"q{j}" for j in range(many)] + [f"y{i}"] * run + ["end"])) for i in range(40)]
+        want = brute_matches(rows, items)
+        got = contaminated(docs(rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+        assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got} == {k: round(v[0], 9) for k, v in want.items()}
+
+
+def test_window_fingerprints_number_their_repeats():
+    from tidewatch.llm.decontaminate import _bits, _numbered, _simhash, window_prints
+
+    rng = np.random.default_rng(2)
+    grams = rng.integers(0, 9, 400).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)
+    start = np.sort(rng.choice(360, 150, replace=False))
+    size = np.where(start < 200, 31, 40)
+    want = [_simhash(_bits(_numbered(grams[a : a + m])).sum(axis=0, dtype=np.int64)[None], np.array([m]))[0] for a, m in zip(start, size)]
+    assert (window_prints(grams, start, size) == np.stack(want)).all()
+
+
 # --- quality
 
 
