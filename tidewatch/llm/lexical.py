@@ -4,9 +4,10 @@ One scan of the texts writes blocks of signatures: bit ``b`` of all texts of a b
 a (term, level) key sets a few bits of its text for each level of repeats that the term reaches there. It also
 counts what the weights need. A query term may be present where all its slices have a bit, at a level
 only if at all lower ones too, so presence and repeats are never underestimated. Weighted sums of those
-rows bound every text's score from above; terms below the last level that slices report count with the
-most repeats that level allows. The texts with the highest bounds are scored exactly, which gives each
-query a score that k texts reach; every text whose bound does not fall below it is scored exactly too.
+rows bound every text's score from above, each term with the most repeats that its highest level allows.
+To get a score that k texts reach, the texts are first ranked by the same sums with each term's weight
+times the share of its bits that are no chance, and the best are scored exactly. Every text whose bound does
+not fall below that score is scored exactly too.
 """
 
 from __future__ import annotations
@@ -35,12 +36,14 @@ _TERM = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 #: A term has level j where it occurs LEVELS[j] times or more; each is about a third above the one before.
 LEVELS = np.array([1, 2, 3, 4, 5, 6, 8, *(round(8 * (4 / 3) ** i) for i in range(1, 67))], np.int64)
 _SALTS = mix(np.arange(1, len(LEVELS) + 1, dtype=np.uint64))
-#: Bits that a key sets, and bits that a text has for each of its keys.
-HASHES, BITS = 3, 12
-#: Bits of a block: texts times the width of a signature.
-BLOCK_BITS = 1 << 25
-#: Keys of a block differ by this factor at most.
-SPREAD = 1.5
+#: Bits that a key sets, and bits that a text has for each of its keys: one absent key in 10,000 looks present.
+HASHES, BITS = 10, 20
+#: A block: texts times the width of a signature, texts; their numbers of keys differ by this factor at most.
+BLOCK_BITS, BLOCK_TEXTS, SPREAD = 1 << 24, 1024, 1.5
+#: Keys that a task gathers before it cuts them into blocks.
+GATHERED = 1 << 20
+#: Texts times (query, term) pairs that one step holds.
+AT_ONCE = 1 << 21
 #: Rows that are few enough to send to all tasks: 16 bytes each.
 SEND_ROWS = 1 << 16
 
@@ -57,61 +60,97 @@ def term_counts(text: str | None) -> Counter:
     return Counter(_TERM.findall((text or "").encode().lower()))
 
 
-def _places(hashes: np.ndarray, levels: np.ndarray, width: int) -> np.ndarray:
-    """[key, HASHES]: the bits of each (term, level) key in a signature of ``width`` bits."""
+def _places(hashes: np.ndarray, levels: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """The bits of each (term, level) key in a signature of ``width`` bits, one array for each of HASHES."""
     h = mix(hashes ^ _SALTS[levels])
-    fields = np.stack([(h >> np.uint64(21 * i)) & np.uint64((1 << 21) - 1) for i in range(HASHES)], axis=1)
-    if width <= 1 << 15:
-        return ((fields * np.uint64(width)) >> np.uint64(21)).astype(np.int64)
-    return np.stack([(mix(h + np.uint64(i + 1)) % np.uint64(width)) for i in range(HASHES)], axis=1).astype(np.int64)
-
-
-def _slices(key_hash: np.ndarray, key_level: np.ndarray, key_doc: np.ndarray, many: int, width: int) -> bytes:
-    bits = np.zeros((width, -(-many // 8) * 8), bool)
-    bits[_places(key_hash, key_level, width), key_doc[:, None]] = True
-    return np.packbits(bits, axis=1, bitorder="little").tobytes()
+    low, step, mask = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1), np.uint64(0xFFFFFFFF)
+    for _ in range(HASHES):
+        yield ((low * np.uint64(width)) >> np.uint64(32)).astype(np.int64)
+        low = (low + step) & mask
+
+
+def _slices(key_hash: np.ndarray, key_level: np.ndarray, key_text: np.ndarray, many: int, width: int) -> bytes:
+    row = -(-many // 8) * 8
+    bits = np.zeros(width * row, bool)
+    for place in _places(key_hash, key_level, width):
+        bits[place * row + key_text] = True
+    return np.packbits(bits.reshape(width, row), axis=1, bitorder="little").tobytes()
+
+
+class _Gathered:
+    """Keys of texts until there are enough for blocks."""
+
+    def __init__(self, vocabulary: np.ndarray):
+        self.vocabulary = vocabulary
+        self.clear()
+
+    def clear(self) -> None:
+        self.hash, self.level, self.text, self.dids, self.tags, self.size = [], [], [], [], [], []
+        self.texts, self.keys, self.held = 0, 0, np.zeros(len(self.vocabulary), np.int64)
+
+    def add(self, dids: np.ndarray, tags: np.ndarray, data: np.ndarray, offs: np.ndarray) -> None:
+        hashes, doc = _term_hashes(data, offs)
+        size = np.bincount(doc, minlength=len(dids))
+        order = np.lexsort((hashes, doc))
+        h, d = hashes[order], doc[order]
+        at = np.flatnonzero(np.concatenate((np.ones(min(len(h), 1), bool), (h[1:] != h[:-1]) | (d[1:] != d[:-1]))))
+        h, d, tf = h[at], d[at], np.diff(np.append(at, len(h)))
+        if len(self.vocabulary):
+            where = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
+            self.held += np.bincount(where[self.vocabulary[where] == h], minlength=len(self.vocabulary))
+        # a key for each level that a term reaches
+        reach = np.searchsorted(LEVELS, tf, side="right")
+        key = np.repeat(np.arange(len(h)), reach)
+        self.hash.append(h[key])
+        self.level.append((np.arange(len(key)) - np.repeat(np.cumsum(reach) - reach, reach)).astype(np.int8))
+        self.text.append((d[key] + self.texts).astype(np.int32))
+        for held, new in ((self.dids, dids), (self.tags, tags), (self.size, size)):
+            held.append(new)
+        self.texts += len(dids)
+        self.keys += len(key)
+
+    def blocks(self) -> Iterator[tuple]:
+        """Rows of SIGNATURES; the first also says how many of the texts hold each term of the vocabulary."""
+        if not self.texts:
+            return
+        h, level, text = (np.concatenate(x) for x in (self.hash, self.level, self.text))
+        dids, tags, size = (np.concatenate(x) for x in (self.dids, self.tags, self.size))
+        keys = np.bincount(text, minlength=self.texts)
+        starts = np.cumsum(keys) - keys
+        by_keys = np.argsort(keys, kind="stable")
+        by_keys, ordered = by_keys[np.searchsorted(keys[by_keys], 1) :], np.sort(keys)
+        ordered = ordered[np.searchsorted(ordered, 1) :]
+        terms, first = np.flatnonzero(self.held), 0
+        while first < len(by_keys):
+            last = min(int(np.searchsorted(ordered, ordered[first] * SPREAD, side="right")), first + BLOCK_TEXTS)
+            last = min(last, max(first + 1, first + BLOCK_BITS // (BITS * int(ordered[last - 1]))))
+            width = -(-BITS * int(ordered[last - 1]) // 8) * 8
+            own = by_keys[first:last]
+            take = np.repeat(starts[own] - (np.cumsum(keys[own]) - keys[own]), keys[own]) + np.arange(keys[own].sum())
+            slices = _slices(h[take], level[take], np.repeat(np.arange(len(own)), keys[own]), len(own), width)
+            yield dids[own], tags[own], size[own], width, slices, terms if first == 0 else [], self.held[terms] if first == 0 else []
+            first = last
 
 
 def _index(vocabulary: np.ndarray):
-    """Texts to blocks of signatures; the first block of a chunk also says how many of its texts hold each term of the sorted ``vocabulary``."""
+    """(did, tag, body) to blocks of signatures."""
+    names = [c.split()[0] for c in SIGNATURES.split(", ")]
+    kinds = [pa.list_(pa.int64())] * 3 + [pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+
+    def rows(gathered: _Gathered) -> Iterator[pa.RecordBatch]:
+        for row in gathered.blocks():
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names)
+        gathered.clear()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in SIGNATURES.split(", ")]
-        kinds = [pa.list_(pa.int64())] * 3 + [pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        gathered = _Gathered(vocabulary)
         for batch in batches:
             dids, tags = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            for lo, hi, data, offs in chunks(batch.column(2), 1 << 22):
-                hashes, doc = _term_hashes(data, offs)
-                if not len(doc):
-                    continue
-                size = np.bincount(doc, minlength=hi - lo)
-                order = np.lexsort((hashes, doc))
-                h, d = hashes[order], doc[order]
-                at = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1]))))
-                h, d, tf = h[at], d[at], np.diff(np.append(at, len(h)))
-                where = np.minimum(np.searchsorted(vocabulary, h), max(len(vocabulary) - 1, 0))
-                held = np.bincount(where[vocabulary[where] == h]) if len(vocabulary) else np.zeros(0, np.int64)
-                terms = np.flatnonzero(held)
-                # a key for each level that a term reaches
-                reach = np.searchsorted(LEVELS, tf, side="right")
-                key = np.repeat(np.arange(len(h)), reach)
-                level = np.arange(len(key)) - np.repeat(np.cumsum(reach) - reach, reach)
-                key_hash, key_doc = h[key], d[key]
-                keys = np.bincount(key_doc, minlength=hi - lo)
-                by_keys = np.argsort(keys, kind="stable")
-                by_keys = by_keys[keys[by_keys] > 0]
-                rows, first = [], 0
-                starts = np.searchsorted(key_doc, np.arange(hi - lo + 1))
-                while first < len(by_keys):
-                    last = int(np.searchsorted(keys[by_keys], keys[by_keys[first]] * SPREAD, side="right"))
-                    width = -(-BITS * int(keys[by_keys[last - 1]]) // 8) * 8
-                    last = min(last, first + max(8, BLOCK_BITS // width))
-                    own = by_keys[first:last]
-                    take = np.concatenate([np.arange(starts[x], starts[x + 1]) for x in own])
-                    slices = _slices(key_hash[take], level[take], np.repeat(np.arange(len(own)), keys[own]), len(own), width)
-                    rows.append((dids[lo + own], tags[lo + own], size[own], width, slices, terms if first == 0 else [], held[terms] if first == 0 else []))
-                    first = last
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names)
+            for lo, hi, data, offs in chunks(batch.column(2), 1 << 20):
+                gathered.add(dids[lo:hi], tags[lo:hi], data, offs)
+                if gathered.keys >= GATHERED:
+                    yield from rows(gathered)
+        yield from rows(gathered)
 
     return run
 
@@ -148,6 +187,7 @@ class _Corpus:
 
     texts: int
     terms: int
+    held: np.ndarray
     weight: np.ndarray
 
     def length(self, n: np.ndarray | int) -> np.ndarray | int:
@@ -158,22 +198,31 @@ def _gain(tf, length):
     return (1_000_000_000 * tf) // (1000 * tf + 8 * length)
 
 
-def _bounds(block: dict, q: _Queries, corpus: _Corpus, weights: np.ndarray) -> np.ndarray:
-    """[query, text]: no score is higher."""
-    size = np.asarray(block["sizes"], np.int64)
-    width, many = block["width"], len(size)
-    slices = np.frombuffer(block["slices"], np.uint8).reshape(width, -1)
-    length = corpus.length(size)
-    out = np.zeros((len(q.ids), many), np.int64)
+def _bounds(block: dict, q: _Queries, corpus: _Corpus, likely: bool = False) -> Iterator[tuple[slice, np.ndarray]]:
+    """Some texts of a block and [query, text] for them: bounds that no score exceeds, or with ``likely`` estimates of the scores."""
+    sizes = np.asarray(block["sizes"], np.int64)
+    slices = np.frombuffer(block["slices"], np.uint8).reshape(block["width"], -1)
+    weights = corpus.weight
+    if likely:
+        chance = (np.unpackbits(slices[:: max(1, len(slices) >> 10)]).mean() * slices.shape[1] * 8 / len(sizes)) ** HASHES
+        weights = weights * (corpus.held / np.maximum(corpus.held + chance * corpus.texts, 1e-9))
+    step = max(1, AT_ONCE // max(1, len(q.term)) // 8)
+    for lo in range(0, slices.shape[1], step):
+        part = slice(8 * lo, min(8 * (lo + step), len(sizes)))
+        yield part, _sums(slices[:, lo : lo + step], sizes[part], q, corpus, q.repeats * weights[q.term])
+
+
+def _sums(slices: np.ndarray, size: np.ndarray, q: _Queries, corpus: _Corpus, weights: np.ndarray) -> np.ndarray:
+    """[query, text]: for each level that slices report, the weights of the terms there times what the level adds to a gain."""
+    length, many = corpus.length(size), len(size)
+    out = np.zeros((len(q.ids), many), weights.dtype)
     alive, present, below = np.arange(len(q.vocabulary)), None, np.zeros(many, np.int64)
     queries, pairs, begin = np.arange(len(q.ids)), np.arange(len(q.term)), q.begin
     for level in range(len(LEVELS)):
-        places = _places(q.vocabulary[alive], np.full(len(alive), level), width)
-        now = np.bitwise_and.reduce(slices[places], axis=1)
-        if present is not None:
-            now &= present
-        keep = now.any(axis=1)
-        alive, present = alive[keep], now[keep]
+        for place in _places(q.vocabulary[alive], np.full(len(alive), level), len(slices)):
+            present = slices[place] if present is None else present & slices[place]
+        keep = present.any(axis=1)
+        alive, present = alive[keep], present[keep]
         if not len(alive):
             break
         row = np.full(len(q.vocabulary), -1)
@@ -192,24 +241,26 @@ def _bounds(block: dict, q: _Queries, corpus: _Corpus, weights: np.ndarray) -> n
     return out
 
 
-def _each(q: _Queries, corpus: _Corpus, choose):
+def _each(q: _Queries, corpus: _Corpus, choose, likely: bool = False):
     """Blocks of signatures to (query, did, tag, bound) of the pairs that ``choose`` takes: it sees all blocks of a task, and may hold back."""
-    weights = q.repeats * corpus.weight[q.term]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def blocks():
             for batch in batches:
-                for block in batch.to_pylist():
-                    yield np.asarray(block["dids"], np.int64), np.asarray(block["tags"], np.int64), _bounds(block, q, corpus, weights)
+                for i in range(batch.num_rows):
+                    (block,) = batch.slice(i, 1).to_pylist()
+                    dids, tags = np.asarray(block["dids"], np.int64), np.asarray(block["tags"], np.int64)
+                    for part, bounds in _bounds(block, q, corpus, likely):
+                        yield dids[part], tags[part], bounds
 
         for query, did, tag, bound in choose(blocks()):
-            yield pa.RecordBatch.from_arrays([pa.array(query, pa.int32()), pa.array(did, pa.int64()), pa.array(tag, pa.int64()), pa.array(bound, pa.int64())], ["query", "did", "tag", "bound"])
+            yield pa.RecordBatch.from_arrays([pa.array(query, pa.int32()), pa.array(did, pa.int64()), pa.array(tag, pa.int64()), pa.array(bound.astype(np.int64), pa.int64())], ["query", "did", "tag", "bound"])
 
     return run
 
 
 def _highest(k: int):
-    """The k pairs of highest bound a query and task."""
+    """The k pairs of highest value a query and task."""
 
     def choose(blocks):
         best = None
@@ -323,11 +374,12 @@ def _search(slim: DataFrame, q: _Queries, kind: str, k: int, scratch: Scratch) -
     pairs = index.where("size(terms) > 0").select(F.explode(F.arrays_zip("terms", "texts")).alias("x"))
     for r in pairs.groupBy("x.terms").agg(F.sum("x.texts")).collect():  # at most one row a term of the block of queries
         held[r[0]] = r[1]
-    corpus = _Corpus(texts, terms, np.array([math.floor(1000 * math.log((2 * texts + 2) / (2 * int(n) + 1))) for n in held], np.int64))
+    corpus = _Corpus(texts, terms, held, np.array([math.floor(1000 * math.log((2 * texts + 2) / (2 * int(n) + 1))) for n in held], np.int64))
     schema = "query int, did long, tag long, bound long"
 
     top = Window.partitionBy("query").orderBy(F.desc("bound"), "did", "tag")
-    probes = index.mapInArrow(_each(q, corpus, _highest(k)), schema).withColumn("place", F.row_number().over(top)).where(F.col("place") <= k)
+    tries = 2 * k  # estimates may be wrong
+    probes = index.mapInArrow(_each(q, corpus, _highest(tries), likely=True), schema).withColumn("place", F.row_number().over(top)).where(F.col("place") <= tries)
     tried = _scored(slim, scratch.write(probes.select("query", "did", "tag")), q, corpus, scratch)
     order = Window.partitionBy("query").orderBy(F.desc("score"), "did", "tag")
     reached = tried.withColumn("place", F.row_number().over(order)).where(F.col("place") == k)
