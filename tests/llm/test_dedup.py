@@ -124,3 +124,15 @@ def test_suffix_array_and_common_prefixes():
             while max(i, j) + k < len(b) and b[i + k] == b[j + k]:
                 k += 1
             assert phi[i] == j and plcp[i] == min(k, 7)
+
+
+def test_bytes_of_many_equal_rows(docs):
+    """A thousand rows of one text without an id, and a thousand with one id: lists and pieces stay those of one row."""
+    import random
+
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    first, second, alone, passage = text(3000), text(2500), text(2000), text(450)
+    rows = [(None, first + passage)] * 1000 + [(7, second)] * 1000 + [(8, alone + passage), (9, text(900)), (None, passage + text(300))]
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, len(r.spans)) for r in remove_repeated_bytes(docs(rows)).collect())
+    assert got == {(None, 3450, 3450, 1): 1000, (7, 2500, 2500, 1): 1000, (8, 2450, 450, 1): 1, (9, 900, 0, 0): 1, (None, 750, 450, 1): 1}

@@ -255,7 +255,7 @@ def remove_repeated_bytes(
     places = slim.mapInArrow(_anchor_rows(length, gram, chunk), "m long, did long, tag long, place int")
     # read back, both sides of the join are plain shuffles, and Spark can split a hot anchor's rows
     often = scratch.write(places.groupBy("m").count().where("count > 1").select("m"))
-    wanted = scratch.write(places.join(often, "m", "left_semi").groupBy("did", "tag").agg(F.collect_list("place").alias("places")))
+    wanted = scratch.write(places.join(often, "m", "left_semi").groupBy("did", "tag").agg(F.collect_set("place").alias("places")))
     rows = slim.join(wanted, ["did", "tag"]).select("did", "tag", "body", "places")
     segments = scratch.write(rows.mapInArrow(_segment_rows(length, gram, chunk), "m long, c1 long, c2 long, did long, tag long, start int, lead int, n int, body binary"))
     scratch.drop(wanted, often)
@@ -263,7 +263,8 @@ def remove_repeated_bytes(
     classes = scratch.write(segments.groupBy("m", "c1", "c2").agg(F.count("*").alias("rows"), F.min("did").alias("one")))
     mixed = classes.groupBy("m").agg(F.count("*").alias("kinds"), F.count_if(F.col("rows") == 1).alias("lone")).where("kinds > 1 and lone > 0").select("m")
     wanted_classes = classes.join(mixed, "m", "left_semi").select("m", "c1", "c2", F.col("one").alias("did"), (F.col("rows") > 1).alias("many"))
-    pieces = segments.where(F.col("body").isNotNull()).join(wanted_classes, ["m", "c1", "c2", "did"])
+    # rows with the same id (or null ids) all have the smallest did: one piece stands for a class
+    pieces = segments.where(F.col("body").isNotNull()).join(wanted_classes, ["m", "c1", "c2", "did"]).dropDuplicates(["m", "c1", "c2"])
     pieces = pieces.select("m", "c1", "c2", F.col("m").alias("key"), F.lit(0).alias("a"), F.lit(length).alias("b"), F.lit(0).alias("off"), "lead", "n", "many", "body")
     ranges = _class_ranges(scratch.write(pieces), length, group_limit, scratch)
 
