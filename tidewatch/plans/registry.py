@@ -572,6 +572,20 @@ def csv_series(spark, sf_dir):
     return rounded(prep.clean_missing(long), "value").select("series_id", "split", "t", "feature", "value")
 
 
+@query(f"""SELECT series_id, split, t, feature, {r("CASE WHEN k = 2 AND feature = 'click' THEN NULL ELSE value END")} AS value FROM (SELECT *, CAST(substr(series_id, 2) AS BIGINT) % 3 AS k FROM pts)
+UNION ALL SELECT series_id, split, t, 'other', CASE WHEN CAST(substr(series_id, 2) AS BIGINT) % 3 = 2 THEN t::DOUBLE END FROM (SELECT DISTINCT series_id, split, t FROM pts)""")
+def csv_mixed_columns(spark, sf_dir):
+    """Three directories in one read: columns in one order, in the reverse order, and with one lacking and another more."""
+    wide = cut(_wide(spark, sf_dir).withColumn("k", F.substring("series_id", 2, 18).cast("long") % 3))
+    ids, names = ["series_id", "split", "t"], [*EVENT_TYPES, "is_anomaly"]
+    parts = [wide.select(*ids, *names, "k"), wide.select(*ids, *reversed(names), "k"), wide.select(*ids, F.col("t").cast("double").alias("other"), *(n for n in names if n != "click"), "k")]
+    paths = [shared_path(spark) for _ in parts]
+    for i, (part, path) in enumerate(zip(parts, paths)):
+        sinks.write_csv_series(part.where(F.col("k") == i).drop("k"), path)
+    long, _ = prep.features_and_labels(series.read_csv_series(spark, paths), ids, require=True)
+    return rounded(prep.clean_missing(long), "value").select("series_id", "split", "t", "feature", "value")
+
+
 @query(f"SELECT series_id, {r('auroc', 5)} AS auroc, {r('auprc', 5)} AS auprc, {r('tpr', 5)} AS best_tpr, {r('m_j.fpr', 5)} AS best_fpr FROM m_a JOIN m_j USING (series_id)")
 def csv_pipeline(spark, sf_dir):
     """From a directory of CSV files to the summary by series, written as CSV and read back."""

@@ -9,25 +9,37 @@ from pyspark.sql.types import StructType
 from tidewatch.functions.naming import series_of, split_of
 from tidewatch.operators.prep import to_long
 from tidewatch.operators.running import position
+from tidewatch.sources.headers import read_by_header
 
 
-def read_csv_series(spark: SparkSession, path: str, schema: StructType | str, glob: str = "*.csv", exclude: tuple[str, ...] = (), default_split: str = "test") -> DataFrame:
-    """All matching files of a directory in one read: series_id and split from the file's name (or its folder's, if that ends in .csv), t from the timestamp order, and the file's columns.
+def read_csv_series(
+    spark: SparkSession, path: str | list[str], schema: StructType | str | None = None, glob: str = "*.csv", exclude: tuple[str, ...] = (), default_split: str = "test"
+) -> DataFrame:
+    """All matching files of a directory: series_id and split from the file's name (or its folder's, if that ends in .csv), t from the timestamp order, and the columns of ``schema``.
 
-    Without a timestamp column the order is that of the lines, by ascending file block and line.
+    Each file's columns are found by its own header (``sources.headers``), so files may have them in any order,
+    lack some, or have more. Without a schema the columns are the union of all headers. Without a timestamp
+    column, or where a file lacks it, the order is that of the lines, by ascending file block and line.
     """
-    raw = spark.read.schema(schema).option("header", True).option("pathGlobFilter", glob).option("positiveInf", "inf").csv(path)
-    name = F.col("_metadata.file_path")
-    df = raw.withColumns({"series_id": series_of(name), "split": split_of(name, default_split), "sr_at": F.col("_metadata.file_block_start"), "sr_line": F.monotonically_increasing_id()})
+    raw = read_by_header(spark, path, schema, glob)
+    df = raw.withColumns({"series_id": series_of(F.col("sr_file")), "split": split_of(F.col("sr_file"), default_split)}).drop("sr_file")
     df = df.where(~F.col("series_id").isin(*exclude)) if exclude else df
-    df = df.drop("file")
-    if "timestamp" in df.columns:
-        return position(df, ["series_id", "split"], "timestamp").drop("sr_at", "sr_line")
-    ordered = df.withColumn("sr_order", F.struct("sr_at", "sr_line"))
-    return position(ordered, ["series_id", "split"], "sr_order", slice_of=F.col("sr_at")).drop("sr_at", "sr_line", "sr_order")
+    time = _seconds(df, "timestamp") if "timestamp" in df.columns else F.lit(None).cast("double")
+    ordered = df.withColumn("sr_time", time).withColumn("sr_order", F.struct("sr_time", "sr_at", "sr_line"))
+    # lines without a time come first; their slices are those of the file
+    slices = F.struct(F.floor(F.col("sr_time") / 86_400), F.when(F.col("sr_time").isNull(), F.col("sr_at")))
+    return position(ordered, ["series_id", "split"], "sr_order", slice_of=slices).drop("sr_at", "sr_line", "sr_time", "sr_order")
 
 
-def csv_points(spark: SparkSession, path: str, schema: StructType | str, **options) -> DataFrame:
+def _seconds(df: DataFrame, name: str) -> Column:
+    """A timestamp as seconds: numbers as they are, whether typed or text."""
+    kind, c = df.schema[name].dataType.simpleString(), F.col(name)
+    if kind.startswith("timestamp"):
+        return F.unix_micros(c.cast("timestamp")) / 1e6
+    return F.coalesce(c.try_cast("double"), F.unix_micros(c.try_cast("timestamp")) / 1e6) if kind == "string" else c.cast("double")
+
+
+def csv_points(spark: SparkSession, path: str | list[str], schema: StructType | str | None = None, **options) -> DataFrame:
     """``read_csv_series`` as long points."""
     return to_long(read_csv_series(spark, path, schema, **options), ["series_id", "split", "t"])
 
