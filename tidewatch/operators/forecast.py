@@ -143,29 +143,56 @@ def apply_model(windows: DataFrame, load: Callable[[], Callable[[np.ndarray], np
     return windows.select(*keys, "t", "ctx").mapInPandas(run, schema)
 
 
+#: A spread of this share of a value's size is rounding.
+ROUNDING = 1e-15
+
+
 def covariate_forecast(points: DataFrame, target: str, covariate: str, horizon: int) -> DataFrame:
     """The target from one known covariate: for each block of ``horizon`` test steps, least squares on everything before it.
 
-    Sums for the fit are running totals by block, so a block costs no pass over its past.
+    Sums for the fit are running totals by block, so a block costs no pass over its past. They are of
+    distances from a centre near the first values of the fit (``_centres``), so that they keep their digits far from 0.
     """
     pair = points.where(F.col("feature").isin(target, covariate)).groupBy("series_id", "split", "t")
     pair = pair.agg(F.max(F.when(F.col("feature") == target, F.col("value"))).alias("y"), F.max(F.when(F.col("feature") == covariate, F.col("value"))).alias("x"))
-    pair = pair.withColumn("window_id", F.when(F.col("split") == "train", F.lit(-1)).otherwise(F.floor(F.col("t") / horizon)).cast("long"))
-    x, y = F.col("x"), F.col("y")
-    both = F.when(x.isNotNull() & y.isNotNull(), 1)
-    sums = pair.groupBy("series_id", "window_id").agg(
-        F.count(both).alias("n"), F.sum(both * x).alias("sx"), F.sum(both * y).alias("sy"), F.sum(both * x * x).alias("sxx"), F.sum(both * x * y).alias("sxy")
-    )
+    pair = cut(_blocks(pair, horizon))
+    both = pair.where("x is not null and y is not null")
+    centre = _centres(both, {"cx": F.avg("x"), "cy": F.avg("y")})
+    x, y = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
+    sums = both.join(centre, "series_id").groupBy("series_id", "window_id")
+    sums = sums.agg(F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(x * y).alias("sxy"))
+    # blocks without a row to fit on still need the sums before them
+    every = pair.select("series_id", "window_id").distinct().join(sums, ["series_id", "window_id"], "left")
     before = Window.partitionBy("series_id").orderBy("window_id").rowsBetween(Window.unboundedPreceding, -1)
-    past = sums.select("series_id", "window_id", *(F.sum(c).over(before).alias(c) for c in ("n", "sx", "sy", "sxx", "sxy")))
-    slope = F.coalesce(F.try_divide(F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"), F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")), F.lit(0.0))
-    fit = past.withColumn("slope", slope).withColumn("intercept", F.try_divide(F.col("sy") - F.col("slope") * F.col("sx"), F.col("n").cast("double")))
-    out = pair.where("split = 'test'").join(fit.select("series_id", "window_id", "slope", "intercept"), ["series_id", "window_id"])
-    return out.select("series_id", F.lit(target).alias("feature"), "window_id", "t", "y", (F.col("intercept") + F.col("slope") * x).alias("point"))
+    past = every.select("series_id", "window_id", *(F.sum(c).over(before).alias(c) for c in ("n", "sx", "sy", "sxx", "sxy"))).where("n > 0").join(centre, "series_id")
+    mx, my = F.col("sx") / F.col("n"), F.col("sy") / F.col("n")
+    spread = F.col("sxx") - mx * F.col("sx")
+    flat = spread <= F.col("n") * (F.abs("cx") * ROUNDING) * (F.abs("cx") * ROUNDING)
+    slope = F.when(flat, F.lit(0.0)).otherwise(F.try_divide(F.col("sxy") - mx * F.col("sy"), spread))
+    fit = past.select("series_id", "window_id", "cx", "cy", mx.alias("mx"), my.alias("my"), F.coalesce(slope, F.lit(0.0)).alias("slope"))
+    out = pair.where("split = 'test'").join(fit, ["series_id", "window_id"], "left")
+    point = F.col("cy") + (F.col("my") + F.col("slope") * (F.col("x") - F.col("cx") - F.col("mx")))
+    return out.select("series_id", F.lit(target).alias("feature"), "window_id", "t", "y", point.alias("point"))
+
+
+def _blocks(rows: DataFrame, horizon: int) -> DataFrame:
+    """Adds window_id: -1 for the train split, then blocks of ``horizon`` test steps."""
+    return rows.withColumn("window_id", F.when(F.col("split") == "train", F.lit(-1)).otherwise(F.floor(F.col("t") / horizon)).cast("long"))
+
+
+def _centres(fitting: DataFrame, means: dict[str, Column]) -> DataFrame:
+    """A series' ``means`` over the first block that has rows to fit on.
+
+    Every fit holds that block. With n rows in a fit and m in the block, sums of squares about the centre are at most 1 + n / m
+    times those about the fit's own mean, however far the series lies from 0 or drifts: taking the mean away
+    afterwards costs at most the digits of that factor.
+    """
+    by_block = fitting.groupBy("series_id", "window_id").agg(F.struct(*(m.alias(name) for name, m in means.items())).alias("c"))
+    return by_block.groupBy("series_id").agg(F.min_by("c", "window_id").alias("c")).select("series_id", "c.*")
 
 
 def _products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (series, block, y, x) to one row a series, block and batch: the upper triangle of the sums of products of (1, x, y)."""
+    """Rows (series, block, y, x), as distances from the centre, to one row a series, block and batch: the upper triangle of the sums of products of (1, x, y)."""
     for pdf in batches:
         out = []
         for key, part in pdf.groupby(["series_id", "window_id"], sort=False):
@@ -174,16 +201,37 @@ def _products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["series_id", "window_id", "sums"])
 
 
+def least_squares(m: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Means of (x, y), then weights, for each of a stack of sums of products of (1, x, y); ``size`` are the centres' sizes, below whose rounding a spread counts as none.
+
+    The sums are brought to the mean and to unit spread, so that neither offsets nor scales cost digits; a
+    covariate that follows from the others takes no more than its share.
+    """
+    n = m[:, :1, 0]
+    mean = m[:, 0, 1:] / n
+    spread = m[:, 1:, 1:] - mean[:, :, None] * m[:, :1, 1:]
+    var = np.diagonal(spread, axis1=1, axis2=2)
+    moves = var > n * (size * ROUNDING) ** 2
+    scale = np.where(moves, np.sqrt(np.where(moves, var, 1.0)), np.inf)
+    unit = spread / scale[:, :, None] / scale[:, None, :]
+    weights = np.linalg.pinv(unit[:, :-1, :-1], rcond=1e-12, hermitian=True) @ unit[:, :-1, -1:]
+    weights = np.where(np.isfinite(scale[:, :-1]), weights[:, :, 0] / np.where(np.isfinite(scale[:, :-1]), scale[:, :-1], 1.0), 0.0) * np.where(moves[:, -1:], scale[:, -1:], 0.0)
+    return np.hstack([mean, weights])
+
+
 @F.pandas_udf(ArrayType(DoubleType()))
-def _solved(sums: pd.Series) -> pd.Series:
-    """Least squares from the upper triangle of the sums of products of (1, x, y)."""
-    out = []
-    for s in sums:
-        k = int(((8 * len(s) + 1) ** 0.5 - 1) // 2)
-        m = np.zeros((k, k))
-        m[np.triu_indices(k)] = s
-        m = np.triu(m, 1).T + m
-        out.append(np.linalg.lstsq(m[:-1, :-1], m[:-1, -1], rcond=None)[0].tolist())
+def _solved(sums: pd.Series, centre: pd.Series) -> pd.Series:
+    """``least_squares`` from the upper triangles, those of one size together."""
+    out: list = [None] * len(sums)
+    sizes = sums.map(len)
+    for length in sizes.unique():
+        at = np.flatnonzero(sizes == length)
+        k = int(((8 * length + 1) ** 0.5 - 1) // 2)
+        m = np.zeros((len(at), k, k))
+        m[(slice(None), *np.triu_indices(k))] = np.stack(sums.iloc[at].to_list())
+        m = np.triu(m, 1).transpose(0, 2, 1) + m
+        for i, row in zip(at, least_squares(m, np.abs(np.stack(centre.iloc[at].to_list()).astype(float)))):
+            out[i] = row.tolist()
     return pd.Series(out)
 
 
@@ -191,8 +239,8 @@ def covariates_forecast(points: DataFrame, target: str, horizon: int) -> DataFra
     """As ``covariate_forecast`` with all other features of the series.
 
     A series' features have fixed places, by name. A step that lacks a value of any of them has a null
-    point and is no part of a fit. Sums of products are made by block in batches of rows, summed in
-    Spark, and run up over the blocks; only the running sums reach the solver.
+    point and is no part of a fit. Sums of products, of distances from the series' centre, are made by block in
+    batches of rows, summed in Spark, and run up over the blocks; only the running sums reach the solver.
     """
     known = points.where("value is not null")
     places = known.where(F.col("feature") != target).select("series_id", "feature").distinct().groupBy("series_id").agg(F.sort_array(F.collect_list("feature")).alias("features"))
@@ -200,11 +248,13 @@ def covariates_forecast(points: DataFrame, target: str, horizon: int) -> DataFra
     wide = points.groupBy("series_id", "split", "t").agg(F.max(F.when(F.col("feature") == target, F.col("value"))).alias("y"), F.map_from_entries(F.collect_list(pair)).alias("found"))
     wide = wide.join(places, "series_id")
     wide = wide.withColumn("x", F.transform("features", lambda f: F.col("found")[f])).drop("found", "features")
-    wide = wide.withColumn("whole", ~F.exists("x", lambda v: v.isNull()))
-    wide = cut(wide.withColumn("window_id", F.when(F.col("split") == "train", F.lit(-1)).otherwise(F.floor(F.col("t") / horizon)).cast("long")))
+    wide = cut(_blocks(wide.withColumn("whole", ~F.exists("x", lambda v: v.isNull())), horizon))
     kind = points.schema["series_id"].dataType.simpleString()
-    fitting = wide.where("whole and y is not null").select("series_id", "window_id", "y", "x")
-    parts = fitting.mapInPandas(_products, f"series_id {kind}, window_id long, sums array<double>").select("series_id", "window_id", F.posexplode("sums").alias("i", "s"))
+    fitting = wide.where("whole and y is not null").select("series_id", "window_id", F.concat("x", F.array("y")).alias("xy"))
+    centre = _array_centres(fitting)
+    away = fitting.join(centre, "series_id").withColumn("d", F.zip_with("xy", "centre", lambda v, c: v - c))
+    away = away.select("series_id", "window_id", F.get("d", F.size("d") - 1).alias("y"), F.slice("d", 1, F.size("d") - 1).alias("x"))
+    parts = away.mapInPandas(_products, f"series_id {kind}, window_id long, sums array<double>").select("series_id", "window_id", F.posexplode("sums").alias("i", "s"))
     sums = parts.groupBy("series_id", "window_id", "i").agg(F.sum("s").alias("s"))
     # blocks without a row to fit on still need the sums before them
     blocks = wide.where("split = 'test'").select("series_id", "window_id").distinct()
@@ -213,7 +263,16 @@ def covariates_forecast(points: DataFrame, target: str, horizon: int) -> DataFra
     before = Window.partitionBy("series_id", "i").orderBy("window_id").rowsBetween(Window.unboundedPreceding, -1)
     past = every.withColumn("s", F.sum("s").over(before)).where("s is not null")
     packed = past.groupBy("series_id", "window_id").agg(F.sort_array(F.collect_list(F.struct("i", "s"))).alias("m")).where(F.col("m")[0]["s"] > 0)
-    fit = packed.select("series_id", "window_id", _solved(F.transform("m", lambda c: c["s"])).alias("beta"))
+    fit = packed.join(centre, "series_id").select("series_id", "window_id", "centre", _solved(F.transform("m", lambda c: c["s"]), "centre").alias("fit"))
     out = wide.where("split = 'test'").join(fit, ["series_id", "window_id"], "left")
-    point = F.when(F.col("whole"), weighted(F.concat(F.array(F.lit(1.0)), "x"), F.col("beta")))
+    k = F.size("x")
+    far = F.zip_with(F.zip_with("x", F.slice("centre", 1, k), lambda v, c: v - c), F.slice("fit", 1, k), lambda v, mean: v - mean)
+    point = F.when(F.col("whole"), F.get("centre", k) + (F.get("fit", k) + weighted(far, F.slice("fit", k + 2, k))))
     return out.select("series_id", F.lit(target).alias("feature"), "window_id", "t", "y", point.alias("point"))
+
+
+def _array_centres(fitting: DataFrame) -> DataFrame:
+    """``_centres`` of the places of the array ``xy``."""
+    cells = fitting.select("series_id", "window_id", F.posexplode("xy").alias("i", "v")).groupBy("series_id", "window_id", "i").agg(F.avg("v").alias("c"))
+    first = cells.groupBy("series_id", "i").agg(F.min_by("c", "window_id").alias("c"))
+    return first.groupBy("series_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "c"))), lambda s: s["c"]).alias("centre"))

@@ -86,7 +86,7 @@ lp AS (SELECT s.series_id, s.feature, CASE WHEN s.t < floor(n * 0.2) THEN 'train
 """.replace("pts_ready", "imp")
 
 
-def covariates_ctes(name: str, target: str, others: list[str], block: int = 24) -> str:
+def covariates_ctes(name: str, target: str, others: list[str], block: int = 24, source: str = "imp") -> str:
     """CTEs that end in ``name`` (series_id, t, y, point): the target from all others by least squares on all earlier blocks, by elimination on the covariances."""
     n = range(len(others) + 1)  # 0 is the target
     on = range(1, len(others) + 1)
@@ -103,7 +103,7 @@ def covariates_ctes(name: str, target: str, others: list[str], block: int = 24)
     for k in reversed(on[:-1]):
         back = f"SELECT *, (p{k}0 - {' - '.join(f'p{k}{j} * b{j}' for j in on if j > k)}) / p{k}{k} AS b{k} FROM ({back})"
     point = "m0 + " + " + ".join(f"b{k} * (v{k} - m{k})" for k in on)
-    return f"""{name}_v AS (SELECT series_id, split, t, CASE WHEN split = 'train' THEN -1 ELSE t // {block} END AS w, {values} FROM imp GROUP BY ALL),
+    return f"""{name}_v AS (SELECT series_id, split, t, CASE WHEN split = 'train' THEN -1 ELSE t // {block} END AS w, {values} FROM {source} GROUP BY ALL),
 {name}_0 AS (SELECT b.series_id, b.w, {sums} FROM (SELECT DISTINCT series_id, w FROM {name}_v WHERE w >= 0) b JOIN {name}_v a ON a.series_id = b.series_id AND a.w < b.w WHERE {whole} GROUP BY ALL),
 {", ".join(steps)},
 {name} AS (SELECT series_id, t, v0 AS y, {point} AS point FROM {name}_v JOIN ({back}) USING (series_id, w) WHERE split = 'test')"""

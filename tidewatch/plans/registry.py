@@ -254,6 +254,35 @@ def forecast_covariates(spark, sf_dir):
     return rounded(f.select("series_id", "feature", "window_id", "t", "y", "point"), "y", "point", digits=4)
 
 
+#: Far from 0, and a power of two, so that values in 64ths stay exact when it is added.
+OFFSET = float(1 << 30)
+
+
+def _gap_by_series(f: DataFrame) -> DataFrame:
+    gap = F.abs(F.col("y") - F.col("point"))
+    out = f.groupBy("series_id").agg(F.count(gap).alias("n"), F.avg(gap).alias("mean_gap"), F.max(gap).alias("largest_gap"))
+    return rounded(rounded(out, "mean_gap", digits=4), "largest_gap", digits=3)
+
+
+_GAPS = f"count(abs(y - point)) AS n, {r('avg(abs(y - point))', 4)} AS mean_gap, {r('max(abs(y - point))', 3)} AS largest_gap"
+
+
+@query(f""", far AS (SELECT * REPLACE (round(value * 64) / 64 AS value) FROM imp), {covariates_ctes('cc', 'click', _others('click'), source='far')} SELECT series_id, {_GAPS} FROM cc GROUP BY 1""")
+def forecast_covariates_far(spark, sf_dir):
+    """Values of a billion and more: the fits are those of the values without the offset."""
+    far = imputed(spark, sf_dir).withColumn("value", F.round(F.col("value") * 64) / 64 + F.lit(OFFSET))
+    return _gap_by_series(covariates_forecast(far, "click", 24))
+
+
+@query(f"""SELECT series_id, {_GAPS} FROM (
+SELECT a.series_id, a.t, any_value(a.y) AS y, CASE WHEN var_pop(b.x) > 0 THEN avg(b.y) + covar_pop(b.y, b.x) / var_pop(b.x) * (any_value(a.x) - avg(b.x)) ELSE avg(b.y) END AS point
+FROM (SELECT *, round(y0 * 64) / 64 AS y, round(x0 * 64) / 64 AS x FROM (SELECT * RENAME (y AS y0, x AS x0) FROM pw)) a
+JOIN (SELECT series_id, w, round(y * 64) / 64 AS y, round(x * 64) / 64 AS x FROM pw) b ON b.series_id = a.series_id AND b.w < a.w WHERE a.split = 'test' GROUP BY a.series_id, a.t) GROUP BY 1""")
+def forecast_covariate_far(spark, sf_dir):
+    far = imputed(spark, sf_dir).withColumn("value", F.round(F.col("value") * 64) / 64 + F.lit(OFFSET))
+    return _gap_by_series(covariate_forecast(far, "click", "view", 24))
+
+
 @query(f"""SELECT series_id, split, feature, t AS origin, j::INTEGER AS step, {r('greatest(ctx[24] + (ctx[24] - ctx[1]) / 23 * j, 0.0)', 5)} AS point FROM (
 SELECT *, unnest([1, 2, 3, 4]) AS j FROM (SELECT series_id, split, feature, t, list(value) OVER (PARTITION BY series_id, split, feature ORDER BY t {LAGS}) AS ctx,
 count(*) OVER (PARTITION BY series_id, split, feature ORDER BY t ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS n FROM imp) WHERE len(ctx) = 24 AND n = 4)""")
