@@ -43,7 +43,7 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def headers(spark: SparkSession, path: str | list[str], glob: str = "*.csv") -> DataFrame:
     """(hd_file, names): one row a file with a header, its first line that is not blank."""
-    lines = spark.read.option("pathGlobFilter", glob).text(path).withColumn("hd_file", F.col(FILE)).where((F.col("_metadata.file_block_start") == 0) & (F.trim("value") != ""))
+    lines = spark.read.options(pathGlobFilter=glob, recursiveFileLookup=True).text(path).withColumn("hd_file", F.col(FILE)).where((F.col("_metadata.file_block_start") == 0) & (F.trim("value") != ""))
     # lines of a block ascend in one task, so the least number is the block's first line
     first = lines.withColumn("hd_line", F.monotonically_increasing_id()).groupBy("hd_file").agg(F.min_by("value", "hd_line").alias("line"))
     return first.mapInPandas(_parsed, "hd_file string, names array<string>")
@@ -61,7 +61,7 @@ def _typed(value: Column, kind: DataType) -> Column:
 
 
 def read_by_header(spark: SparkSession, path: str | list[str], schema: StructType | str | None = None, glob: str = "*.csv") -> DataFrame:
-    """The rows of all matching files, with the columns of ``schema`` by name, its file as sr_file, and sr_at and sr_line, by which the lines of a file ascend.
+    """The rows of all matching files of the directories and their subfolders, with the columns of ``schema`` by name, its file as sr_file, and sr_at and sr_line, by which the lines of a file ascend.
 
     A column that a file lacks is null in its rows; columns beyond the schema are left out. Without a schema the
     columns are all names of all headers in ascending order, ``timestamp`` as it stands and the others as numbers (``is_anomaly``: int).
@@ -80,12 +80,12 @@ def read_by_header(spark: SparkSession, path: str | list[str], schema: StructTyp
     if len(kinds) <= 1:  # one header for all: Spark reads only the columns that are asked for
         (names,) = kinds or [[]]
         raw = spark.read.schema(StructType([StructField(f"c{i}", StringType()) for i in range(max(1, len(names)))]))
-        rows = raw.option("header", True).option("pathGlobFilter", glob).csv(path).withColumns(extra)
+        rows = raw.options(header=True, pathGlobFilter=glob, recursiveFileLookup=True).csv(path).withColumns(extra)
         field = lambda c: F.col(f"c{names.index(c)}") if c in names else F.lit(None).cast("string")
     else:
         width = known.agg(F.max(F.size("names"))).first()[0]
         raw = spark.read.schema(StructType([StructField(f"c{i}", StringType()) for i in range(width)]))
-        rows = raw.option("header", True).option("pathGlobFilter", glob).csv(path).withColumns(extra)
+        rows = raw.options(header=True, pathGlobFilter=glob, recursiveFileLookup=True).csv(path).withColumns(extra)
         place = headers(spark, path, glob).select("hd_file", F.array(*(F.array_position("names", F.lit(f.name)) - 1 for f in wanted)).alias("hd_places"))
         rows = rows.withColumn("hd_fields", F.array(*(f"c{i}" for i in range(width)))).join(place, F.col("sr_file") == F.col("hd_file"))
         order = {f.name: i for i, f in enumerate(wanted)}
