@@ -90,7 +90,8 @@ def test_late_arrivals_are_dropped(spark, tmp_path):
         run.awaitTermination()
         seen[delay] = sorted(r.t for r in spark.read.parquet(out).collect())
     assert seen[None] == sorted([*range(8, 24, 2), 4, 23, 24, 26])
-    assert seen["2 hours"] == [*range(8, 24, 2), 23, 24, 26]
+    # up to two hours before the last arrival, which is as far as the watermark has come
+    assert seen["2 hours"] == [*range(8, 24, 2)]
 
 
 def test_a_cluster_needs_a_shared_folder(spark):
