@@ -192,15 +192,33 @@ def _centres(fitting: DataFrame, means: dict[str, Column]) -> DataFrame:
 
 
 def _products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (series, block, y, x), as distances from the centre, to one row a series, block and batch: the upper triangle of the sums of products of (1, x, y)."""
+    """Rows (series, block, d: distances from the centre) to one row a series, block and batch: the upper triangle of the sums of products of (1, d)."""
     for pdf in batches:
         out = []
         for key, part in pdf.groupby(["series_id", "window_id"], sort=False):
-            x = np.column_stack([np.ones(len(part)), np.array(part["x"].to_list(), float).reshape(len(part), -1), part["y"]])
+            x = np.column_stack([np.ones(len(part)), np.array(part["d"].to_list(), float).reshape(len(part), -1)])
             out.append((*key, (x.T @ x)[np.triu_indices(x.shape[1])].tolist()))
         yield pd.DataFrame(out, columns=["series_id", "window_id", "sums"])
 
 
+def _sums_of_products(away: DataFrame) -> DataFrame:
+    """(series_id, window_id, i, s): the triangles of ``_products``, summed place by place."""
+    kind = away.schema["series_id"].dataType.simpleString()
+    parts = away.select("series_id", "window_id", "d").mapInPandas(_products, f"series_id {kind}, window_id long, sums array<double>")
+    return parts.select("series_id", "window_id", F.posexplode("sums").alias("i", "s")).groupBy("series_id", "window_id", "i").agg(F.sum("s").alias("s"))
+
+
+def unpacked(sums: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and full matrices of the upper triangles of each size."""
+    sizes = sums.map(len)
+    for length in sizes.unique():
+        at = np.flatnonzero(sizes == length)
+        k = int(((8 * length + 1) ** 0.5 - 1) // 2)
+        m = np.zeros((len(at), k, k))
+        m[(slice(None), *np.triu_indices(k))] = np.stack(sums.iloc[at].to_list())
+        yield at, np.triu(m, 1).transpose(0, 2, 1) + m
+
+
 def least_squares(m: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Means of (x, y), then weights, for each of a stack of sums of products of (1, x, y); ``size`` are the centres' sizes, below whose rounding a spread counts as none.
 
@@ -223,18 +241,24 @@ def least_squares(m: np.ndarray, size: np.ndarray) -> np.ndarray:
 def _solved(sums: pd.Series, centre: pd.Series) -> pd.Series:
     """``least_squares`` from the upper triangles, those of one size together."""
     out: list = [None] * len(sums)
-    sizes = sums.map(len)
-    for length in sizes.unique():
-        at = np.flatnonzero(sizes == length)
-        k = int(((8 * length + 1) ** 0.5 - 1) // 2)
-        m = np.zeros((len(at), k, k))
-        m[(slice(None), *np.triu_indices(k))] = np.stack(sums.iloc[at].to_list())
-        m = np.triu(m, 1).transpose(0, 2, 1) + m
+    for at, m in unpacked(sums):
         for i, row in zip(at, least_squares(m, np.abs(np.stack(centre.iloc[at].to_list()).astype(float)))):
             out[i] = row.tolist()
     return pd.Series(out)
 
 
+def by_place(points: DataFrame) -> DataFrame:
+    """series_id, features: the names of a series' features that have any value, in order; their places in arrays."""
+    return points.where("value is not null").select("series_id", "feature").distinct().groupBy("series_id").agg(F.sort_array(F.collect_list("feature")).alias("features"))
+
+
+def at_places(points: DataFrame, places: DataFrame) -> DataFrame:
+    """series_id, split, t, features, x: the values of a step by place, null where there is none."""
+    pair = F.when(F.col("value").isNotNull(), F.struct("feature", "value"))
+    wide = points.groupBy("series_id", "split", "t").agg(F.map_from_entries(F.collect_list(pair)).alias("found")).join(places, "series_id")
+    return wide.withColumn("x", F.transform("features", lambda f: F.col("found")[f])).drop("found")
+
+
 def covariates_forecast(points: DataFrame, target: str, horizon: int) -> DataFrame:
     """As ``covariate_forecast`` with all other features of the series.
 
@@ -249,13 +273,9 @@ def covariates_forecast(points: DataFrame, target: str, horizon: int) -> DataFra
     wide = wide.join(places, "series_id")
     wide = wide.withColumn("x", F.transform("features", lambda f: F.col("found")[f])).drop("found", "features")
     wide = cut(_blocks(wide.withColumn("whole", ~F.exists("x", lambda v: v.isNull())), horizon))
-    kind = points.schema["series_id"].dataType.simpleString()
     fitting = wide.where("whole and y is not null").select("series_id", "window_id", F.concat("x", F.array("y")).alias("xy"))
     centre = _array_centres(fitting)
-    away = fitting.join(centre, "series_id").withColumn("d", F.zip_with("xy", "centre", lambda v, c: v - c))
-    away = away.select("series_id", "window_id", F.get("d", F.size("d") - 1).alias("y"), F.slice("d", 1, F.size("d") - 1).alias("x"))
-    parts = away.mapInPandas(_products, f"series_id {kind}, window_id long, sums array<double>").select("series_id", "window_id", F.posexplode("sums").alias("i", "s"))
-    sums = parts.groupBy("series_id", "window_id", "i").agg(F.sum("s").alias("s"))
+    sums = _sums_of_products(fitting.join(centre, "series_id").withColumn("d", F.zip_with("xy", "centre", lambda v, c: v - c)))
     # blocks without a row to fit on still need the sums before them
     blocks = wide.where("split = 'test'").select("series_id", "window_id").distinct()
     cells = sums.select("series_id", "i").distinct().join(blocks, "series_id").select("series_id", "window_id", "i", F.lit(0.0).alias("s"))

@@ -86,13 +86,13 @@ lp AS (SELECT s.series_id, s.feature, CASE WHEN s.t < floor(n * 0.2) THEN 'train
 """.replace("pts_ready", "imp")
 
 
-def covariates_ctes(name: str, target: str, others: list[str], block: int = 24, source: str = "imp") -> str:
-    """CTEs that end in ``name`` (series_id, t, y, point): the target from all others by least squares on all earlier blocks, by elimination on the covariances."""
+def covariates_ctes(name: str, target: str, others: list[str], block: int = 24, source: str = "imp", ridge: float = 0.0) -> str:
+    """CTEs that end in ``name`` (series_id, t, y, point): the target from all others by least squares on all earlier blocks, by elimination on the covariances, with ``ridge`` times their own added to the others' variances."""
     n = range(len(others) + 1)  # 0 is the target
     on = range(1, len(others) + 1)
     values = ", ".join(f"max(value) FILTER (feature = '{f}') AS v{i}" for i, f in enumerate([target, *others]))
     whole = " AND ".join(f"a.v{i} IS NOT NULL" for i in n)
-    sums = ", ".join([*(f"avg(a.v{i}) AS m{i}" for i in n), *(f"covar_pop(a.v{i}, a.v{j}) AS c{i}{j}" for i in n for j in n)])
+    sums = ", ".join([*(f"avg(a.v{i}) AS m{i}" for i in n), *(f"covar_pop(a.v{i}, a.v{j}) * {1 + ridge * (i == j > 0)} AS c{i}{j}" for i in n for j in n)])
     steps = []
     for k in on[:-1]:
         later = ", ".join(f"c{i}{j} - c{i}{k} * c{k}{j} / c{k}{k} AS c{i}{j}" for i in n for j in n if (i == 0 or i > k) and (j == 0 or j > k))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import errors
 from tidewatch.operators import metrics, scoring
 from tidewatch.operators.forecast import covariate_forecast, covariates_forecast, forecast
+from tidewatch.operators.joint import joint_forecast
 from tidewatch.operators.prep import drop_empty_features, impute, zscore
 from tidewatch.operators.windows import BLOCK, sample_origins, sliding_windows
 from tidewatch.sources.shared import cut
@@ -34,7 +35,9 @@ def test_labels(labels: DataFrame) -> DataFrame:
 
 
 def window_forecasts(points: DataFrame, context: int, horizon: int, method: str = "rolling_mean", inner: bool = True, block: int = BLOCK, **options) -> DataFrame:
-    """Forecasts and actuals of every window, train and test apart."""
+    """Forecasts and actuals of every window, train and test apart; with the method "joint" each feature's from all features (``operators.joint``)."""
+    if method == "joint":
+        return joint_forecast(points, horizon, context=context, inner=inner, block=block, **options)
     return forecast(sliding_windows(points, context, horizon, block=block, inner=inner).drop("value"), method, context, horizon, **options)
 
 

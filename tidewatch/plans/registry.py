@@ -11,6 +11,7 @@ from tidewatch.functions import errors
 from tidewatch.functions.arrays import total
 from tidewatch.operators import metrics, prep, profile, scoring, windows
 from tidewatch.operators.forecast import apply_model, covariate_forecast, covariates_forecast, forecast
+from tidewatch.operators.joint import joint_forecast
 from tidewatch.plans import pipelines as pl
 from tidewatch.plans.oracles import ALPHA, C, H, LAGS, PREAMBLE, SEASON, _metrics, covariates_ctes, sweep_part
 from tidewatch.functions import naming
@@ -254,6 +255,26 @@ def forecast_covariates(spark, sf_dir):
     return rounded(f.select("series_id", "feature", "window_id", "t", "y", "point"), "y", "point", digits=4)
 
 
+def _joint_ctes(features: list[str]) -> str:
+    """CTEs that end in ``jf``: each feature from the values of all features one step before, fitted to the train split."""
+    parts = []
+    for i, target in enumerate(features):
+        lagged = f"j{i} AS (SELECT series_id, split, t, 'now' AS feature, value FROM z WHERE feature = '{target}' UNION ALL SELECT series_id, split, t + 1, feature, value FROM z)"
+        parts.append(f"{lagged}, {covariates_ctes(f'j{i}c', 'now', features, 1 << 40, f'j{i}', JOINT_RIDGE)}")
+    union = " UNION ALL ".join(f"SELECT series_id, '{f}' AS feature, t, y, point FROM j{i}c" for i, f in enumerate(features))
+    return f"{', '.join(parts)}, jf AS ({union})"
+
+
+JOINT_RIDGE = 0.01
+
+
+@query(f", {_joint_ctes(EVENT_TYPES)} SELECT series_id, feature, t, {r('y', 4)} AS y, {r('point', 4)} AS point FROM jf WHERE y IS NOT NULL AND point IS NOT NULL")
+def forecast_joint(spark, sf_dir):
+    """Each feature from all features one step before."""
+    f = joint_forecast(scaled(spark, sf_dir).drop("at"), 1, lags=1, ridge=JOINT_RIDGE)
+    return rounded(f.where("split = 'test' AND point IS NOT NULL").select("series_id", "feature", "t", "y", "point"), "y", "point", digits=4)
+
+
 #: Far from 0, and a power of two, so that values in 64ths stay exact when it is added.
 OFFSET = float(1 << 30)
 
