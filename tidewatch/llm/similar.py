@@ -12,8 +12,8 @@ the comparison is the bit-sliced one of ``simhash``, with as many planes as bits
 Fingerprints only propose: the texts that they chain together within a bucket are a candidate group.
 The members' shingle sets are joined to it, and a search from member to member keeps the links whose
 exact similarity reaches the threshold. It compares each member found with all that are not found yet,
-so what is linked exactly within a candidate group stays linked, whatever estimate led there. A group of
-over ``members`` is cut into blocks, and each pair of blocks is searched on its own, so that no task
+so what is linked exactly within a candidate group stays linked, whatever estimate led there. Groups that
+several bands found are merged where they share their smallest member. A group of over ``members`` is cut into blocks, and each pair of blocks is searched on its own, so that no task
 holds more than about two blocks of one group.
 
 With the defaults a pair at a similarity of 0.8 shares no band with a probability of 3e-5, and lies
@@ -147,6 +147,16 @@ def split_groups(groups: DataFrame, members: int, scratch: Scratch) -> DataFrame
     return rows.select(F.when(F.col("blocks") > 1, F.xxhash64("gid", "i", "j")).otherwise(F.col("gid")).alias("gid"), "node")
 
 
+def merge_groups(groups: DataFrame, scratch: Scratch) -> DataFrame:
+    """(gid, node) with one group for all that have their smallest node in common; gid is that node.
+
+    The bands of near copies find nearly the same group again and again, mostly with the same smallest
+    node. Groups are not merged through any other node, so that chains of groups do not grow into one.
+    """
+    first = scratch.write(groups.groupBy("gid").agg(F.min("node").alias("first")))
+    return groups.join(first, "gid").select(F.col("first").alias("gid"), "node").distinct()
+
+
 def candidate_groups(nodes: DataFrame, radius: int, scratch: Scratch, block: int) -> DataFrame:
     """(node, print, bands) to groups (gid, node) that hold together all pairs of nodes which share a band and differ in at most ``radius`` bits.
 
@@ -243,7 +253,7 @@ def similar_groups(
     bands: int = 20,
     rows: int = 4,
     block: int = 8192,
-    members: int = 512,
+    members: int = 256,
     doc_id: str = "doc_id",
     text: str = "text",
     scratch: Scratch | None = None,
@@ -266,6 +276,7 @@ def similar_groups(
     # verification is exact, so the radius is wide
     radius = bit_radius(similarity, 64 * fingerprint_words, margin=4.0)
     groups = scratch.write(candidate_groups(nodes, radius, scratch, block).distinct())
+    groups = scratch.write(merge_groups(groups, scratch))
     # the shingles of a node are those of its first row's text
     found = nodes.join(groups.select("node").distinct(), "node", "left_semi").select("node", F.col("least.key").alias("key"), F.col("least.tag").alias("tag"))
     bodies = slim.select(id_key("own_id").alias("key"), "tag", "body").join(found, ["key", "tag"]).select("node", "body")
