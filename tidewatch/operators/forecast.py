@@ -56,12 +56,42 @@ METHODS: dict[str, Method] = {
 }
 
 
+def _ses_gaps(ctx: Column, alpha: float = 0.3, **_) -> Column:
+    """Each value but the oldest against the level before it."""
+    start = F.struct(F.get(ctx, F.lit(0)).alias("level"), F.array().cast("array<double>").alias("gaps"))
+    step = lambda s, x: F.struct((s.level * (1 - alpha) + x * alpha).alias("level"), F.array_append(s.gaps, x - s.level).alias("gaps"))
+    return F.aggregate(F.slice(ctx, 2, F.greatest(F.size(ctx) - 1, F.lit(0))), start, step, lambda s: s.gaps)
+
+
+def _line_gaps(ctx: Column, **_) -> Column:
+    """Each value but the oldest against the line through the oldest and the one before it."""
+    last = lambda i: F.get(ctx, i)
+    slope = lambda i: F.when(i > 0, (last(i) - last(F.lit(0))) / i).otherwise(F.lit(0.0))
+    return F.transform(F.slice(ctx, 2, F.greatest(F.size(ctx) - 1, F.lit(0))), lambda x, i: x - last(i) - slope(i))
+
+
+def _lagged_gaps(ctx: Column, season: int = 24, **_) -> Column:
+    return F.transform(F.slice(ctx, season + 1, F.greatest(F.size(ctx) - season, F.lit(0))), lambda x, i: x - F.get(ctx, i))
+
+
+#: Of methods that follow a level or trend: what each value of the context differs by from the method's own forecast of it, one
+#: step ahead, and how many times wider errors are at a step (1, 2, ...), from the step and the context's size.
+RESIDUALS: dict[str, tuple[Callable[..., Column], Callable[..., Column]]] = {
+    "naive_last": (lambda ctx, **_: _lagged_gaps(ctx, season=1), lambda step, n, **_: F.sqrt(step.cast("double"))),
+    "seasonal_naive": (_lagged_gaps, lambda step, n, season=24, **_: F.sqrt(F.floor((step - 1) / season) + 1.0)),
+    "drift": (_line_gaps, lambda step, n, **_: F.sqrt(step * (1 + step / F.greatest(n - 1, F.lit(1))))),
+    "ses": (_ses_gaps, lambda step, n, alpha=0.3, **_: F.sqrt(1 + (step - 1) * (alpha * alpha))),
+}
+
+
 def forecast(
     windows: DataFrame, method: str, context: int, horizon: int, *, quantiles: bool = True, non_negative: bool = False, flip: bool = False, normalize: bool = False, **options
 ) -> DataFrame:
     """``windows`` (with ctx) to one row an origin and step: the other columns, origin, step, t, point, q10, q50, q90, and the actual y where ``windows`` has fut.
 
-    Quantiles are those of the context, moved to the point for methods that follow a level or trend.
+    Quantiles are those of the context for methods of a mean or median. For those that follow a level or trend they are the
+    point and the quantiles of the method's one-step errors within the context, widened with the step; a
+    context too short to have any gives its own quantiles, moved to the point.
     ``normalize`` forecasts the z-scored context; ``non_negative`` cuts at 0 where the context has no
     negative value; ``flip`` averages the forecast with that of the negated context, negated. Contexts
     may be short at the start of a series; an empty one gives null.
@@ -91,9 +121,15 @@ def forecast(
         states[side] = {name: F.col(side + name) for name in state}
     if non_negative:
         add({"f_cut": F.array_min(ctx) >= 0})
+    gaps_of, wider = RESIDUALS.get(method, (None, None))
     if quantiles:
-        rows = rows.withColumn("f_sorted", F.sort_array(ctx))
-        rows = rows.withColumns({name: quantile(F.col("f_sorted"), p) for name, p in QUANTILES.items()}).drop("f_sorted")
+        if gaps_of is not None:
+            rows = rows.withColumn("f_gaps", F.sort_array(gaps_of(ctx, **options)))
+            rows = rows.withColumns({f"f_gap{name}": quantile(F.col("f_gaps"), p) for name, p in QUANTILES.items()}).withColumn("f_n", F.size(ctx))
+            own.extend([*(f"f_gap{name}" for name in QUANTILES), "f_n"])
+        lone = F.lit(True) if gaps_of is None else F.size("f_gaps") <= 0
+        rows = rows.withColumn("f_sorted", F.when(lone, F.sort_array(ctx)))
+        rows = rows.withColumns({name: quantile(F.col("f_sorted"), p) for name, p in QUANTILES.items()}).drop("f_sorted", "f_gaps")
     rows = rows.drop("ctx").withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).withColumn("t", F.col("origin") + F.col("step") - 1)
     point = at(states["f_"], F.col("step"))
     if flip:
@@ -105,8 +141,11 @@ def forecast(
     if "fut" in windows.columns:
         rows = rows.withColumn("y", F.get("fut", F.col("step") - 1))
     if quantiles:
-        shift = F.lit(0.0) if method in ("rolling_mean", "rolling_median") else F.col("point") - F.col("q50")
-        rows = rows.withColumns({q: positive(F.col(q) + shift) for q in QUANTILES})
+        band = {q: F.col(q) for q in QUANTILES}
+        if gaps_of is not None:
+            width = wider(F.col("step"), F.col("f_n"), **options)
+            band = {q: F.coalesce(F.col("point") + F.col(f"f_gap{q}") * width, F.col(q) + F.col("point") - F.col("q50")) for q in QUANTILES}
+        rows = rows.withColumns({q: positive(c) for q, c in band.items()})
     return rows.drop("fut", *own)
 
 

@@ -195,6 +195,9 @@ def regular_grid_check(spark, sf_dir):
 # --- forecasts
 
 
+_SES_POINT = "list_sum(list_transform(range(1, 25), lambda i: ctx[i] * CASE WHEN i = 1 THEN pow(0.7, 23) ELSE 0.3 * pow(0.7, 24 - i) END))"
+
+
 def _forecast_query(name: str, point: str, method: str, **options) -> None:
     def run(spark, sf_dir):
         f = forecast(scaled_windows(spark, sf_dir), method, C, H, quantiles=False, **options)
@@ -211,13 +214,39 @@ _forecast_query("forecast_drift", "ctx[24] + (ctx[24] - ctx[1]) / 23 * j", "drif
 _forecast_query("forecast_seasonal_naive", f"ctx[25 - {SEASON} + (j - 1) % {SEASON}]", "seasonal_naive", season=SEASON)
 _forecast_query(
     "forecast_ses",
-    "list_sum(list_transform(range(1, 25), lambda i: ctx[i] * CASE WHEN i = 1 THEN pow(0.7, 23) ELSE 0.3 * pow(0.7, 24 - i) END))",
+    _SES_POINT,
     "ses",
     alpha=ALPHA,
 )
 _forecast_query("forecast_flip", "m", "rolling_mean", flip=True, normalize=True)
 
 
+_SES_GAPS = f"""list_transform(range(2, 25), lambda i: ctx[i] - list_sum(list_transform(range(1, i), lambda k:
+  ctx[k] * CASE WHEN k = 1 THEN pow({1 - ALPHA}, i - 2) ELSE {ALPHA} * pow({1 - ALPHA}, i - 1 - k) END)))"""
+_LINE_GAPS = "list_transform(range(2, 25), lambda i: ctx[i] - ctx[i - 1] - CASE WHEN i > 2 THEN (ctx[i - 1] - ctx[1]) / (i - 2) ELSE 0 END)"
+
+
+def _band_query(name: str, method: str, point: str, gaps: str, wider: str, **options) -> None:
+    """The band from the method's errors within the context: its means by series, feature and step."""
+
+    def run(spark, sf_dir):
+        f = forecast(scaled_windows(spark, sf_dir), method, C, H, **options)
+        sums = f.groupBy("series_id", "feature", "step").agg(
+            F.count("*").alias("n"), F.avg("q10").alias("low"), F.avg("q50").alias("middle"), F.avg("q90").alias("high"), F.avg(F.col("q90") - F.col("q10")).alias("width")
+        )
+        return rounded(sums, "low", "middle", "high", "width", digits=4)
+
+    run.__name__ = name
+    q = lambda p: f"p + list_aggregate(e, 'quantile_cont', {p}) * {wider}"
+    query(f""", be AS (SELECT series_id, feature, {point} AS p, j, {gaps} AS e FROM (SELECT *, unnest([1, 2, 3, 4]) AS j FROM q)),
+bq AS (SELECT series_id, feature, j, {q(0.1)} AS a, {q(0.5)} AS b, {q(0.9)} AS c FROM be)
+SELECT series_id, feature, j::INTEGER AS step, count(*) AS n, {r('avg(a)', 4)} AS low, {r('avg(b)', 4)} AS middle, {r('avg(c)', 4)} AS high, {r('avg(c - a)', 4)} AS width FROM bq GROUP BY ALL""")(run)
+
+
+_band_query("forecast_ses_band", "ses", _SES_POINT, _SES_GAPS, f"sqrt(1 + (j - 1) * {ALPHA * ALPHA})", alpha=ALPHA)
+_band_query("forecast_drift_band", "drift", "ctx[24] + (ctx[24] - ctx[1]) / 23 * j", _LINE_GAPS, "sqrt(j * (1 + j / 23))")
+
+
 @query(f"SELECT series_id, split, feature, t AS origin, j::INTEGER AS step, {r('q10', 5)} AS q10, {r('q50', 5)} AS q50, {r('q90', 5)} AS q90 FROM (SELECT *, unnest([1, 2, 3, 4]) AS j FROM q)")
 def forecast_quantiles(spark, sf_dir):
     f = forecast(scaled_windows(spark, sf_dir), "rolling_mean", C, H)
