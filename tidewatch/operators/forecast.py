@@ -152,7 +152,8 @@ def forecast(
 def apply_model(windows: DataFrame, load: Callable[[], Callable[[np.ndarray], np.ndarray]], horizon: int) -> DataFrame:
     """Forecasts of a user's model: ``load()`` runs once a worker batch stream and gives a function from (batch, context) to (batch, horizon) or (batch, horizon, 3).
 
-    Output as ``forecast``; quantiles are null where the model gives points only.
+    Contexts shorter than the longest of their batch begin with NaN. Output as ``forecast``; quantiles are null where
+    the model gives points only. For a model of all features at once see ``operators.tensors``.
     """
     keys = [c for c in windows.columns if c not in ("ctx", "fut", "t")]
     kinds = {f.name: f.dataType.simpleString() for f in windows.schema}
@@ -163,7 +164,8 @@ def apply_model(windows: DataFrame, load: Callable[[], Callable[[np.ndarray], np
         for pdf in batches:
             if not len(pdf):
                 continue
-            out = np.asarray(model(np.stack(pdf["ctx"].to_list())), float)
+            longest = max(pdf["ctx"].map(len))
+            out = np.asarray(model(np.stack([np.pad(np.asarray(c, float), (longest - len(c), 0), constant_values=np.nan) for c in pdf["ctx"]])), float)
             n = len(pdf)
             res = pdf[keys].loc[pdf.index.repeat(horizon)].reset_index(drop=True)
             res["origin"] = np.repeat(pdf["t"].to_numpy(), horizon)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidewatch.operators.running import previous
+
 SERIES = ["series_id", "split", "feature"]
 BLOCK = 1 << 15
 
@@ -61,7 +63,8 @@ def sample_origins(windows: DataFrame, context: int, every: int) -> DataFrame:
 
 
 def grid_check(stamps: DataFrame, keys: list[str], ts: str) -> DataFrame:
-    """n, n_steps (distinct gaps between neighbours, in seconds), rising, regular."""
-    gap = F.unix_seconds(F.col(ts).cast("timestamp")) - F.unix_seconds(F.lag(ts).over(Window.partitionBy(*keys).orderBy(ts)).cast("timestamp"))
-    out = stamps.withColumn("gap", gap).groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct("gap").alias("n_steps"), F.coalesce(F.min("gap") >= 0, F.lit(True)).alias("rising"))
+    """n, n_steps (distinct gaps between neighbours, in seconds), rising, regular. Neighbours are found by day (``running.previous``)."""
+    near = previous(stamps, keys, ts, "gc_before")
+    gap = F.unix_seconds(F.col(ts).cast("timestamp")) - F.unix_seconds(F.col("gc_before").cast("timestamp"))
+    out = near.withColumn("gap", gap).groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct("gap").alias("n_steps"), F.coalesce(F.min("gap") >= 0, F.lit(True)).alias("rising"))
     return out.withColumn("regular", F.col("n_steps") <= 1)
