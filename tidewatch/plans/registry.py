@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from tidewatch.functions.arrays import total
 from tidewatch.operators import metrics, prep, profile, scoring, windows
 from tidewatch.operators.forecast import apply_model, covariate_forecast, covariates_forecast, forecast
 from tidewatch.operators.joint import joint_forecast
+from tidewatch.operators.tensors import apply_joint_model
 from tidewatch.plans import pipelines as pl
 from tidewatch.plans.oracles import ALPHA, C, H, LAGS, PREAMBLE, SEASON, _metrics, covariates_ctes, sweep_part
 from tidewatch.functions import naming
@@ -265,6 +267,26 @@ def forecast_udf(spark, sf_dir):
     return rounded(f.select("series_id", "split", "feature", "origin", "step", "point"), "point", digits=5)
 
 
+@query(f"""SELECT series_id, split, feature, t AS origin, j::INTEGER AS step, {r('m + 0.1 * v', 5)} AS point FROM (
+SELECT a.series_id, a.split, a.feature, a.t, j, a.m, b.value AS v FROM (
+  SELECT *, unnest([1, 2, 3, 4]) AS j FROM (
+    SELECT series_id, split, feature, t, max(t) OVER (PARTITION BY series_id, split) AS last_t,
+      avg(value) OVER (PARTITION BY series_id, split ORDER BY t RANGE BETWEEN 24 PRECEDING AND 1 PRECEDING) AS m FROM z) WHERE t >= 1 AND t + 3 <= last_t AND feature <> 'view') a
+JOIN (SELECT * FROM z WHERE feature = 'view') b ON b.series_id = a.series_id AND b.split = a.split AND b.t = a.t + a.j - 1)""")
+def forecast_joint_model(spark, sf_dir):
+    """A model of all features: the mean of what their contexts hold, and a share of a covariate known ahead; contexts from one step on."""
+
+    def load():
+        def model(w):
+            level = np.nanmean(w.values, axis=(1, 2))
+            return np.repeat((level[:, None, None] + 0.1 * w.future), len(w.features) - 1, axis=1)
+
+        return model
+
+    f = apply_joint_model(scaled(spark, sf_dir).drop("at"), load, C, H, known=("view",), least=1)
+    return rounded(f.select("series_id", "split", "feature", "origin", "step", "point"), "point", digits=5)
+
+
 @query(f"SELECT series_id, t, {r('y', 4)} AS y, {r('point', 4)} AS point FROM cfp")
 def forecast_covariate(spark, sf_dir):
     f = covariate_forecast(imputed(spark, sf_dir), "click", "view", 24)
