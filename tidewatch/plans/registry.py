@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable
 
 import numpy as np
@@ -17,7 +18,7 @@ from tidewatch.operators.tensors import apply_joint_model
 from tidewatch.plans import pipelines as pl
 from tidewatch.plans.oracles import ALPHA, C, H, LAGS, PREAMBLE, SEASON, _metrics, covariates_ctes, sweep_part
 from tidewatch.functions import naming
-from tidewatch.sources import series, sinks
+from tidewatch.sources import commits, series, sinks
 from tidewatch.sources.shared import cut, shared_path
 from tidewatch.streaming.online import online_scores
 
@@ -711,6 +712,23 @@ def saved_results(spark, sf_dir):
     return rounded(spark.read.parquet(path), "AUROC", "AUPRC", digits=5)
 
 
+@query(f"SELECT series_id, {r('auroc', 5)} AS auroc, {r('auprc', 5)} AS auprc FROM m_a")
+def saved_in_waves(spark, sf_dir):
+    """Evaluation in three waves of series, cut off in the second, and run again."""
+    path, scored, calls = shared_path(spark), cut(evaluated(spark, sf_dir)), []
+
+    def areas(rows: DataFrame) -> DataFrame:
+        calls.append(1)
+        if len(calls) == 2:
+            raise InterruptedError
+        return metrics.areas(rows, ["series_id"])
+
+    with contextlib.suppress(InterruptedError):
+        commits.run_in_waves(scored, ["series_id"], path, areas, waves=3)
+    commits.run_in_waves(scored, ["series_id"], path, areas, waves=3)
+    return rounded(commits.read_committed(spark, path, "series_id string, auroc double, auprc double"), "auroc", "auprc", digits=5)
+
+
 @query(f"""SELECT 'roc' AS curve, series_id, {r('fpr')} AS x, {r('tpr')} AS y, {r('threshold', 5)} AS threshold FROM m_r
 UNION ALL SELECT 'pr', series_id, {r('CASE WHEN np > 0 THEN tp::DOUBLE / np END')}, {r('tp::DOUBLE / (tp + fp)')}, {r('score', 5)} FROM m_c UNION ALL SELECT DISTINCT 'pr', series_id, 0.0, 1.0, NULL::DOUBLE FROM m_c""")
 def saved_curves(spark, sf_dir):
@@ -758,7 +776,8 @@ def saved_report(spark, sf_dir):
     return rounded(spark.read.schema("mean_auroc double, mean_auprc double").json(path), "mean_auroc", "mean_auprc", digits=5)
 
 
-@query(f"SELECT NULL::DOUBLE AS mean_auroc, {r('avg(auprc)', 5)} AS mean_auprc FROM m_a")
+@query(f"""SELECT CASE WHEN count(*) = count(a) THEN {r('avg(a)', 5)} END AS mean_auroc, CASE WHEN count(*) = count(auprc) THEN {r('avg(auprc)', 5)} END AS mean_auprc
+FROM (SELECT *, CASE WHEN series_id <> 's0' THEN auroc END AS a FROM m_a)""")
 def mean_metrics_strict(spark, sf_dir):
     """An undefined value makes its mean undefined."""
     a = metrics.areas(evaluated(spark, sf_dir), ["series_id"]).withColumn("auroc", F.when(F.col("series_id") != "s0", F.col("auroc")))
@@ -823,7 +842,8 @@ def series_profile(spark, sf_dir):
     return rounded(profile.collection(raw_points(spark, sf_dir)), "mean_length")
 
 
-@query("SELECT series_id, feature FROM pts WHERE feature = 'view' GROUP BY ALL")
+@query("""SELECT series_id, feature FROM (SELECT * REPLACE (CASE WHEN feature = 'view' AND value IS NOT NULL THEN 5.0 ELSE value END AS value) FROM pts) GROUP BY ALL
+HAVING NOT coalesce(stddev_pop(CASE WHEN split = 'train' THEN value END) > 1e-8, false)""")
 def removed_features(spark, sf_dir):
     p = points(spark, sf_dir)
     flat = p.withColumn("value", F.when((F.col("feature") == "view") & F.col("value").isNotNull(), F.lit(5.0)).otherwise(F.col("value")))

@@ -20,6 +20,7 @@ def write_csv_series(wide: DataFrame, path: str) -> None:
 
 
 def append_results(df: DataFrame, path: str) -> None:
+    """Adds rows; a rerun adds them again. ``sources.commits`` has results that can be rerun and resumed."""
     df.write.mode("append").parquet(path)
 
 
