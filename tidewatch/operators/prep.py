@@ -77,20 +77,20 @@ def medians(points: DataFrame, exact: bool = True) -> DataFrame:
     return _train(points).groupBy(*KEY).agg(value.alias("med"))
 
 
-def impute(points: DataFrame, exact: bool = True) -> DataFrame:
-    """Missing values by the train median; features without one are dropped."""
-    med = medians(points, exact).where("med is not null")
+def impute(points: DataFrame, exact: bool = True, fit: DataFrame | None = None) -> DataFrame:
+    """Missing values by the train median, or the ``med`` of a stored ``fit`` (``operators.stored.fits``); features without one are dropped."""
+    med = (medians(points, exact) if fit is None else fit.select(*KEY, "med")).where("med is not null")
     return points.join(med, KEY).withColumn("value", F.coalesce("value", "med")).drop("med")
 
 
-def zscore(points: DataFrame) -> DataFrame:
-    """By train mean and population deviation; a zero deviation counts as 1."""
-    fit = _train(points).groupBy(*KEY).agg(F.avg("value").alias("mu"), F.coalesce(F.nullif(F.stddev_pop("value"), F.lit(0.0)), F.lit(1.0)).alias("sd"))
+def zscore(points: DataFrame, fit: DataFrame | None = None) -> DataFrame:
+    """By train mean and population deviation, or those of a stored ``fit``; a zero deviation counts as 1."""
+    fit = fit.select(*KEY, "mu", "sd") if fit is not None else _train(points).groupBy(*KEY).agg(F.avg("value").alias("mu"), F.coalesce(F.nullif(F.stddev_pop("value"), F.lit(0.0)), F.lit(1.0)).alias("sd"))
     return points.join(fit, KEY).withColumn("value", (F.col("value") - F.col("mu")) / F.col("sd")).drop("mu", "sd")
 
 
-def minmax(points: DataFrame) -> DataFrame:
-    """By train minimum and range; a zero range counts as 1."""
-    fit = _train(points).groupBy(*KEY).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+def minmax(points: DataFrame, fit: DataFrame | None = None) -> DataFrame:
+    """By train minimum and range, or those of a stored ``fit``; a zero range counts as 1."""
+    fit = fit.select(*KEY, "lo", "hi") if fit is not None else _train(points).groupBy(*KEY).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     width = F.coalesce(F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)), F.lit(1.0))
     return points.join(fit, KEY).withColumn("value", (F.col("value") - F.col("lo")) / width).drop("lo", "hi")

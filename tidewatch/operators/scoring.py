@@ -31,10 +31,11 @@ def calibrate(errors: DataFrame) -> DataFrame:
     return out.withColumn("score", (F.col("err") - F.coalesce("mu", F.lit(0.0))) / F.coalesce("sd", F.lit(1.0))).drop("mu", "sd", "err")
 
 
-def robust_normalize(scores: DataFrame, exact: bool = True) -> DataFrame:
-    """Scores clipped to their 1st and 99th percentile by feature and scaled to [0, 1]; a width under 1e-8, or no score, gives 0."""
+def robust_normalize(scores: DataFrame, exact: bool = True, fit: DataFrame | None = None) -> DataFrame:
+    """Scores clipped to their 1st and 99th percentile by feature, or the p01 and p99 of a stored ``fit`` of earlier scores, and scaled to [0, 1]; a width under 1e-8, or no score, gives 0."""
     q = F.percentile("score", F.array(F.lit(0.01), F.lit(0.99))) if exact else F.percentile_approx("score", F.array(F.lit(0.01), F.lit(0.99)), 10_000)
-    fit = scores.groupBy(*KEY).agg(q.alias("p")).select(*KEY, F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
+    own = scores.groupBy(*KEY).agg(q.alias("p")).select(*KEY, F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
+    fit = own if fit is None else fit.select(*KEY, F.col("p01").alias("lo"), F.col("p99").alias("hi"))
     width = F.col("hi") - F.col("lo")
     clipped = F.least(F.greatest(F.col("score"), F.col("lo")), F.col("hi"))
     value = F.when(F.col("score").isNull() | (width < EPSILON), F.lit(0.0)).otherwise((clipped - F.col("lo")) / width)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import errors
 from tidewatch.functions.arrays import total
-from tidewatch.operators import metrics, prep, profile, scoring, windows
+from tidewatch.operators import metrics, prep, profile, scoring, stored, windows
 from tidewatch.operators.forecast import apply_model, covariate_forecast, covariates_forecast, forecast
 from tidewatch.operators.joint import joint_forecast
 from tidewatch.operators.tensors import apply_joint_model
@@ -137,6 +137,30 @@ def train_medians(spark, sf_dir):
     return rounded(prep.medians(points(spark, sf_dir)).where("med is not null"), "med")
 
 
+@query(f"""SELECT series_id, feature, count(*) AS n, {r('avg(value)', 4)} AS mu, {r('coalesce(nullif(stddev_pop(value), 0), 1)', 4)} AS sd, {r('min(value)')} AS lo, {r('max(value)')} AS hi,
+{r('quantile_disc(value, 0.5)')} AS med, {r('quantile_disc(value, 0.99)')} AS p99 FROM pts WHERE split = 'train' AND value IS NOT NULL GROUP BY ALL""")
+def stored_statistics(spark, sf_dir):
+    """Statistics of three parts of the steps, stored one by one (one of them twice), merged when read. Series have fewer steps than a sketch holds, so quantiles are exact."""
+    path, p = shared_path(spark), points(spark, sf_dir)
+    for part in (0, 1, 2, 1):
+        stored.store_statistics(stored.fit_statistics(p.where(F.col("t") % 3 == part)), path, f"part{part}")
+    stats = stored.stored_statistics(spark, path)
+    out = stored.fits(stats).join(stats.select("series_id", "feature", "n"), ["series_id", "feature"]).select("series_id", "feature", "n", "mu", "sd", "lo", "hi", "med", "p99")
+    return rounded(rounded(out, "mu", "sd", digits=4), "lo", "hi", "med", "p99")
+
+
+@query(f"""SELECT series_id, feature, split, count(*) AS n, {r('sum((coalesce(value, med) - mu) / sd)', 3)} AS total, {r('max((coalesce(value, med) - mu) / sd)', 4)} AS top FROM pts
+JOIN (SELECT series_id, feature, quantile_disc(value, 0.5) AS med, avg(value) AS mu, coalesce(nullif(stddev_pop(value), 0), 1) AS sd FROM pts WHERE split = 'train' AND value IS NOT NULL GROUP BY ALL) USING (series_id, feature) GROUP BY ALL""")
+def scaled_by_stored(spark, sf_dir):
+    """Gaps filled and values scaled by stored statistics of two halves."""
+    path, p = shared_path(spark), points(spark, sf_dir)
+    for part in (0, 1):
+        stored.store_statistics(stored.fit_statistics(p.where(F.col("t") % 2 == part)), path, f"part{part}")
+    fit = stored.fits(stored.stored_statistics(spark, path))
+    out = prep.zscore(prep.impute(p, fit=fit), fit=fit).groupBy("series_id", "feature", "split").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.max("value").alias("top"))
+    return rounded(rounded(out, "total", digits=3), "top", digits=4)
+
+
 LINE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
