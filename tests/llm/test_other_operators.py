@@ -13,7 +13,7 @@ from conftest import varied
 from tidewatch.llm import media
 from tidewatch.llm import text as text_tools
 from tidewatch.llm.decontaminate import contaminated
-from tidewatch.llm.materialise import END_OF_TEXT, TOKENIZER, Feistel, resume, shard_blobs, tokenizer, training_order, write_shards, written_order
+from tidewatch.llm.materialise import END_OF_TEXT, TOKENIZER, Feistel, resume, shard_pages, tokenizer, training_order, write_shards, written_order
 from tidewatch.llm.quality import best_threshold, importance_resample, top_k
 from tidewatch.llm.urls import Rule, url_filter
 
@@ -103,12 +103,21 @@ def test_training_order_round_trip(docs, spark, tmp_path):
         back[r.doc_id] += ids[: r.n_tokens].tolist()
     for i, t, _ in rows:
         assert back[i][-1] == END_OF_TEXT and encoding.decode(back[i][:-1]) == (t or "")
-    write_shards(order, str(tmp_path / "shards"))
-    later = resume(spark, str(tmp_path / "shards"), 21, 16).collect()
-    assert sorted(r.slot for r in later) == list(range(21, n))
-    blobs = sorted(shard_blobs(order).collect())
-    assert b"".join(bytes(b.payload) for b in blobs) == b"".join(bytes(r.tokens) for r in sorted(got, key=lambda r: r.slot))
-    assert all(zlib.crc32(b.payload) == b.crc32 and b.first_slot == b.shard * 16 for b in blobs)
+    path = str(tmp_path / "shards")
+    write_shards(order, path, 16, page=6)
+    for slot in (0, 16, 21, n - 1, n):
+        later = resume(spark, path, slot, 16).collect()
+        assert sorted(map(tuple, later)) == sorted(tuple(r) for r in got if r.slot >= slot)
+    # record r of a page lies at byte r times the stride, and pages follow each other
+    by_slot = {r.slot: bytes(r.tokens) for r in got}
+    pages = spark.read.parquet(path).collect()
+    for p in pages:
+        assert zlib.crc32(p.payload) == p.crc32 and len(p.payload) == p.records * 128 and p.records <= 6
+        assert p.shard == p.first_slot // 16 == (p.first_slot + p.records - 1) // 16
+        assert all(bytes(p.payload[128 * r : 128 * r + 128]) == by_slot[p.first_slot + r] for r in range(p.records))
+    assert sorted(s for p in pages for s in range(p.first_slot, p.first_slot + p.records)) == list(range(n))
+    (whole,) = shard_pages(order.where("shard = 1"), 16).collect()
+    assert bytes(whole.payload) == b"".join(by_slot[s] for s in range(16, 32))
 
 
 def test_training_order_of_null_and_no_rows(docs):

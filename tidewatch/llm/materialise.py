@@ -4,7 +4,8 @@ Texts become fixed-length sequences of token ids. A keyed Feistel permutation as
 sequence its global slot: index i of n goes through a few rounds on an even number of bits, again
 and again while it lands at n or above (cycle-walking). So slot and index follow from each other
 without a shuffle order being stored, and training can stop and resume at any slot. Range
-partitions by slot hold fixed-stride records, to be read in sequence.
+partitions by slot hold fixed-stride records: pages in which record r starts at byte r times the stride,
+to be read in sequence or by offset.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewatch.llm.scratch import Scratch
 
@@ -155,47 +157,72 @@ def training_order(
     return out.select("slot", "shard", (F.col("slot") % per_shard).cast("int").alias("position"), F.col("own_id").alias(doc_id), "seq_no", "n_tokens", "tokens")
 
 
-def write_shards(ordered: DataFrame, path: str) -> None:
-    """One folder a shard, records in slot order."""
-    ordered.write.partitionBy("shard").option("compression", "zstd").parquet(path)
+#: Records of one page: a row of the written table, which holds them one after another.
+PAGE = 512
 
 
-def resume(spark: SparkSession, path: str, slot: int, per_shard: int) -> DataFrame:
-    """What ``write_shards`` wrote, from ``slot`` on; earlier shards are not opened."""
-    return spark.read.parquet(path).where((F.col("shard") >= slot // per_shard) & (F.col("slot") >= slot))
+def _pages(per_shard: int, page: int, kind: pa.DataType):
+    """Records in slot order to pages; a page ends with its shard."""
+    names = ["shard", "first_slot", "records", "crc32", "payload", "doc_ids", "seq_nos", "sizes"]
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(kind), pa.list_(pa.int32()), pa.list_(pa.int32())]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def close() -> pa.RecordBatch:
+            slots, tokens, ids, seq_nos, sizes = zip(*held)
+            held.clear()
+            blob = b"".join(tokens)
+            row = [slots[0] // per_shard, slots[0], len(slots), zlib.crc32(blob), blob, list(ids), list(seq_nos), list(sizes)]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names)
+
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if held and (row[0] // per_shard != held[0][0] // per_shard or row[0] != held[-1][0] + 1 or len(held) >= page):
+                    yield close()
+                held.append(row)
+        if held:
+            yield close()
 
-def written_order(docs: DataFrame, *, scratch: Scratch | None = None, **options) -> DataFrame:
-    """``training_order`` written as shards in the shared folder and read back; a shard's file holds its records in slot order."""
-    scratch = scratch or Scratch(docs.sparkSession)
-    ordered = training_order(docs, scratch=scratch, **options)
-    path = scratch.place()
-    with scratch.tidy():
-        write_shards(ordered, path)
-    return docs.sparkSession.read.schema(ordered.schema).parquet(path).select(*ordered.columns)
+    return run
 
 
-def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shard, first, parts = None, 0, []
+def shard_pages(ordered: DataFrame, per_shard: int, page: int = PAGE) -> DataFrame:
+    """shard, first_slot, records, crc32, payload and, by record, doc_ids, seq_nos, sizes: record r of a page is at byte r times the stride of its payload."""
+    kind = ordered.schema.fields[3].dataType
+    rows = ordered.select("slot", "tokens", F.col(ordered.columns[3]).alias("own_id"), "seq_no", "n_tokens")
+    schema = f"shard int, first_slot long, records int, crc32 long, payload binary, doc_ids array<{kind.simpleString()}>, seq_nos array<int>, sizes array<int>"
+    return rows.mapInArrow(_pages(per_shard, page, to_arrow_type(kind)), schema)
 
-    def close() -> pa.RecordBatch:
-        blob = b"".join(parts)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([shard], pa.int32()), pa.array([first], pa.int64()), pa.array([len(parts)], pa.int32()), pa.array([zlib.crc32(blob)], pa.int64()), pa.array([blob], pa.binary())],
-            ["shard", "first_slot", "records", "crc32", "payload"],
-        )
 
-    for batch in batches:
-        for s, slot, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            if s != shard:
-                if parts:
-                    yield close()
-                shard, first, parts = s, slot, []
-            parts.append(tokens)
-    if parts:
-        yield close()
+def read_records(pages: DataFrame, per_shard: int, doc_id: str = "doc_id") -> DataFrame:
+    """The rows that ``shard_pages`` was made of; each record is read at its place in the payload."""
+    stride = F.expr("length(payload) div records")
+    r = lambda x: F.struct(
+        (F.col("first_slot") + x).alias("slot"), F.get("doc_ids", x).alias("own_id"), F.get("seq_nos", x).alias("seq_no"), F.get("sizes", x).alias("n_tokens"),
+        F.substring(F.col("payload"), (x * stride + 1).cast("int"), stride.cast("int")).alias("tokens"),
+    )
+    found = pages.select("shard", F.inline(F.transform(F.sequence(F.lit(0), F.col("records") - 1), r)))
+    return found.select("slot", "shard", (F.col("slot") % per_shard).cast("int").alias("position"), F.col("own_id").alias(doc_id), "seq_no", "n_tokens", "tokens")
 
 
-def shard_blobs(ordered: DataFrame) -> DataFrame:
-    """shard, first_slot, records, crc32, payload: each shard's records one after another, record r at byte r times the stride."""
-    return ordered.select("shard", "slot", "tokens").mapInArrow(_blobs, "shard int, first_slot long, records int, crc32 long, payload binary")
+def write_shards(ordered: DataFrame, path: str, per_shard: int, page: int = PAGE) -> None:
+    """The pages of all shards, in slot order within a file; a shard is in one file."""
+    shard_pages(ordered, per_shard, page).write.option("compression", "zstd").parquet(path)
+
+
+def resume(spark: SparkSession, path: str, slot: int, per_shard: int, doc_id: str = "doc_id") -> DataFrame:
+    """What ``write_shards`` wrote, from ``slot`` on; row groups of earlier shards are not read."""
+    pages = spark.read.parquet(path).where((F.col("shard") >= slot // per_shard) & (F.col("first_slot") + F.col("records") > slot))
+    return read_records(pages, per_shard, doc_id).where(F.col("slot") >= slot)
+
+
+def written_order(docs: DataFrame, *, doc_id: str = "doc_id", per_shard: int = 8192, scratch: Scratch | None = None, **options) -> DataFrame:
+    """``training_order`` written as fixed-stride shards in the shared folder and read back by offset."""
+    scratch = scratch or Scratch(docs.sparkSession)
+    ordered = training_order(docs, doc_id=doc_id, per_shard=per_shard, scratch=scratch, **options)
+    path = scratch.place()
+    with scratch.tidy():
+        write_shards(ordered, path, per_shard)
+    pages = docs.sparkSession.read.schema(shard_pages(ordered, per_shard).schema).parquet(path)
+    return read_records(pages, per_shard, doc_id)
