@@ -144,3 +144,30 @@ def test_shards_of_null_repeated_and_few_rows(docs):
     got = shuffle_into_shards(docs([(None, None), (1, "x"), (1, "x")]), 24).collect()
     assert len(got) == 3 and all(r.slot == 0 for r in got) and len({r.shard for r in got}) == 3
     assert shuffle_into_shards(docs([]), 24).count() == 0
+
+
+def test_equal_rows_are_dealt_to_many_slices(docs, spark):
+    """Two thirds of the rows are one row without an id; shards are as even and gapless as ever, and no slice's sort holds them all."""
+    from tidewatch.llm import shards
+    from tidewatch.llm.scratch import Scratch
+
+    rows = [(None, "same text")] * 4000 + [(i, f"text {i}") for i in range(2000)]
+    kept = []
+
+    class Kept(Scratch):
+        def write(self, df):
+            kept.append(super().write(df))
+            return kept[-1]
+
+        def drop(self, *tables):
+            pass
+
+    got = shards.shuffle_into_shards(docs(rows, 5), 24, scratch=Kept(spark)).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.shard].append(r.slot)
+    assert len(got) == 6000 and sorted(by) == list(range(24)) and all(sorted(v) == list(range(250)) for v in by.values())
+    equal = Counter(r.shard for r in got if r.doc_id is None)
+    assert all(120 < equal[s] < 215 for s in range(24)), "equal rows are spread over all shards"
+    parts = kept[-1].groupBy("shard", "sh_part").count().agg({"count": "max"}).first()[0]
+    assert parts < 20, "nor does the sort within a shard"

@@ -69,26 +69,43 @@ def byte_size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long")
 
 
+#: A slice of over HEAVY times its share and HEAVY_ROWS more is dealt anew.
+HEAVY, HEAVY_ROWS = 4, 1000
+
+
+def _counts(rows: DataFrame) -> dict[int, int]:
+    return {r["sh_slice"]: r["count"] for r in rows.groupBy("sh_slice").count().collect()}  # at most one row a slice
+
+
 def shuffle_into_shards(
-    docs: DataFrame, shards: int = 24, *, doc_id: str = "doc_id", text: str = "text", seed: int = 42, slices: int = 1024, scratch: Scratch | None = None
+    docs: DataFrame, shards: int = 24, *, doc_id: str = "doc_id", text: str = "text", seed: int = 42, slices: int | None = None, scratch: Scratch | None = None
 ) -> DataFrame:
     """doc_id, size, text_crc32, law ('rows'), shard, slot, grown_shard (null) for every row.
 
     Shard sizes differ by at most one row; ``slot`` counts from 0 without gaps within a shard.
     Null text counts as empty, null ids are ordinary ids. Repeated rows are rows of their own, and
     which of two equal rows gets which place is left open. An empty table gives no rows. Only the
-    counts of ``slices`` hash slices (a fixed number) reach the driver. Other columns are ignored.
+    counts of ``slices`` hash slices (by default 1,024, or one for two million rows if that is more) reach the
+    driver. Rows of slices that hold many times their share, as equal rows make them, are dealt to more slices by a
+    number a row, so that no task holds all of them; where these rows go then depends on how the input is split. Other columns are ignored.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     filled = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("sh_id"), byte_size(F.col(text)).alias("size"), F.crc32(F.encode(filled, "UTF-8")).alias("text_crc32"))
-    # Two independent draws: the first orders a slice, the second orders a shard.
-    draw = lambda k: F.xxhash64(F.lit(seed), F.lit(k), "sh_id", "text_crc32", "size")
-    rows = rows.withColumn("sh_slice", F.pmod(draw(0), F.lit(slices)).cast("int"))
-    rows = scratch.write(rows)
-
-    found = {r["sh_slice"]: r["count"] for r in rows.groupBy("sh_slice").count().collect()}
-    counts = [found.get(i, 0) for i in range(slices)]
+    rows = scratch.write(rows.withColumn("sh_salt", F.monotonically_increasing_id()))
+    slices = max(1024, rows.count() // 2_000_000) if slices is None else slices
+    # Independent draws: the first picks a slice, the second orders it, the others do so for a shard.
+    draw = lambda k: F.xxhash64(F.lit(seed), F.lit(k), "sh_id", "text_crc32", "size", "sh_salt")
+    rows = rows.withColumn("sh_slice", F.pmod(F.xxhash64(F.lit(seed), F.lit(0), "sh_id", "text_crc32", "size"), F.lit(slices)).cast("int"))
+    found = _counts(rows)
+    # rows that are not in a heavy slice are drawn by what they hold alone
+    heavy = [i for i, n in found.items() if n > HEAVY * sum(found.values()) / slices + HEAVY_ROWS]
+    more = math.ceil(sum(found[i] for i in heavy) * slices / max(1, sum(found.values())))
+    rows = rows.withColumn("sh_salt", F.when(F.col("sh_slice").isin(heavy), F.col("sh_salt")).otherwise(F.lit(0)))
+    if heavy:
+        rows = rows.withColumn("sh_slice", F.when(F.col("sh_slice").isin(heavy), (F.pmod(draw(0), F.lit(more)) + slices).cast("int")).otherwise(F.col("sh_slice")))
+        found = _counts(rows)
+    counts = [found.get(i, 0) for i in range(slices + more)]
     total = sum(counts)
     sizes = [total // shards + (s < total % shards) for s in range(shards)]
     cuts = []
@@ -106,7 +123,7 @@ def shuffle_into_shards(
     placed = placed.join(F.broadcast(table), "sh_slice")
     placed = placed.withColumn("shard", F.size(F.filter("sh_cuts", lambda c: c <= F.col("sh_rank"))).cast("int"))
     placed = placed.withColumn("sh_part", F.pmod(draw(2), F.lit(slices)).cast("int"))
-    placed = scratch.write(placed.select("sh_id", "size", "text_crc32", "shard", "sh_part"))
+    placed = scratch.write(placed.select("sh_id", "size", "text_crc32", "sh_salt", "shard", "sh_part"))
     scratch.drop(rows)
 
     parts = placed.groupBy("shard", "sh_part").count()
