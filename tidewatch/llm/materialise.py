@@ -197,12 +197,13 @@ def shard_pages(ordered: DataFrame, per_shard: int, page: int = PAGE) -> DataFra
 
 def read_records(pages: DataFrame, per_shard: int, doc_id: str = "doc_id") -> DataFrame:
     """The rows that ``shard_pages`` was made of; each record is read at its place in the payload."""
-    stride = F.expr("length(payload) div records")
-    r = lambda x: F.struct(
+    # a lambda's variable is a reference, where each mention of the column would copy the whole payload
+    record = lambda p, x: F.struct(
         (F.col("first_slot") + x).alias("slot"), F.get("doc_ids", x).alias("own_id"), F.get("seq_nos", x).alias("seq_no"), F.get("sizes", x).alias("n_tokens"),
-        F.substring(F.col("payload"), (x * stride + 1).cast("int"), stride.cast("int")).alias("tokens"),
+        F.substring(p, x * F.floor(F.length(p) / F.col("records")).cast("int") + 1, F.floor(F.length(p) / F.col("records")).cast("int")).alias("tokens"),
     )
-    found = pages.select("shard", F.inline(F.transform(F.sequence(F.lit(0), F.col("records") - 1), r)))
+    places = F.sequence(F.lit(0), F.col("records") - 1)
+    found = pages.select("shard", F.inline(F.get(F.transform(F.array("payload"), lambda p: F.transform(places, lambda x: record(p, x))), F.lit(0))))
     return found.select("slot", "shard", (F.col("slot") % per_shard).cast("int").alias("position"), F.col("own_id").alias(doc_id), "seq_no", "n_tokens", "tokens")
 
 
