@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from conftest import varied
 
+from tidewatch.llm import mixing
 from tidewatch.llm.mixing import mix_sources
 from tidewatch.llm.shards import _hypergeometric, communication_matrix, shuffle_into_shards
 
@@ -99,6 +100,28 @@ def test_null_ids_repeats_and_empty_tables(docs):
     assert mix_sources(docs([])).count() == 0
 
 
+def test_many_equal_rows_are_split(docs, monkeypatch):
+    """Thousands of equal rows, ids null or not, take what they take when one task sorts them, and no part is large."""
+    rows = varied(3) + [(None, "a b c", "x")] * 2500 + [(77_777, "d e", "x")] * 900 + [(None, None, "y")] * 1200
+    parts, cut = [], mixing._cut_slices
+
+    def seen(*args):
+        out = cut(*args)
+        parts.extend(out.groupBy("mix_group", "mix_slice", "mix_piece", "mix_part").count().collect())
+        return out
+
+    monkeypatch.setattr(mixing, "_cut_slices", seen)
+    for whole in (False, True):
+        monkeypatch.setattr(mixing, "HEAVY_ROWS", 10_000)
+        plain = mix_sources(docs(rows), whole=whole).collect()
+        assert not parts
+        monkeypatch.setattr(mixing, "HEAVY_ROWS", 40)
+        split = mix_sources(docs(rows, partitions=5), whole=whole).collect()
+        assert sorted(map(repr, split)) == sorted(map(repr, plain))
+        assert max(r["count"] for r in parts) < 250 and len({r.mix_part for r in parts}) > 20
+        parts.clear()
+
+
 def test_hypergeometric_law():
     rng = random.Random(1)
     n = 20_000

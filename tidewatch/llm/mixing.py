@@ -8,7 +8,8 @@ a budget of 2.4 times the source takes every document twice and a 0.4 sample onc
 A source may hold a third of all rows, so no step gathers one: the key's range is cut into slices of
 equal ratio, ``per_octave`` of them from a key to its double. Keys are exponential, so whatever the
 weights, a slice holds at most 0.26 / ``per_octave`` of a source's rows. Sizes are summed by (source, slice), and only (source,
-slice) groups are sorted.
+slice) groups are sorted. Equal rows have equal keys: a slice that they make larger than that is cut at their
+key, and the rows of that key, which need no order, are dealt out by a number a row.
 """
 
 from __future__ import annotations
@@ -19,6 +20,10 @@ from pyspark.sql import functions as F
 from tidewatch.llm.scratch import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Most of a source's rows that keys put into a slice, times the slices of an octave.
+DENSEST = 0.26
+#: A slice of over HEAVY times that and HEAVY_ROWS more holds equal rows; a part of it has about HEAVY_ROWS or that share.
+HEAVY, HEAVY_ROWS = 2, 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -51,6 +56,28 @@ def targets(sizes: DataFrame, cap: float = 3.0) -> DataFrame:
     )
 
 
+def _heavy_keys(rows: DataFrame, slices: DataFrame, per_octave: int, scratch: Scratch) -> DataFrame | None:
+    """(mix_group, mix_slice, mix_cuts: the keys of many equal rows, in order, with the number of parts for each), or None if no slice is heavy."""
+    share = F.floor(F.sum("slice_rows").over(Window.partitionBy("mix_group")) * F.lit(DENSEST / per_octave)) + F.lit(HEAVY_ROWS)
+    heavy = slices.select("mix_group", "mix_slice", "slice_rows", share.alias("share")).where(F.col("slice_rows") > HEAVY * F.col("share"))
+    heavy = scratch.write(heavy.select("mix_group", "mix_slice", "share"))
+    if heavy.isEmpty():
+        return None
+    keys = rows.join(heavy, ["mix_group", "mix_slice"]).groupBy("mix_group", "mix_slice", "mix_key").agg(F.count("*").alias("n"), F.first("share").alias("share"))
+    cut = F.struct(F.col("mix_key").alias("key"), F.ceil(F.col("n") / F.col("share")).alias("parts"))
+    return scratch.write(keys.where("2 * n > share").groupBy("mix_group", "mix_slice").agg(F.sort_array(F.collect_list(cut)).alias("mix_cuts")))
+
+
+def _cut_slices(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Adds mix_piece, which rises with the key within a slice and is odd for the key of many equal rows, and mix_part, by which those are dealt."""
+    known = F.coalesce("mix_cuts", F.expr("cast(array() as array<struct<key: double, parts: bigint>>)"))
+    below = F.size(F.filter(known, lambda c: c["key"] < F.col("mix_key")))
+    parts = F.get(F.filter(known, lambda c: c["key"] == F.col("mix_key")), F.lit(0))["parts"]
+    rows = rows.withColumn("mix_row", F.monotonically_increasing_id()).join(cuts, ["mix_group", "mix_slice"], "left")
+    rows = rows.withColumns({"mix_piece": below * 2 + parts.isNotNull().cast("int"), "mix_part": F.coalesce(F.pmod("mix_row", parts), F.lit(0))})
+    return rows.drop("mix_row", "mix_cuts")
+
+
 def mix_sources(
     docs: DataFrame,
     *,
@@ -74,8 +101,8 @@ def mix_sources(
 
     Null text has size 0, null source is a source of its own after all others, null ids are
     ordinary ids. Repeated rows each count. Documents with equal keys are ordered by id, size and a
-    hash of the text, so reruns agree; rows equal in all of these take their parts in any order.
-    Very long texts are counted whole. By default ``per_octave`` is such that no slice has many more than a million rows.
+    hash of the text, so reruns agree; rows equal in all of these take their parts in any order, and many
+    of them are split over tasks. Very long texts are counted whole. By default ``per_octave`` is such that no slice has many more than a million rows.
     An empty table gives no rows. Other columns of ``docs`` are ignored.
     """
     whole_row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if with_row else []
@@ -83,8 +110,9 @@ def mix_sources(
         F.col(doc_id).alias("mix_id"), F.col(source).alias("mix_source"), word_count(F.col(text)).alias("size"),
         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mix_tie"), *whole_row,
     )
+    scratch = scratch or Scratch(docs.sparkSession)
     if not with_row:
-        rows = (scratch or Scratch(docs.sparkSession)).write(rows)
+        rows = scratch.write(rows)
     if per_octave is None:
         per_octave = max(64, rows.count() // 4_000_000)
     if weights is None:
@@ -99,19 +127,26 @@ def mix_sources(
     rows = rows.withColumn("mix_group", F.coalesce(F.concat(F.lit("="), F.col("mix_source")), F.lit("")))
     rows = rows.withColumn("mix_slice", F.floor(F.log2(F.greatest("mix_key", F.lit(2.0**-60))) * per_octave).cast("int"))
 
-    slices = rows.groupBy("mix_group", "mix_source", "mix_slice").agg(F.sum("size").alias("slice_size"))
+    def by_slice(cell: list[str]) -> DataFrame:
+        return scratch.write(rows.groupBy("mix_group", "mix_source", *cell).agg(F.sum("size").alias("slice_size"), F.count("*").alias("slice_rows")))
+
+    cell = ["mix_slice"]
+    slices = by_slice(cell)
+    if (cuts := _heavy_keys(rows, slices, per_octave, scratch)) is not None:
+        rows, cell = scratch.write(_cut_slices(rows, cuts)), ["mix_slice", "mix_piece", "mix_part"]
+        slices = by_slice(cell)
     sums = slices.groupBy("mix_group", "mix_source").agg(F.sum("slice_size").alias("source_size"))
     plan = targets(sums.select("mix_source", "source_size"), cap)
     plan = plan.select(
         F.coalesce(F.concat(F.lit("="), F.col("mix_source")), F.lit("")).alias("mix_group"), "source_size", "target", F.round("target").cast("long").alias("mix_quota")
     )
-    earlier = Window.partitionBy("mix_group").orderBy("mix_slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.withColumn("mix_before", F.coalesce(F.sum("slice_size").over(earlier), F.lit(0))).drop("mix_source", "slice_size")
+    earlier = Window.partitionBy("mix_group").orderBy(*cell).rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.withColumn("mix_before", F.coalesce(F.sum("slice_size").over(earlier), F.lit(0))).drop("mix_source", "slice_size", "slice_rows")
     slices = slices.join(plan, "mix_group")
 
-    order = Window.partitionBy("mix_group", "mix_slice").orderBy("mix_key", "mix_id", "size", "mix_tie")
+    order = Window.partitionBy("mix_group", *cell).orderBy("mix_key", "mix_id", "size", "mix_tie")
     within = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
-    out = rows.withColumn("mix_within", within).join(slices, ["mix_group", "mix_slice"])
+    out = rows.withColumn("mix_within", within).join(slices, ["mix_group", *cell])
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("mix_quota") / F.col("source_size"))).otherwise(0).cast("long")
     room = F.col("mix_quota") - epochs * F.col("source_size") - F.col("mix_before") - F.col("mix_within")
     part = F.greatest(F.lit(0), F.least(F.col("size"), room))
