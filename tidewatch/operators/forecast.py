@@ -56,6 +56,27 @@ METHODS: dict[str, Method] = {
 }
 
 
+def summarised(method: str) -> dict[str, Column] | None:
+    """The state of ``method`` from ctx_n, ctx_mean, ctx_first and ctx_last, or None if it needs the values."""
+    n, first, last = (F.col(f"ctx_{name}") for name in ("n", "first", "last"))
+    slope = F.coalesce(F.try_divide(last - first, n - F.lit(1.0)), F.lit(0.0))
+    return {"naive_last": {"level": last}, "rolling_mean": {"level": F.col("ctx_mean")}, "drift": {"last": last, "slope": slope}}.get(method)
+
+
+def points_of_summaries(windows: DataFrame, method: str, horizon: int) -> DataFrame:
+    """``forecast`` without quantiles or options, for windows made without arrays and a method that ``summarised`` knows."""
+    state = summarised(method)
+    if state is None:
+        raise ValueError(f"{method!r} needs the values of a context")
+    own = {"f_" + name: c for name, c in state.items()}
+    rows = windows.withColumnRenamed("t", "origin").withColumns(own).drop("ctx_n", "ctx_mean", "ctx_first", "ctx_last")
+    rows = rows.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).withColumn("t", F.col("origin") + F.col("step") - 1)
+    rows = rows.withColumn("point", METHODS[method][1]({name: F.col("f_" + name) for name in state}, F.col("step")))
+    if "fut" in windows.columns:
+        rows = rows.withColumn("y", F.get("fut", F.col("step") - 1))
+    return rows.drop("fut", *own)
+
+
 def _ses_gaps(ctx: Column, alpha: float = 0.3, **_) -> Column:
     """Each value but the oldest against the level before it."""
     start = F.struct(F.get(ctx, F.lit(0)).alias("level"), F.array().cast("array<double>").alias("gaps"))

@@ -33,19 +33,27 @@ def by_time(keys: list[str] | None = None) -> WindowSpec:
     return Window.partitionBy(*(keys or SERIES), "w_block").orderBy("t")
 
 
-def sliding_windows(points: DataFrame, context: int, horizon: int = 0, *, keys: list[str] | None = None, block: int = BLOCK, inner: bool = False, least: int | None = None, partial: bool = False) -> DataFrame:
+def sliding_windows(
+    points: DataFrame, context: int, horizon: int = 0, *, keys: list[str] | None = None, block: int = BLOCK, inner: bool = False, least: int | None = None, partial: bool = False, arrays: bool = True
+) -> DataFrame:
     """One row an origin t with a full context: ctx (values before t, oldest first) and fut (t and on).
 
     With a horizon only origins with a full future stay: n - context - horizon + 1 of them, or with
     ``inner`` one fewer (origins below n - horizon). ``least`` lets in contexts of that many values
-    and more, at the start of a series; ``partial`` lets in futures that end early.
+    and more, at the start of a series; ``partial`` lets in futures that end early. Without ``arrays`` a context is
+    not copied into its row: ctx_n, ctx_mean, ctx_first and ctx_last stand for ctx.
     """
     reach = horizon + (1 if inner and horizon else 0)
     w = by_time(keys)
-    cols = {"ctx": F.collect_list("value").over(w.rowsBetween(-context, -1))}
+    past = w.rowsBetween(-context, -1)
+    if arrays:
+        cols = {"ctx": F.collect_list("value").over(past)}
+    else:
+        ends = {"ctx_first": F.first("value", ignorenulls=True), "ctx_last": F.last("value", ignorenulls=True)}
+        cols = {name: c.over(past) for name, c in ({"ctx_n": F.count("value"), "ctx_mean": F.avg("value")} | ends).items()}
     if reach:
         cols["fut"] = F.collect_list("value").over(w.rowsBetween(0, reach - 1))
-    out = own_rows(with_halo(points, context, max(reach - 1, 0), block).withColumns(cols), block).where(F.size("ctx") >= (context if least is None else least))
+    out = own_rows(with_halo(points, context, max(reach - 1, 0), block).withColumns(cols), block).where((F.size("ctx") if arrays else F.col("ctx_n")) >= (context if least is None else least))
     if reach:
         out = out.where(F.size("fut") >= (1 if partial else reach)).withColumn("fut", F.slice("fut", 1, horizon))
     return out

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import errors
 from tidewatch.operators import metrics, scoring
-from tidewatch.operators.forecast import covariate_forecast, covariates_forecast, forecast
+from tidewatch.operators.forecast import covariate_forecast, covariates_forecast, forecast, points_of_summaries, summarised
 from tidewatch.operators.joint import joint_forecast
 from tidewatch.operators.prep import drop_empty_features, impute, zscore
 from tidewatch.operators.windows import BLOCK, sample_origins, sliding_windows
@@ -65,8 +65,10 @@ def window_mse_scores(points: DataFrame, context: int, horizon: int, *, method:
 def horizon_scores(ready: DataFrame, context: int, horizons: list[int], *, method: str = "rolling_mean", **options) -> DataFrame:
     """``window_mse_scores`` for several horizons of one context, with the horizon as a column: windows are made and forecast once, for the longest."""
     test, longest = ready.where("split = 'test'"), max(horizons)
-    w = sliding_windows(test, context, longest, partial=True).drop("value")
-    gaps = forecast(w, method, context, longest, quantiles=False, **options).where("y is not null")
+    slim = not options and summarised(method) is not None
+    w = sliding_windows(test, context, longest, partial=True, arrays=not slim).drop("value")
+    gaps = points_of_summaries(w, method, longest) if slim else forecast(w, method, context, longest, quantiles=False, **options)
+    gaps = gaps.where("y is not null")
     e = (F.col("y") - F.col("point")) * (F.col("y") - F.col("point"))
     means = {h: F.when(F.max("step") >= h, F.avg(F.when(F.col("step") <= h, e))) for h in horizons}
     wide = gaps.groupBy("series_id", F.col("origin").alias("t")).agg(*(m.alias(f"h{h}") for h, m in means.items()))
