@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StringType, StructField, StructType
 
+from tidewatch.sources.shared import cut
+
 FILE = "_metadata.file_path"
 
 
@@ -68,7 +70,8 @@ def read_by_header(spark: SparkSession, path: str | list[str], schema: StructTyp
     Fields that cannot be read as their type are null, and so are fields that a short row lacks. A directory
     without a header gives no rows.
     """
-    known = headers(spark, path, glob).groupBy("names").agg(F.count("*").alias("files")).select("names")
+    found = cut(headers(spark, path, glob))  # one scan of the files, however often it is read
+    known = found.groupBy("names").agg(F.count("*").alias("files")).select("names")
     kinds = [r.names for r in known.limit(2).collect()]
     if schema is None:
         names = [r[0] for r in known.select(F.explode("names")).distinct().orderBy("col").collect()]  # the columns of the result
@@ -86,7 +89,7 @@ def read_by_header(spark: SparkSession, path: str | list[str], schema: StructTyp
         width = known.agg(F.max(F.size("names"))).first()[0]
         raw = spark.read.schema(StructType([StructField(f"c{i}", StringType()) for i in range(width)]))
         rows = raw.options(header=True, pathGlobFilter=glob, recursiveFileLookup=True).csv(path).withColumns(extra)
-        place = headers(spark, path, glob).select("hd_file", F.array(*(F.array_position("names", F.lit(f.name)) - 1 for f in wanted)).alias("hd_places"))
+        place = found.select("hd_file", F.array(*(F.array_position("names", F.lit(f.name)) - 1 for f in wanted)).alias("hd_places"))
         rows = rows.withColumn("hd_fields", F.array(*(f"c{i}" for i in range(width)))).join(place, F.col("sr_file") == F.col("hd_file"))
         order = {f.name: i for i, f in enumerate(wanted)}
         field = lambda c: F.expr(f"if(hd_places[{order[c]}] < 0, null, get(hd_fields, int(hd_places[{order[c]}])))")
