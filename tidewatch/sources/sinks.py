@@ -34,8 +34,8 @@ def write_summary(df: DataFrame, path: str) -> None:
 
 
 def write_curve(curve: DataFrame, path: str) -> None:
-    """A ROC or PR curve, one folder a series."""
-    curve.write.mode("overwrite").partitionBy("series_id").parquet(path)
+    """A ROC or PR curve, one folder a series. Rows are dealt by series, so that a folder gets one file and not one from each task; Spark splits a series that is too large for a task."""
+    curve.hint("rebalance", "series_id").write.mode("overwrite").partitionBy("series_id").parquet(path)
 
 
 def write_scores(scores: DataFrame, path: str) -> None:
