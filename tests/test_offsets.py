@@ -1,8 +1,10 @@
 """Least squares far from 0, with drift, flat and repeated covariates, against numpy on the values near 0."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from tidewatch.operators import forecast as fc
 from tidewatch.operators.forecast import covariate_forecast, covariates_forecast, least_squares
 
 SCHEMA = "series_id string, split string, t long, feature string, value double"
@@ -81,3 +83,50 @@ def test_stacked_solutions_equal_single_ones():
     m = np.stack(m)
     together = least_squares(m, np.zeros((5, 4)))
     assert np.allclose(together, np.vstack([least_squares(m[i : i + 1], np.zeros((1, 4))) for i in range(5)]))
+
+
+def test_products_of_several_series_in_one_batch():
+    """Series of different sizes, mixed; a batch larger than it may hold at once."""
+    rng = np.random.default_rng(2)
+    rows = [(f"s{i % 3}", int(i % 5), rng.normal(size=1 + i % 3).tolist()) for i in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.list_(pa.float64())))], ["series_id", "window_id", "d"])
+    for limit in (1 << 22, 70):
+        old, fc.PRODUCTS = fc.PRODUCTS, limit
+        try:
+            got = {}
+            for part in fc._products(iter([batch])):
+                for r in part.to_pylist():
+                    got[r["series_id"], r["window_id"]] = got.get((r["series_id"], r["window_id"]), 0) + np.array(r["sums"])
+        finally:
+            fc.PRODUCTS = old
+        assert len(got) == 15
+        for (s, w), sums in got.items():
+            x = np.array([[1.0, *d] for a, b, d in rows if (a, b) == (s, w)])
+            assert np.allclose(sums, (x.T @ x)[np.triu_indices(x.shape[1])])
+
+
+def test_several_targets_equal_each_alone(spark):
+    """One set of sums for all targets; a series that lacks a target, one that has nothing but it, gaps."""
+    rng = np.random.default_rng(8)
+    full = {f: rng.normal(size=60) for f in ("a", "b", "c", "d")}
+    full["a"] = 2 * full["b"] - full["c"] + 0.1 * full["a"]
+    full["b"] = [None if i % 7 == 3 else v for i, v in enumerate(full["b"])]
+    name = lambda s, columns: [(s, *r[1:]) for r in rows(columns, 20)]
+    data = name("s", full) + name("t", {k: full[k] for k in ("b", "c", "d")}) + name("u", {"a": full["a"]})
+    df = spark.createDataFrame(data, SCHEMA)
+    key = lambda r: (r.feature, r.series_id, r.window_id, r.t)
+    got = {key(r): (r.y, r.point) for r in fc.covariates_forecasts(df, ["a", "b"], 8).collect()}
+    assert {k[:2] for k in got} == {("a", "s"), ("b", "s"), ("a", "t"), ("b", "t"), ("b", "u")} and len(got) == 200
+    assert all(v == (None, None) for k, v in got.items() if k[:2] in (("a", "t"), ("b", "u")))
+    for (feature, series, w, t), (y, point) in got.items():
+        others = [c for c in ("a", "b", "c", "d") if c != feature and (c != "a" or series == "s")]
+        x = np.array([full[c] for c in others], float).T
+        if (feature, series) in (("a", "t"), ("b", "u")):
+            continue
+        target = np.array(full[feature], float)
+        assert (y is None and np.isnan(target[20 + t])) or y == target[20 + t]
+        known = np.isfinite(x).all(axis=1) & np.isfinite(target)
+        past = known & (np.arange(60) < 20 + w * 8)
+        beta = np.linalg.lstsq(np.column_stack([np.ones(past.sum()), x[past]]), target[past], rcond=None)[0]
+        want = beta[0] + x[20 + t] @ beta[1:]
+        assert (point is None and np.isnan(want)) or abs(point - want) < 1e-8
