@@ -87,3 +87,12 @@ def test_idle_keys_are_forgotten(spark, tmp_path):
     assert equal(run(spark, tmp_path / "y", [rows], idle="6 hours"), got)
     state = spark.read.format("statestore").option("stateVarName", "past").load(str(tmp_path / "x" / "state"))
     assert {r.k for r in state.selectExpr("key.series_id AS k").collect()} == {"s", "k0"}
+
+
+def test_arrivals_of_a_batch_are_one_value_of_state(spark, tmp_path):
+    """However many arrivals of a key wait, its state has one value for each batch that brought some, and gives them back as they were."""
+    rows = [("a", 0, 1), *[("a", 100 + i / 64, i % 7) for i in range(64)]]
+    got = run(spark, tmp_path / "x", [rows[:40], rows[40:]], delay="90 hours")
+    assert got == []
+    state = spark.read.format("statestore").option("stateVarName", "held").load(str(tmp_path / "x" / "state"))
+    assert state.selectExpr("explode(list_value) AS v").count() <= 2 if "list_value" in state.columns else state.count() <= 2

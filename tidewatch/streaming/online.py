@@ -22,6 +22,8 @@ from tidewatch.functions.errors import BAND_HALF_WIDTH
 
 OUT = "series_id string, feature string, t long, y double, err double, score double"
 STATE = "last array<double>"
+#: A held arrival. Those of a key that come together are one value of its state: a value an arrival would each be encoded and passed between Spark and the worker, both ways.
+HELD = np.dtype([("at", "i8"), ("t", "i8"), ("y", "f8"), ("mu", "f8"), ("sd", "f8")])
 #: Arrivals that leave at once.
 PIECE = 1 << 14
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -55,10 +57,17 @@ def _scorer(context: int):
     return run
 
 
+def _packed(arrivals: pd.DataFrame) -> bytes:
+    out = np.empty(len(arrivals), HELD)
+    for name in HELD.names:
+        out[name] = arrivals[name].to_numpy()
+    return out.tobytes()
+
+
 class InOrder(StatefulProcessor):
     """Holds a key's arrivals until the watermark has passed them; scores them in order of event time, then t, then y.
 
-    State of a key: ``held`` arrivals, at most those of the watermark's delay; ``past``: its context, the event
+    State of a key: ``held`` arrivals (packed, ``HELD``), at most those of the watermark's delay; ``past``: its context, the event
     time of the last scored arrival, and when its timer is due (0: none). Times are milliseconds.
     """
 
@@ -67,7 +76,7 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", "at long, t long, y double, mu double, sd double")
+        self.held = handle.getListState("held", "arrivals binary")
         self.past = handle.getValueState("past", "last array<double>, at long, due long")
 
     def _past(self) -> tuple[list[float], int | None, int]:
@@ -88,7 +97,7 @@ class InOrder(StatefulProcessor):
         last, at, due = self._past()
         first = None
         for pdf in rows:
-            self.held.appendList(list(pdf[["at", "t", "y", "mu", "sd"]].itertuples(index=False, name=None)))
+            self.held.appendValue((_packed(pdf),))
             first = min(int(pdf["at"].min()), first if first is not None else int(pdf["at"].min()))
         if first is not None:
             # a timer that waits for the key to fall idle gives way to one that waits for an arrival
@@ -100,8 +109,9 @@ class InOrder(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         passed = timerValues.getCurrentWatermarkInMs()
         last, at, _ = self._past()
-        held = pd.DataFrame(list(self.held.get()), columns=["at", "t", "y", "mu", "sd"])
-        ready = held[held["at"] <= passed].sort_values(["at", "t", "y"], kind="stable")
+        held = np.concatenate([np.empty(0, HELD), *(np.frombuffer(value[0], HELD) for value in self.held.get())])
+        ready, waiting = held[held["at"] <= passed], held[held["at"] > passed]
+        ready = pd.DataFrame(ready[np.lexsort((ready["y"], ready["t"], ready["at"]))])
         context = np.array(last, float)
         if len(ready):
             times = ready["at"].to_numpy()
@@ -116,10 +126,7 @@ class InOrder(StatefulProcessor):
                     if out is not None:
                         yield out
             at = int(times[-1])
-            waiting = held[held["at"] > passed]
-            self.held.put(list(waiting.itertuples(index=False, name=None))) if len(waiting) else self.held.clear()
-        else:
-            waiting = held
+            self.held.put([(waiting.tobytes(),)]) if len(waiting) else self.held.clear()
         if len(waiting):
             due = int(waiting["at"].min())
         elif at is not None and at + self.idle > passed:
