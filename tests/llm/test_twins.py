@@ -78,3 +78,23 @@ def test_mixing_query_equals_its_sql(spark, tmp_path, rows):
     want = db.sql(queries.oracle_sql()["op4_mixing"])
     got = queries.op4_mixing(spark, str(tmp_path)).select(*want.columns).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall()))
+
+
+def test_bytes_query_takes_planted_passages_by_their_bytes(spark, tmp_path):
+    """Passages of over 50 words in two texts each: n_removed tells those of 400 bytes from shorter ones, n_bytes is the text's length whatever it holds."""
+    rng = random.Random(4)
+    words = lambda n, letters: " ".join("".join(rng.choice("abcdefghij") for _ in range(letters)) for _ in range(n))
+    passages = [words(51, 6), words(56, 6), words(58, 6)[:399], words(58, 6)[:400], words(81, 4)[:399], words(81, 4)[:400], words(120, 6)]
+    assert all(len(p.split()) > 50 for p in passages)
+    assert [len(p) for p in passages[2:6]] == [399, 400, 399, 400]
+    rows, want = [], []
+    for i, p in enumerate(passages):
+        for k, (left, right) in enumerate(((" ", "\n"), ("\t", "\r"))):
+            rows.append((2 * i + k, words(30, 7) + left + p + right + words(30, 7)))
+            want.append((2 * i + k, len(rows[-1][1]), len(p) if len(p) >= 400 else 0))
+    rows.append((99, words(130, 6)))
+    want.append((99, len(rows[-1][1]), 0))
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    got = queries.op8_suffix_dedup(spark, str(tmp_path)).select("doc_id", "n_bytes", "n_removed").collect()
+    assert sorted(map(tuple, got)) == want
